@@ -473,12 +473,9 @@ def _gap_runs(times: DataFrame, chunk_ticks: int) -> DataFrame:
         F.first("gap").alias("gap"), F.count("*").alias("n"), F.min("pts").alias("at")
     )
     ends = Window.partitionBy(*part)
-    runs = runs.withColumns(
-        {
-            "_edge": (F.col("at") == F.min("at").over(ends))
-            | (F.col("at") == F.max("at").over(ends))
-        }
-    )
+    head = F.col("at") == F.min("at").over(ends)
+    tail = ~head & (F.col("at") == F.max("at").over(ends))
+    runs = runs.withColumns({"_tail": tail, "_edge": head | tail})
     by_clip = Window.partitionBy("clip_id").orderBy("_first")
     joints = (
         times.groupBy("clip_id", chunk_of("pts", chunk_ticks).alias("_chunk"))
@@ -488,15 +485,18 @@ def _gap_runs(times: DataFrame, chunk_ticks: int) -> DataFrame:
             (F.col("_first") - F.lag("_last").over(by_clip)).alias("gap"),
             F.lit(1).cast("bigint").alias("n"),
             F.col("_first").alias("at"),
+            F.lit(False),
         )
         .filter("gap is not null")
     )
     along = Window.partitionBy("clip_id").orderBy("at")
+    # The last run of a chunk never continues its first one: others lie between, or gaps differ.
+    goes_on = ~F.col("_tail") & (F.col("gap") == F.lag("gap").over(along))
     edges = (
         runs.filter("_edge")
-        .select("clip_id", "gap", "n", "at")
+        .select("clip_id", "gap", "n", "at", "_tail")
         .union(joints)
-        .withColumn("_new", F.when(F.col("gap") == F.lag("gap").over(along), 0).otherwise(1))
+        .withColumn("_new", F.when(goes_on, 0).otherwise(1))
         .withColumn(
             "_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
         )
