@@ -17,7 +17,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = log(spark, sf_dir)
-    return T.flag_complete(samples, tables.bounds(samples))
+    return T.mark_complete(samples, tables.bounds(samples))
 
 
 # A rougher log: in some groups of frames dts run ahead, so that key frames fail the resume rule,
@@ -47,7 +47,7 @@ def rough_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(40).cast("bigint").alias("data_start"),
         (F.floor(F.sum("size") * F.first(share)).cast("bigint") + 40).alias("data_bound"),
     )
-    return T.flag_complete(rough, bounds)
+    return T.mark_complete(rough, bounds)
 
 
 def resume_sql(source: str) -> str:

@@ -14,7 +14,7 @@ PEAK_16_BIT = 65535.0
 PERFECT_DB = 99.0
 
 
-def _plane_psnr(a: bytes | None, b: bytes | None) -> float | None:
+def plane_psnr(a: bytes | None, b: bytes | None) -> float | None:
     if a is None or b is None:
         return None
     if len(a) != len(b) or not a or len(a) % 2:
@@ -29,7 +29,7 @@ def _plane_psnr(a: bytes | None, b: bytes | None) -> float | None:
 @F.pandas_udf("double")
 def psnr_planes(a: pd.Series, b: pd.Series) -> pd.Series:
     """PSNR of two frames given as 16-bit little-endian planes; different sizes give 0."""
-    return pd.Series([_plane_psnr(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([plane_psnr(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf("binary")

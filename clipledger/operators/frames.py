@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions import arrow
 from clipledger.functions.arrow import PEAK_16_BIT, PERFECT_DB
 from clipledger.plans.scan import idiv
+from clipledger.sources.files import open_file
+from clipledger.sources.rawframes import frame_bytes
 
 FRAME = ["clip_id", "frame_no"]
 # Fixed value: lowest PSNR two decode runs may have.
@@ -56,10 +59,15 @@ def gate(
     """
     picks = pick_frames(clips)
     value = arrow.psnr_planes("a", "b") if score is None else score
-    side = lambda df, name: picks.join(
-        df.select(*FRAME, F.col(column).alias(name)), FRAME, "left"
+    # The few picks are the build side, so all other frames are dropped where they are read.
+    side = lambda df, name: df.select(*FRAME, F.col(column).alias(name)).join(
+        picks, FRAME
+    )
+    pairs = (
+        picks.join(side(a, "a"), FRAME, "left")
+        .join(side(b, "b"), FRAME, "left")
+        .withColumn("psnr", value)
     )
-    pairs = side(a, "a").join(side(b, "b"), FRAME).withColumn("psnr", value)
     worst = pairs.groupBy("clip_id").agg(
         F.count("*").alias("_asked"), F.count("psnr").alias("_seen"), F.min("psnr").alias("_worst")
     )
@@ -105,6 +113,54 @@ def decide_path(df: DataFrame) -> DataFrame:
     return df.withColumns({"decode_path": path, "decode_note": note})
 
 
+def compare_files(
+    pairs: DataFrame, width: int, height: int, layout: str = "rgb16", split_bytes: int = 256 << 20
+) -> DataFrame:
+    """PSNR of every frame of two raw dumps per clip (``clip_id, path_a, path_b, frame_count``).
+
+    The work is cut into frame ranges, and a task reads its range from both files, so no pixel is
+    shuffled. A frame that a file does not hold in full gives no value.
+    """
+    size = frame_bytes(width, height, layout)
+    step = max(split_bytes // (2 * size), 1)
+
+    def job(parts):
+        def rows():
+            for part in parts:
+                for r in part.to_pylist():
+                    with open_file(r["path_a"]) as a, open_file(r["path_b"]) as b:
+                        a.seek(r["first"] * size)
+                        b.seek(r["first"] * size)
+                        for n in range(r["first"], min(r["first"] + step, r["frame_count"])):
+                            one, two = a.read(size), b.read(size)
+                            whole = len(one) == len(two) == size
+                            value = arrow.plane_psnr(one, two) if whole else None
+                            yield {"clip_id": r["clip_id"], "frame_no": n, "psnr": value}
+
+        return arrow.batches(rows(), schema)
+
+    kind = dict(pairs.dtypes)["clip_id"]
+    schema = pa.schema(
+        [
+            ("clip_id", pa.int64() if kind == "bigint" else pa.string()),
+            ("frame_no", pa.int64()),
+            ("psnr", pa.float64()),
+        ]
+    )
+    last = F.greatest(F.col("frame_count").cast("bigint") - 1, F.lit(0).cast("bigint"))
+    ranges = pairs.filter("frame_count > 0").select(
+        "clip_id",
+        "path_a",
+        "path_b",
+        "frame_count",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(step).cast("bigint"))).alias("first"),
+    )
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "clip_id", "first").mapInArrow(
+        job, f"clip_id {kind}, frame_no bigint, psnr double"
+    )
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """PSNR of every common frame of two runs of 16-bit planes (``planes BINARY``)."""
     return frame_ab(a, b).select(*FRAME, arrow.psnr_planes("a", "b").alias("psnr"))

@@ -22,6 +22,7 @@ from clipledger.plans.scan import (
     running_last,
     running_max,
     running_sum,
+    whole_max,
 )
 
 CLIP = ["clip_id"]
@@ -33,6 +34,11 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
+def _bytes() -> Column:
+    """Bytes a packet adds to the data: negative sizes add none."""
+    return F.greatest(F.col("size"), _long(0))
+
+
 def non_empty(samples: DataFrame) -> DataFrame:
     """Packets that carry bytes."""
     return samples.filter(F.col("size") > 0)
@@ -45,7 +51,7 @@ def offsets(samples: DataFrame, data_start: int = 0, chunk_rows: int = CHUNK_ROW
         CLIP,
         chunk_of("seq", chunk_rows),
         ["seq"],
-        {"offset": running_sum(F.greatest(F.col("size"), _long(0)), inclusive=False)},
+        {"offset": running_sum(_bytes(), inclusive=False)},
     )
     return out.withColumn("offset", F.col("offset") + data_start)
 
@@ -57,14 +63,15 @@ def flag_complete(
 
     ``bounds`` has ``clip_id, data_start, data_bound``. Sizes count only when positive, so packet
     ends rise along the log and all rows after the first one over the bound are over it too.
-    Empty packets hold no bytes and are never complete.
+    Empty packets hold no bytes and are never complete. Where the offsets are not needed,
+    :func:`mark_complete` gives the same flag without a shuffle of the log.
     """
     out = running(
         samples,
         CLIP,
         chunk_of("seq", chunk_rows),
         ["seq"],
-        {"_before": running_sum(F.greatest(F.col("size"), _long(0)), inclusive=False)},
+        {"_before": running_sum(_bytes(), inclusive=False)},
         facts=bounds.select("clip_id", "data_start", "data_bound"),
     )
     out = out.withColumn("offset", F.col("data_start") + F.col("_before"))
@@ -74,6 +81,56 @@ def flag_complete(
     )
 
 
+def complete_cut(
+    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``clip_id, cut_seq``: the first log position of each clip that is not complete.
+
+    Byte totals per chunk (reduced on the map side) tell in which chunk a clip crosses its bound,
+    and only the rows of that one chunk are shuffled and summed. A clip that never crosses has a
+    null ``cut_seq``; a clip without bounds is cut at 0.
+    """
+    chunk = chunk_of("seq", chunk_rows)
+    earlier = Window.partitionBy("clip_id").orderBy("_chunk")
+    room = F.col("data_bound") - F.col("data_start")
+    crossing = (
+        samples.groupBy("clip_id", chunk.alias("_chunk"))
+        .agg(F.sum(_bytes()).alias("_bytes"))
+        .withColumn("_upto", F.sum("_bytes").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(bounds.select("clip_id", room.alias("_room")), "clip_id", "left")
+        .filter(F.col("_upto") > F.col("_room"))
+        .groupBy("clip_id")
+        .agg(F.min_by(F.struct("_chunk", F.col("_room") - F.col("_upto") + F.col("_bytes")), "_chunk").alias("c"))
+        .select("clip_id", F.col("c._chunk"), F.col("c.col2").alias("_left"))
+    )
+    inside = Window.partitionBy("clip_id", "_chunk").orderBy("seq")
+    cut = (
+        samples.select("clip_id", "seq", "size", chunk.alias("_chunk"))
+        .join(crossing, ["clip_id", "_chunk"])
+        .withColumn("_end", F.sum(_bytes()).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("_end") > F.col("_left")) & (F.col("size") > 0))
+        .groupBy("clip_id")
+        .agg(F.min("seq").alias("_cut"))
+    )
+    return (
+        samples.select("clip_id")
+        .distinct()
+        .join(bounds.select("clip_id", F.lit(True).alias("_known")), "clip_id", "left")
+        .join(cut, "clip_id", "left")
+        .select("clip_id", F.when(F.col("_known"), F.col("_cut")).otherwise(_long(0)).alias("cut_seq"))
+    )
+
+
+def mark_complete(
+    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add ``is_complete`` as :func:`flag_complete` does, from one cut position per clip."""
+    cut = complete_cut(samples, bounds, chunk_rows)
+    known = attach(samples, cut, CLIP, chunk_of("seq", chunk_rows))
+    before = F.col("cut_seq").isNull() | (F.col("seq") < F.col("cut_seq"))
+    return known.withColumn("is_complete", (F.col("size") > 0) & before).drop("cut_seq")
+
+
 def complete_prefix(
     samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -141,47 +198,57 @@ def _step_back(frame: Column, open_gop: Column) -> Column:
 def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """First frame to encode again for each clip, 0 for a fresh start.
 
-    ``flagged`` comes from :func:`flag_complete`; ``clips`` has ``clip_id, fps_den, open_gop``.
+    ``flagged`` comes from :func:`mark_complete` or :func:`flag_complete`; ``clips`` has ``clip_id, fps_den, open_gop``.
     A candidate c is good when every dts below it is under (c - 2) frames. The candidate of the
     last written good key frame wins, unless a key frame that steps back to 0 was written later;
     then the largest good frame up to the last key frame is taken. That frame is always a logged
     frame number or the candidate of the last key frame, so only those need a look.
     """
-    video = flagged.filter("is_complete and is_video and frame_no >= 0")
-    key_seq = F.when(F.col("is_key"), F.col("seq"))
+    spread = chunk_of("seq", chunk_rows)
     settings = clips.select("clip_id", "fps_den", "open_gop")
-    last = (
-        video.groupBy("clip_id")
-        .agg(F.coalesce(F.max_by("frame_no", key_seq), _long(0)).alias("_last"))
-        .join(settings, "clip_id")
-        .withColumn("_limit", _step_back(F.col("_last"), F.col("open_gop")))
-        .select("clip_id", "_limit", "fps_den")
-    )
-    frames = video.select(
-        "clip_id", "frame_no", "dts", F.lit(None).cast("bigint").alias("_key_seq")
-    )
-    keys = attach(
-        video.filter("is_key").select("clip_id", "frame_no", "seq"),
+    video = attach(
+        flagged.filter("is_complete and is_video and frame_no >= 0").select(
+            "clip_id", "seq", "frame_no", "dts", "is_key"
+        ),
         settings.select("clip_id", "open_gop"),
         CLIP,
-        chunk_of("seq", chunk_rows),
+        spread,
         "inner",
-    ).select(
-        "clip_id", _step_back(F.col("frame_no"), F.col("open_gop")), F.lit(None).cast("bigint"), "seq"
     )
+    none = F.lit(None).cast("bigint")
+    logged = F.struct(
+        F.col("frame_no").alias("at"), F.col("dts").alias("dts"), none.alias("key_seq")
+    )
+    candidate = F.struct(
+        _step_back(F.col("frame_no"), F.col("open_gop")).alias("at"),
+        none.alias("dts"),
+        F.col("seq").alias("key_seq"),
+    )
+    # One pass over the log: a row for the frame, and one for the candidate of a key frame.
     places = (
-        frames.union(keys)
-        .groupBy("clip_id", "frame_no")
-        .agg(F.max("dts").alias("_dts"), F.max("_key_seq").alias("_key_seq"))
+        video.select(
+            "clip_id",
+            F.explode(
+                F.when(F.col("is_key"), F.array(logged, candidate)).otherwise(F.array(logged))
+            ).alias("p"),
+        )
+        .groupBy("clip_id", F.col("p.at").alias("frame_no"))
+        .agg(F.max("p.dts").alias("_dts"), F.max("p.key_seq").alias("_key_seq"))
+    )
+    written = F.when(
+        F.col("_key_seq").isNotNull(), F.struct("_key_seq", F.col("frame_no").alias("at"))
     )
     scanned = running(
         places,
         CLIP,
         chunk_of("frame_no", chunk_rows),
         ["frame_no"],
-        {"_below": running_max("_dts", inclusive=False, empty=-1)},
-        facts=last,
-    )
+        {
+            "_below": running_max("_dts", inclusive=False, empty=-1),
+            "_last": whole_max(written),
+        },
+        facts=settings,
+    ).withColumn("_limit", F.coalesce(F.col("_last.at"), _long(0)))
     place = F.col("frame_no")
     good = (place > 0) & (F.col("_below") < (place - 2) * F.greatest(F.col("fps_den"), _long(1)))
     picked = scanned.groupBy("clip_id").agg(
@@ -259,8 +326,9 @@ def purge_reorder(
     order) and gets a new ``seq`` and ``offset``. Video and audio clocks are compared as they are;
     with ``rescale`` (``clip_id, fps_num, sample_rate``) they are compared in seconds.
     """
+    columns = [c for c in flagged.columns if c not in ("is_complete", "offset")]
     kept = attach(
-        flagged.filter("is_complete").drop("is_complete", "offset"),
+        flagged.filter("is_complete").select(*columns),
         resume.select("clip_id", "resume_frame"),
         CLIP,
         chunk_of("seq", chunk_rows),
@@ -271,7 +339,6 @@ def purge_reorder(
     )
     if skip_audio:
         kept = kept.filter("is_video")
-    columns = [c for c in flagged.columns if c not in ("is_complete", "offset")]
     clock = F.col("dts")
     if rescale is not None:
         kept = attach(

@@ -56,6 +56,8 @@ class Running:
             return F.max(self.value)
         if self.kind == "min":
             return F.min(self.value)
+        if self.kind == "whole":
+            return F.max(self.value)
         known = F.when(self.value.isNotNull(), F.struct(*order))
         return F.max_by(self.value, known)
 
@@ -93,6 +95,11 @@ def running_max(value, inclusive: bool = True, empty=None) -> Running:
     return Running("max", _column(value), inclusive, empty)
 
 
+def whole_max(value) -> Running:
+    """The highest value of the whole key, on every row; it comes with the table of totals."""
+    return Running("whole", _column(value))
+
+
 def running_last(value, inclusive: bool = True) -> Running:
     """The latest value that is not null."""
     return Running("last", _column(value), inclusive)
@@ -115,9 +122,18 @@ def running(
     rows = df.withColumn("_chunk", _column(chunk))
     part = [*keys, "_chunk"]
     totals = rows.groupBy(*part).agg(*[v.total(order).alias(f"_t_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *part, *[v.over(F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n, v in values.items()]
+        *part,
+        *[
+            (
+                F.max(f"_t_{n}").over(every)
+                if v.kind == "whole"
+                else v.over(F.col(f"_t_{n}"), before)
+            ).alias(f"_c_{n}")
+            for n, v in values.items()
+        ],
     )
     if facts is not None:
         carried = carried.join(facts, keys, "left")
@@ -129,6 +145,7 @@ def running(
                 inside.rowsBetween(Window.unboundedPreceding, 0 if v.inclusive else -1),
             )
             for n, v in values.items()
+            if v.kind != "whole"
         }
     )
     joined = local.join(carried, part)
@@ -136,7 +153,14 @@ def running(
     return joined.select(
         *df.columns,
         *fact_columns,
-        *[v.merge(F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, v in values.items()],
+        *[
+            (
+                F.col(f"_c_{n}")
+                if v.kind == "whole"
+                else v.merge(F.col(f"_c_{n}"), F.col(f"_l_{n}"))
+            ).alias(n)
+            for n, v in values.items()
+        ],
     )
 
 

@@ -99,6 +99,15 @@ def walk_boxes(path: str) -> dict:
     return {"path": path, "boxes": boxes, "data_start": start, "data_bound": bound}
 
 
+def _spread(files: DataFrame, *by) -> DataFrame:
+    """Share rows that stand for much reading over a fixed number of tasks.
+
+    The rows are small, so without a fixed number AQE would put them all in one task.
+    """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, *by)
+
+
 def box_index(artifacts: DataFrame) -> DataFrame:
     """Box layout of each file: one small seek-only read per file, spread over the cluster."""
 
@@ -106,7 +115,7 @@ def box_index(artifacts: DataFrame) -> DataFrame:
         paths = (p for part in parts for p in part.column(0).to_pylist())
         return batches((walk_boxes(p) for p in paths), _BOX_ARROW)
 
-    return artifacts.select("path").mapInArrow(job, BOX_SCHEMA)
+    return _spread(artifacts.select("path"), "path").mapInArrow(job, BOX_SCHEMA)
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def content_hash(files: DataFrame) -> DataFrame:
         paths = (p for part in parts for p in part.column(0).to_pylist())
         return batches((digest(p) for p in paths), _HASH_ARROW, 64)
 
-    return files.select("path").mapInArrow(job, "path string, sha256 string")
+    return _spread(files.select("path"), "path").mapInArrow(job, "path string, sha256 string")
 
 
 def attach_payload(samples: DataFrame, boxes: DataFrame, files: DataFrame) -> DataFrame:
@@ -173,7 +182,7 @@ def audit_framing(ranges: DataFrame, split_rows: int = 4096) -> DataFrame:
         return batches(faults(parts), _FAULT_ARROW)
 
     video = ranges.filter("is_video").select("clip_id", "seq", "frame_no", "path", "offset", "size")
-    spread = video.repartition("path", chunk_of("seq", split_rows)).sortWithinPartitions(
+    spread = _spread(video, "path", chunk_of("seq", split_rows)).sortWithinPartitions(
         "path", "offset"
     )
     return spread.mapInArrow(job, "clip_id string, seq bigint, frame_no bigint, fault string")

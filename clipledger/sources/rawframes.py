@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -12,6 +12,7 @@ from clipledger.schemas import FRAMES
 from clipledger.sources.files import list_files, open_file
 
 SPLIT_BYTES = 128 << 20
+BATCH_BYTES = 8 << 20
 
 
 def frame_bytes(width: int, height: int, layout: str) -> int:
@@ -26,9 +27,25 @@ def frame_bytes(width: int, height: int, layout: str) -> int:
 
 @dataclass
 class FrameSplit(InputPartition):
-    path: str
-    first: int
-    count: int
+    """Frame ranges ``(path, first, count)`` that one task reads."""
+
+    ranges: list[tuple[str, int, int]] = field(default_factory=list)
+
+
+def split_frames(files: list[tuple[str, int, int]], step: int) -> list[FrameSplit]:
+    """Cut ``(path, low, high)`` into splits of ``step`` frames; short files share a split."""
+    splits, current, room = [], [], step
+    for path, at, end in files:
+        while at < end:
+            take = min(end - at, room)
+            current.append((path, at, take))
+            at, room = at + take, room - take
+            if room == 0:
+                splits.append(FrameSplit(current))
+                current, room = [], step
+    if current or not splits:
+        splits.append(FrameSplit(current))
+    return splits
 
 
 class RawFrameSource(DataSource):
@@ -60,32 +77,33 @@ class RawFrameReader(DataSourceReader):
 
     def partitions(self):
         step = max(SPLIT_BYTES // self.size, 1)
-        splits = []
+        files = []
         for path, length in list_files(self.path, self.suffix):
             total = length // self.size
-            end = total if self.high is None else min(total, self.high)
-            splits += [
-                FrameSplit(path, at, min(step, end - at)) for at in range(self.low, end, step)
-            ]
-        return splits or [FrameSplit("", 0, 0)]
+            files.append((path, self.low, total if self.high is None else min(total, self.high)))
+        return split_frames(files, step)
 
     def read(self, partition):
-        if not partition.count:
-            return
-        names = ["clip_id", "frame_no", "width", "height", "planes"]
-        with open_file(partition.path) as handle:
-            handle.seek(partition.first * self.size)
-            for number in range(partition.first, partition.first + partition.count):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([partition.path]),
-                        pa.array([number], pa.int64()),
-                        pa.array([self.width], pa.int32()),
-                        pa.array([self.height], pa.int32()),
-                        pa.array([handle.read(self.size)], pa.binary()),
-                    ],
-                    names=names,
-                )
+        per_batch = max(BATCH_BYTES // self.size, 1)
+        for path, first, count in partition.ranges:
+            with open_file(path) as handle:
+                handle.seek(first * self.size)
+                for at in range(first, first + count, per_batch):
+                    numbers = range(at, min(at + per_batch, first + count))
+                    yield self._batch(path, numbers, [handle.read(self.size) for _ in numbers])
+
+    def _batch(self, path: str, numbers: range, planes: list[bytes]) -> pa.RecordBatch:
+        n = len(numbers)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([path] * n),
+                pa.array(numbers, pa.int64()),
+                pa.array([self.width] * n, pa.int32()),
+                pa.array([self.height] * n, pa.int32()),
+                pa.array(planes, pa.binary()),
+            ],
+            names=["clip_id", "frame_no", "width", "height", "planes"],
+        )
 
 
 def register(spark: SparkSession) -> None:
