@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 PEAK_16_BIT = 65535.0
@@ -26,13 +27,13 @@ def plane_psnr(a: bytes | None, b: bytes | None) -> float | None:
     return float(10.0 * np.log10(PEAK_16_BIT * PEAK_16_BIT / error))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def psnr_planes(a: pd.Series, b: pd.Series) -> pd.Series:
     """PSNR of two frames given as 16-bit little-endian planes; different sizes give 0."""
     return pd.Series([plane_psnr(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def planar(frame: pd.Series) -> pd.Series:
     """Interleaved 16-bit RGB to three planes in a row."""
     return frame.map(
@@ -42,7 +43,7 @@ def planar(frame: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def repack_words(payload: pd.Series) -> pd.Series:
     """Four-byte words to three-byte little-endian samples: bytes 2, 1, 0 of each word."""
     return payload.map(
@@ -69,7 +70,7 @@ def framing_fault(data: bytes) -> str | None:
     return None if at == size else f"{size - at} bytes left over"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def framing_faults(payload: pd.Series) -> pd.Series:
     return payload.map(lambda raw: None if raw is None else framing_fault(raw))
 
