@@ -155,9 +155,9 @@ OUTPUT_LINES = """select concat('/in/', l_orderkey, '.NEV') clip_key,
 
 @query(
     "failure_report",
-    f"""with last as (select *, row_number() over (partition by clip_key order by output_line_no desc) rk
+    f"""with last as (select *, row_number() over (partition by clip_key order by output_line_no desc, output_line desc) rk
   from (select distinct * from {duck(OUTPUT_LINES)} q) q),
-t as (select clip_key, string_agg('    ' || output_line, chr(10) order by output_line_no) txt
+t as (select clip_key, string_agg('    ' || output_line, chr(10) order by output_line_no, output_line) txt
   from last where rk <= 5 group by 1)
 select r.clip_key, strftime(ended, '%Y-%m-%d %H:%M:%S') || ' [failed] file: ' || r.clip_key || chr(10)
   || '  command: ' || command || chr(10) || '  output:' || coalesce(chr(10) || txt, '') "text"
@@ -175,7 +175,7 @@ def failure_report(spark, sf_dir):
 )
 def tail_lines(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return N.tail_n(events, ["user_id"], "event_id", 5)
+    return N.tail_n(events, ["user_id"], ["event_id"], 5)
 
 
 # --- arrivals -------------------------------------------------------------------------------

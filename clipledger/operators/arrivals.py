@@ -15,13 +15,13 @@ from clipledger.plans.scan import (
 )
 
 
-def tail_n(lines: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+def tail_n(lines: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The last ``n`` rows of each key, with ``rank`` 1 for the last one.
 
     Spark keeps only ``n`` rows per key and task before the shuffle (window group limit), so a
     frequent key does not travel.
     """
-    last_first = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    last_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return lines.withColumn("rank", F.row_number().over(last_first)).filter(F.col("rank") <= n)
 
 

@@ -24,8 +24,11 @@ from clipledger.plans.scan import (
     running_sum,
     whole_max,
 )
+from clipledger.session import store
 
 CLIP = ["clip_id"]
+# Chunk of the search for the cut: smaller, as one chunk per clip is read twice.
+CUT_ROWS = 1 << 13
 # Fixed value: frames to step back from a key frame when groups are open.
 RESUME_BACKOFF = 17
 
@@ -82,47 +85,55 @@ def flag_complete(
 
 
 def complete_cut(
-    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
+    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CUT_ROWS
 ) -> DataFrame:
     """``clip_id, cut_seq``: the first log position of each clip that is not complete.
 
     Byte totals per chunk (reduced on the map side) tell in which chunk a clip crosses its bound,
-    and only the rows of that one chunk are shuffled and summed. A clip that never crosses has a
-    null ``cut_seq``; a clip without bounds is cut at 0.
+    and only the rows of that one chunk are summed. Both steps leave one row per clip, written to
+    the shared folder: its true size then lets Catalyst broadcast it, so the log itself is never
+    shuffled. A clip that never crosses has a null ``cut_seq``; one without bounds is cut at 0.
     """
     chunk = chunk_of("seq", chunk_rows)
-    earlier = Window.partitionBy("clip_id").orderBy("_chunk")
+    so_far = (
+        Window.partitionBy("clip_id")
+        .orderBy("_chunk")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     room = F.col("data_bound") - F.col("data_start")
-    crossing = (
+    over = F.col("_upto") > F.col("_room")
+    crossing = store(
         samples.groupBy("clip_id", chunk.alias("_chunk"))
         .agg(F.sum(_bytes()).alias("_bytes"))
-        .withColumn("_upto", F.sum("_bytes").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_upto", F.sum("_bytes").over(so_far))
         .join(bounds.select("clip_id", room.alias("_room")), "clip_id", "left")
-        .filter(F.col("_upto") > F.col("_room"))
         .groupBy("clip_id")
-        .agg(F.min_by(F.struct("_chunk", F.col("_room") - F.col("_upto") + F.col("_bytes")), "_chunk").alias("c"))
-        .select("clip_id", F.col("c._chunk"), F.col("c.col2").alias("_left"))
+        .agg(
+            F.min(F.when(over, F.col("_chunk"))).alias("_chunk"),
+            F.min_by(
+                F.col("_room") - F.col("_upto") + F.col("_bytes"), F.when(over, F.col("_chunk"))
+            ).alias("_left"),
+            F.bool_or(F.col("_room").isNotNull()).alias("_known"),
+        ),
+        "crossing",
     )
-    inside = Window.partitionBy("clip_id", "_chunk").orderBy("seq")
+    inside = Window.partitionBy("clip_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         samples.select("clip_id", "seq", "size", chunk.alias("_chunk"))
-        .join(crossing, ["clip_id", "_chunk"])
-        .withColumn("_end", F.sum(_bytes()).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .join(crossing.filter("_chunk is not null"), ["clip_id", "_chunk"])
+        .withColumn("_end", F.sum(_bytes()).over(inside))
         .filter((F.col("_end") > F.col("_left")) & (F.col("size") > 0))
         .groupBy("clip_id")
         .agg(F.min("seq").alias("_cut"))
     )
-    return (
-        samples.select("clip_id")
-        .distinct()
-        .join(bounds.select("clip_id", F.lit(True).alias("_known")), "clip_id", "left")
-        .join(cut, "clip_id", "left")
-        .select("clip_id", F.when(F.col("_known"), F.col("_cut")).otherwise(_long(0)).alias("cut_seq"))
+    cut_seq = F.when(F.col("_known"), F.col("_cut")).otherwise(_long(0))
+    return store(
+        crossing.join(cut, "clip_id", "left").select("clip_id", cut_seq.alias("cut_seq")), "cut"
     )
 
 
 def mark_complete(
-    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
+    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CUT_ROWS
 ) -> DataFrame:
     """Add ``is_complete`` as :func:`flag_complete` does, from one cut position per clip."""
     cut = complete_cut(samples, bounds, chunk_rows)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.session import checkpoint_root
+from clipledger.session import store
 
 # Rows per chunk when the order is a dense row number.
 CHUNK_ROWS = 1 << 18
@@ -117,10 +117,14 @@ def running(
 
     ``chunk`` must not decrease along ``order`` and must bound the rows that share it. ``facts``
     holds at most one row per key; its columns are joined to the table of totals, which is short,
-    and so reach the rows without a second row-level join. Keys must not be null.
+    and so reach the rows without a second row-level join. Keys and order must not be null: such
+    rows have no place in the order and are left out, in both branches alike, so that Spark can
+    reuse what the branches share.
     """
-    rows = df.withColumn("_chunk", _column(chunk))
     part = [*keys, "_chunk"]
+    rows = df.withColumn("_chunk", _column(chunk))
+    for name in part:
+        rows = rows.filter(F.col(name).isNotNull())
     totals = rows.groupBy(*part).agg(*[v.total(order).alias(f"_t_{n}") for n, v in values.items()])
     every = Window.partitionBy(*keys)
     before = every.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,15 +172,14 @@ def ordered_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``order_chunk`` for an order that has no dense row number.
 
     Rows are range-partitioned on the full order (which must be unique, so that equal values split
-    too) and the number of the partition is the chunk. The result is checkpointed: the chunk is
-    read by two branches of :func:`running`, and range bounds come from a sample, so they must be
-    fixed once. The count of partitions follows ``spark.sql.shuffle.partitions`` and AQE.
+    too) and the number of the partition is the chunk. Range bounds come from a sample and the
+    chunk is read by two branches of :func:`running`, so the rows are written to the shared folder
+    once, with their chunk. The count of partitions follows ``spark.sql.shuffle.partitions`` and
+    AQE.
     """
-    checkpoint_root(df.sparkSession)
-    return (
-        df.repartitionByRange(*order)
-        .withColumn("order_chunk", F.spark_partition_id().cast("bigint"))
-        .checkpoint()
+    ranged = df.repartitionByRange(*order)
+    return store(
+        ranged.withColumn("order_chunk", F.spark_partition_id().cast("bigint")), "ordered"
     )
 
 

@@ -264,7 +264,7 @@ def failure_report(runs: DataFrame, lines: DataFrame) -> DataFrame:
     ``runs`` has ``clip_key, status, ended, command``; ``lines`` has ``clip_key,
     output_line_no, output_line``. Only the last five lines of an item are ever brought together.
     """
-    last = tail_n(lines, ["clip_key"], "output_line_no", FAILURE_TAIL)
+    last = tail_n(lines, ["clip_key"], ["output_line_no", "output_line"], FAILURE_TAIL)
     listed = last.groupBy("clip_key").agg(
         F.array_sort(F.collect_list(F.struct("output_line_no", "output_line"))).alias("tail")
     )

@@ -165,7 +165,7 @@ def test_shard_audit(spark, width):
 
 def test_tail_uses_group_limit(spark):
     df = spark.range(0, 1000).select((F.col("id") % 3).alias("k"), "id")
-    out = N.tail_n(df, ["k"], "id", 2)
+    out = N.tail_n(df, ["k"], ["id"], 2)
     assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
     assert sorted((r.k, r.id, r["rank"]) for r in out.collect()) == [
         (0, 996, 2), (0, 999, 1), (1, 994, 2), (1, 997, 1), (2, 995, 2), (2, 998, 1)
