@@ -663,18 +663,17 @@ def raw_frame_scan(spark, sf_dir):
 
 @query(
     "quality_log_scan",
-    """select l_suppkey, cast(count(*) as bigint) lines, cast(sum(l_quantity) as bigint) total
+    """select l_returnflag, cast(count(*) as bigint) lines, cast(sum(l_quantity) as bigint) total
 from lineitem group by 1""",
 )
 def quality_log_scan(spark, sf_dir):
     folder = scratch_path(spark, "quality")
-    tables.table(spark, sf_dir, "lineitem").select(
-        "l_suppkey",
-        F.concat(F.lit("n:1 psnr_avg:"), F.col("l_quantity").cast("int"), F.lit(".00")).alias("value"),
-    ).write.partitionBy("l_suppkey").text(folder)
+    line = F.concat(F.lit("n:1 psnr_avg:"), F.col("l_quantity").cast("int"), F.lit(".00"))
+    tables.table(spark, sf_dir, "lineitem").select("l_returnflag", line.alias("value")).write.partitionBy(
+        "l_returnflag"
+    ).text(folder)
     logs = docs.read_quality_logs(spark, f"{folder}/*/")
-    return logs.groupBy(
-        F.regexp_extract("path", r"l_suppkey=(\d+)", 1).cast("bigint").alias("l_suppkey")
-    ).agg(
+    flag = F.regexp_extract("path", r"l_returnflag=([^/]*)", 1)
+    return logs.groupBy(flag.alias("l_returnflag")).agg(
         F.count("*").alias("lines"), F.sum("psnr_avg").cast("bigint").alias("total")
     )

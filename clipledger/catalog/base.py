@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,13 @@ def query(name: str, sql: str | None = None):
     """Register a query under ``name`` with its DuckDB twin."""
 
     def register(function):
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The tables hold plain UTC times.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function

@@ -33,10 +33,38 @@ CUT_ROWS = 1 << 13
 RESUME_BACKOFF = 17
 
 
+LOG_CHUNK = "log_chunk"
+
+
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
+def log_chunk(samples: DataFrame, chunk_rows: int) -> Column:
+    """Chunk of a packet: the stored one of a bucketed log table, else derived from ``seq``."""
+    return F.col(LOG_CHUNK) if LOG_CHUNK in samples.columns else chunk_of("seq", chunk_rows)
+
+
+def write_log_table(
+    samples: DataFrame, table: str, buckets: int, path: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Store a log as a table bucketed and sorted by (clip, chunk), and return it.
+
+    Running values over such a table need no shuffle and no sort of the packets. Buckets hold
+    chunks, not clips, so a clip that is a third of the archive is spread over all of them.
+    """
+    chunked = samples.withColumn(LOG_CHUNK, chunk_of("seq", chunk_rows))
+    # One file per bucket, so that its sort order holds.
+    writer = (
+        chunked.repartition(buckets, "clip_id", LOG_CHUNK)
+        .write.mode("overwrite")
+        .bucketBy(buckets, "clip_id", LOG_CHUNK)
+        .sortBy("clip_id", LOG_CHUNK, "seq")
+    )
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return samples.sparkSession.table(table)
+
+
 def _bytes() -> Column:
     """Bytes a packet adds to the data: negative sizes add none."""
     return F.greatest(F.col("size"), _long(0))
@@ -52,7 +80,7 @@ def offsets(samples: DataFrame, data_start: int = 0, chunk_rows: int = CHUNK_ROW
     out = running(
         samples,
         CLIP,
-        chunk_of("seq", chunk_rows),
+        log_chunk(samples, chunk_rows),
         ["seq"],
         {"offset": running_sum(_bytes(), inclusive=False)},
     )
@@ -72,7 +100,7 @@ def flag_complete(
     out = running(
         samples,
         CLIP,
-        chunk_of("seq", chunk_rows),
+        log_chunk(samples, chunk_rows),
         ["seq"],
         {"_before": running_sum(_bytes(), inclusive=False)},
         facts=bounds.select("clip_id", "data_start", "data_bound"),
@@ -424,7 +452,7 @@ def monotone_dts(samples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     r + max(dts - r) over the packets so far, so no row-by-row loop is needed.
     """
     video = samples.filter("is_video").withColumn("_start", F.greatest(F.col("dts"), _long(0)))
-    chunk = chunk_of("seq", chunk_rows)
+    chunk = log_chunk(samples, chunk_rows)
     ranked = running(video, CLIP, chunk, ["seq"], {"_rank": running_count()})
     scanned = running(
         ranked,

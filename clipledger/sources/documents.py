@@ -7,6 +7,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -15,6 +16,7 @@ from clipledger.functions import rules as R
 from clipledger.operators.arrivals import tail_n
 from clipledger.operators.quality import parse_quality_log
 from clipledger.schemas import CHECKPOINT, SIDECAR
+from clipledger.sources.files import resolve
 
 REQUIRED_IN_CHECKPOINT = (
     "version toolVersion sourceSha256 settingsHash videoFrames audioEndSample totalFrames"
@@ -238,19 +240,30 @@ class FilesWritten(WriterCommitMessage):
 
 
 class WholeFilesWriter(DataSourceWriter):
+    """A file is seen whole or not at all: renamed into place, or closed by an object store."""
+
     def write(self, iterator):
         count = 0
         for row in iterator:
-            staged = f"{row.path}.tmp-{uuid.uuid4().hex}"
-            os.makedirs(os.path.dirname(staged), exist_ok=True)
-            with open(staged, "wb") as out:
-                out.write(row.content)
-                out.flush()
-                os.fsync(out.fileno())
-            os.replace(staged, row.path)
+            system, path = resolve(row.path)
+            if isinstance(system, fs.LocalFileSystem):
+                self._write_local(path, row.content)
+            else:
+                with system.open_output_stream(path) as out:
+                    out.write(row.content)
             count += 1
         return FilesWritten(count)
 
+    @staticmethod
+    def _write_local(path: str, content: bytes) -> None:
+        staged = f"{path}.tmp-{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(staged), exist_ok=True)
+        with open(staged, "wb") as out:
+            out.write(content)
+            out.flush()
+            os.fsync(out.fileno())
+        os.replace(staged, path)
+
 
 def read_quality_logs(spark: SparkSession, path: str) -> DataFrame:
     """Quality log lines with their file and the values found; lines without values are left out."""

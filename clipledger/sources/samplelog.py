@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -27,7 +28,7 @@ from pyspark.sql.datasource import (
 )
 
 from clipledger.schemas import SAMPLES
-from clipledger.sources.files import list_files, open_file
+from clipledger.sources.files import list_files, open_file, resolve
 
 # Fixed values of the format.
 MAGIC = 0x4E524153
@@ -190,7 +191,9 @@ class SampleLogWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, path: str, overwrite: bool):
-        self.root = path.removeprefix("file:")
+        system, self.root = resolve(path)
+        if not isinstance(system, fs.LocalFileSystem):
+            raise ValueError("records are written in place: give a mounted folder, not a store")
         self.overwrite = overwrite
         self.stage = f"{self.root}/_staged-{uuid.uuid4().hex}"
         os.makedirs(self.stage, exist_ok=True)

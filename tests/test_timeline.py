@@ -252,3 +252,20 @@ def test_clip_counts(spark):
         want = max([p["pts"] + int(p["size"] / 6) for p in log if not p["is_video"]], default=0)
         assert ends[clip] == max(want, 0)
     assert none == {0}
+
+
+def test_bucketed_log_needs_no_shuffle(spark, tmp_path, no_broadcast):
+    archive = random_archive(61)
+    df = frame_of(spark, archive)
+    table = T.write_log_table(df, "bucketed_log", 4, str(tmp_path / "log"), chunk_rows=8)
+    out = T.offsets(table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 2 and all("Bucketed: true" in line for line in scans)
+    # The one exchange left moves chunk totals to their clip and back.
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2, plan
+    got = by_clip(out, "seq", "offset")
+    for clip, log in archive.items():
+        assert got[clip] == list(enumerate(models.offsets(log)))
+    spark.sql("drop table bucketed_log")
