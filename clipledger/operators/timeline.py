@@ -564,50 +564,71 @@ def frame_duration(
 
 
 def _gap_runs(times: DataFrame, chunk_ticks: int) -> DataFrame:
-    """Runs of equal gaps between distinct pts: ``clip_id, at, gap, n``."""
+    """Runs of equal gaps between distinct pts: ``clip_id, at, gap, n``.
+
+    Of the runs that lie within a chunk only the best inner one is kept.
+    """
     part = ["clip_id", "_chunk"]
     inside = Window.partitionBy(*part).orderBy("pts")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    gaps = (
+    runs = (
         times.withColumn("_chunk", chunk_of("pts", chunk_ticks))
         .withColumn("gap", F.col("pts") - F.lag("pts").over(inside))
         .withColumn("_new", F.when(F.col("gap") == F.lag("gap").over(inside), 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(so_far))
-        .filter("gap is not null")
-    )
-    runs = gaps.groupBy(*part, "_run").agg(
-        F.first("gap").alias("gap"), F.count("*").alias("n"), F.min("pts").alias("at")
-    )
-    ends = Window.partitionBy(*part)
-    head = F.col("at") == F.min("at").over(ends)
-    tail = ~head & (F.col("at") == F.max("at").over(ends))
-    runs = runs.withColumns({"_tail": tail, "_edge": head | tail})
-    by_clip = Window.partitionBy("clip_id").orderBy("_first")
-    joints = (
-        times.groupBy("clip_id", chunk_of("pts", chunk_ticks).alias("_chunk"))
-        .agg(F.min("pts").alias("_first"), F.max("pts").alias("_last"))
-        .select(
-            "clip_id",
-            (F.col("_first") - F.lag("_last").over(by_clip)).alias("gap"),
-            F.lit(1).cast("bigint").alias("n"),
-            F.col("_first").alias("at"),
-            F.lit(False),
+        .withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*part, "_run")
+        .agg(
+            F.first("gap").alias("gap"),
+            F.count("*").alias("n"),
+            F.min("pts").alias("at"),
+            F.max("pts").alias("end"),
         )
-        .filter("gap is not null")
-    )
-    along = Window.partitionBy("clip_id").orderBy("at")
-    # The last run of a chunk never continues its first one: others lie between, or gaps differ.
-    goes_on = ~F.col("_tail") & (F.col("gap") == F.lag("gap").over(along))
-    edges = (
-        runs.filter("_edge")
-        .select("clip_id", "gap", "n", "at", "_tail")
-        .union(joints)
-        .withColumn("_new", F.when(goes_on, 0).otherwise(1))
-        .withColumn(
-            "_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    # Run 1 is the first pts of the chunk, which has no gap inside it; run 2 is its first real run.
+    last_run = F.max("_run").over(Window.partitionBy(*part))
+    run = F.struct("gap", "n", "at")
+    real = F.col("gap").isNotNull()
+    inner = real & (F.col("_run") > 2) & (F.col("_run") < F.col("_last"))
+    by_clip = Window.partitionBy("clip_id").orderBy("_chunk")
+    chunks = (
+        runs.withColumn("_last", last_run)
+        .groupBy(*part)
+        .agg(
+            F.min("at").alias("_from"),
+            F.max("end").alias("_to"),
+            F.min_by(run, F.when(real, F.col("_run"))).alias("_head"),
+            F.max(F.when(real & (F.col("_run") > 2), F.struct("_run", run.alias("r")))).alias("_tail"),
+            F.max(F.when(inner, F.struct("n", (-F.col("at")).alias("m"), run.alias("r")))).alias("_best"),
         )
-        .groupBy("clip_id", "_run")
+        .withColumn("_joint", F.col("_from") - F.lag("_to").over(by_clip))
+    )
+    one = F.lit(1).cast("bigint")
+    piece = lambda r, tail, inner: F.when(
+        r["gap"].isNotNull(),
+        F.struct(
+            r["gap"].alias("gap"),
+            r["n"].alias("n"),
+            r["at"].alias("at"),
+            F.lit(tail).alias("tail"),
+            F.lit(inner).alias("inner"),
+        ),
+    )
+    joint = F.struct(F.col("_joint").alias("gap"), one.alias("n"), F.col("_from").alias("at"))
+    pieces = F.array(
+        piece(joint, False, False),
+        piece(F.col("_head"), False, False),
+        piece(F.col("_tail.r"), True, False),
+        piece(F.col("_best.r"), False, True),
+    )
+    along = Window.partitionBy("clip_id", "inner").orderBy("at")
+    # A run goes on from the piece before it when the gaps are equal. The last run of a chunk never
+    # continues its first one: others lie between, or the gaps differ.
+    goes_on = ~F.col("tail") & ~F.col("inner") & (F.col("gap") == F.lag("gap").over(along))
+    return (
+        chunks.select("clip_id", F.explode(pieces).alias("p"))
+        .filter("p is not null")
+        .select("clip_id", "p.*")
+        .withColumn("_new", F.when(goes_on, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("clip_id", "inner", "_run")
         .agg(F.first("gap").alias("gap"), F.sum("n").alias("n"), F.min("at").alias("at"))
-        .select("clip_id", "gap", "n", "at")
     )
-    return edges.union(runs.filter("not _edge").select("clip_id", "gap", "n", "at"))
