@@ -6,8 +6,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.functions import arrow
-from clipledger.functions.arrow import PEAK_16_BIT, PERFECT_DB
+from clipledger.functions.arrow import (
+    PEAK_16_BIT,
+    PERFECT_DB,
+    batches,
+    planar,
+    plane_psnr,
+    psnr_planes,
+    repack_words,
+)
 from clipledger.plans.scan import idiv
 from clipledger.sources.files import open_file
 from clipledger.sources.rawframes import frame_bytes
@@ -58,7 +65,7 @@ def gate(
     has no result. Only the picked frames' pixels reach the join.
     """
     picks = pick_frames(clips)
-    value = arrow.psnr_planes("a", "b") if score is None else score
+    value = psnr_planes("a", "b") if score is None else score
     # The few picks are the build side, so all other frames are dropped where they are read.
     side = lambda df, name: df.select(*FRAME, F.col(column).alias(name)).join(
         picks, FRAME
@@ -134,10 +141,10 @@ def compare_files(
                         for n in range(r["first"], min(r["first"] + step, r["frame_count"])):
                             one, two = a.read(size), b.read(size)
                             whole = len(one) == len(two) == size
-                            value = arrow.plane_psnr(one, two) if whole else None
+                            value = plane_psnr(one, two) if whole else None
                             yield {"clip_id": r["clip_id"], "frame_no": n, "psnr": value}
 
-        return arrow.batches(rows(), schema)
+        return batches(rows(), schema)
 
     kind = dict(pairs.dtypes)["clip_id"]
     schema = pa.schema(
@@ -163,16 +170,16 @@ def compare_files(
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """PSNR of every common frame of two runs of 16-bit planes (``planes BINARY``)."""
-    return frame_ab(a, b).select(*FRAME, arrow.psnr_planes("a", "b").alias("psnr"))
+    return frame_ab(a, b).select(*FRAME, psnr_planes("a", "b").alias("psnr"))
 
 
 def to_planar(frames: DataFrame) -> DataFrame:
     """Interleaved 16-bit RGB frames as planes, so two runs compare plane by plane."""
-    return frames.withColumn("planes", arrow.planar("planes"))
+    return frames.withColumn("planes", planar("planes"))
 
 
 def repack_blocks(blocks: DataFrame) -> DataFrame:
     """Audio blocks of 4-byte words as 3-byte samples, with a hash per block."""
-    return blocks.withColumn("payload", arrow.repack_words("payload")).withColumn(
+    return blocks.withColumn("payload", repack_words("payload")).withColumn(
         "block_hash", F.sha2("payload", 256)
     )
