@@ -27,8 +27,8 @@ from clipledger.plans.scan import (
 from clipledger.session import store
 
 CLIP = ["clip_id"]
-# Chunk of the search for the cut: smaller, as one chunk per clip is read twice.
-CUT_ROWS = 1 << 13
+# Packets per range in the steps of the search for the cut; the last step looks at single packets.
+CUT_WIDTHS = (1 << 18, 1 << 9, 1)
 # Fixed value: frames to step back from a key frame when groups are open.
 RESUME_BACKOFF = 17
 
@@ -113,59 +113,60 @@ def flag_complete(
 
 
 def complete_cut(
-    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CUT_ROWS
+    samples: DataFrame, bounds: DataFrame, widths: tuple[int, ...] = CUT_WIDTHS
 ) -> DataFrame:
     """``clip_id, cut_seq``: the first log position of each clip that is not complete.
 
-    Byte totals per chunk (reduced on the map side) tell in which chunk a clip crosses its bound,
-    and only the rows of that one chunk are summed. Both steps leave one row per clip, written to
-    the shared folder: its true size then lets Catalyst broadcast it, so the log itself is never
-    shuffled. A clip that never crosses has a null ``cut_seq``; one without bounds is cut at 0.
+    The position is searched in steps: byte totals of wide ranges of positions (reduced on the map
+    side) tell in which range a clip crosses its bound, then only that range is summed in narrower
+    ones, down to single packets. Each step leaves one row per clip, written to the shared folder:
+    its true size lets Catalyst broadcast it into the next step, so the log is read a few times
+    but never shuffled. A clip that never crosses has a null ``cut_seq``; one without bounds is
+    cut at 0.
     """
-    chunk = chunk_of("seq", chunk_rows)
+    if any(wide % narrow for wide, narrow in zip(widths, widths[1:])) or widths[-1] != 1:
+        raise ValueError("each width must be a multiple of the next one, and the last must be 1")
     so_far = (
         Window.partitionBy("clip_id")
-        .orderBy("_chunk")
+        .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     room = F.col("data_bound") - F.col("data_start")
-    over = F.col("_upto") > F.col("_room")
-    crossing = store(
-        samples.groupBy("clip_id", chunk.alias("_chunk"))
-        .agg(F.sum(_bytes()).alias("_bytes"))
-        .withColumn("_upto", F.sum("_bytes").over(so_far))
-        .join(bounds.select("clip_id", room.alias("_room")), "clip_id", "left")
-        .groupBy("clip_id")
-        .agg(
-            F.min(F.when(over, F.col("_chunk"))).alias("_chunk"),
-            F.min_by(
-                F.col("_room") - F.col("_upto") + F.col("_bytes"), F.when(over, F.col("_chunk"))
-            ).alias("_left"),
-            F.bool_or(F.col("_room").isNotNull()).alias("_known"),
-        ),
-        "crossing",
-    )
-    inside = Window.partitionBy("clip_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        samples.select("clip_id", "seq", "size", chunk.alias("_chunk"))
-        .join(crossing.filter("_chunk is not null"), ["clip_id", "_chunk"])
-        .withColumn("_end", F.sum(_bytes()).over(inside))
-        .filter((F.col("_end") > F.col("_left")) & (F.col("size") > 0))
-        .groupBy("clip_id")
-        .agg(F.min("seq").alias("_cut"))
-    )
-    cut_seq = F.when(F.col("_known"), F.col("_cut")).otherwise(_long(0))
-    return store(
-        crossing.join(cut, "clip_id", "left").select("clip_id", cut_seq.alias("cut_seq")), "cut"
-    )
+    found, wider = None, None
+    for width in widths:
+        rows = samples.select("clip_id", "seq", _bytes().alias("_bytes"))
+        if found is not None:
+            rows = rows.withColumn("_at", chunk_of("seq", wider)).join(
+                found.filter("_at is not null").select("clip_id", "_at"), ["clip_id", "_at"]
+            )
+        left = bounds.select("clip_id", room.alias("_left")) if found is None else found.select(
+            "clip_id", "_left"
+        )
+        summed = (
+            rows.groupBy("clip_id", chunk_of("seq", width).alias("_part"))
+            .agg(F.sum("_bytes").alias("_bytes"))
+            .withColumn("_upto", F.sum("_bytes").over(so_far))
+            .join(left, "clip_id", "left")
+        )
+        over = F.when(F.col("_upto") > F.col("_left"), F.col("_part"))
+        before = F.col("_left") - F.col("_upto") + F.col("_bytes")
+        step = summed.groupBy("clip_id").agg(
+            F.min(over).alias("_at"),
+            F.min_by(before, over).alias("_left"),
+            F.bool_or(F.col("_left").isNotNull()).alias("_known"),
+        )
+        if found is not None:
+            step = found.select("clip_id", "_known").join(step.drop("_known"), "clip_id", "left")
+        found, wider = store(step, "cut"), width
+    cut = F.when(F.col("_known"), F.col("_at")).otherwise(_long(0))
+    return found.select("clip_id", cut.alias("cut_seq"))
 
 
 def mark_complete(
-    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CUT_ROWS
+    samples: DataFrame, bounds: DataFrame, widths: tuple[int, ...] = CUT_WIDTHS
 ) -> DataFrame:
     """Add ``is_complete`` as :func:`flag_complete` does, from one cut position per clip."""
-    cut = complete_cut(samples, bounds, chunk_rows)
-    known = attach(samples, cut, CLIP, chunk_of("seq", chunk_rows))
+    known = attach(samples, complete_cut(samples, bounds, widths), CLIP, chunk_of("seq"))
     before = F.col("cut_seq").isNull() | (F.col("seq") < F.col("cut_seq"))
     return known.withColumn("is_complete", (F.col("size") > 0) & before).drop("cut_seq")
 

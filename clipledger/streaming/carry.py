@@ -38,9 +38,13 @@ class CarriedStream:
         )
 
     def _run(self, batch: DataFrame, batch_id: int) -> None:
-        output, state = self.step(batch, self._state_before(batch.sparkSession, batch_id))
-        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
-        output.write.mode("overwrite").parquet(f"{self.folder}/output/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            output, state = self.step(batch, self._state_before(batch.sparkSession, batch_id))
+            state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
+            output.write.mode("overwrite").parquet(f"{self.folder}/output/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     def start(self, stream: DataFrame, **trigger):
         return (

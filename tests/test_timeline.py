@@ -33,7 +33,8 @@ def test_complete_prefix_both_ways(spark, width):
     rows, bounds = bounds_of(spark, archive)
     df = frame_of(spark, archive)
     flagged = by_clip(T.flag_complete(df, bounds, width), "seq", "is_complete")
-    marked = by_clip(T.mark_complete(df, bounds, width), "seq", "is_complete")
+    steps = (width * 4, width, 1)
+    marked = by_clip(T.mark_complete(df, bounds, steps), "seq", "is_complete")
     for clip, start, bound in rows:
         want = list(enumerate(models.complete(archive[clip], start, bound)))
         assert flagged[clip] == want
@@ -42,6 +43,14 @@ def test_complete_prefix_both_ways(spark, width):
     assert counted == {c: sum(models.complete(archive[c], s, b)) for c, s, b in rows}
 
 
+def test_cut_steps_must_nest(spark):
+    archive = random_archive(3, clips=3)
+    _, bounds = bounds_of(spark, archive)
+    for widths in ((3, 2, 1), (8, 4)):
+        with pytest.raises(ValueError):
+            T.complete_cut(frame_of(spark, archive), bounds, widths)
+
+
 def test_clip_without_bounds_has_nothing_complete(spark):
     archive = random_archive(3, clips=3)
     _, bounds = bounds_of(spark, archive)
@@ -51,7 +60,7 @@ def test_clip_without_bounds_has_nothing_complete(spark):
         assert out.filter("clip_id = 'c1' and is_complete").count() == 0
 
 
-def marked_archive(spark, seed, width=1 << 18):
+def marked_archive(spark, seed):
     archive = random_archive(seed, clips=200)
     rows, bounds = bounds_of(spark, archive, seed)
     kept = {
@@ -62,13 +71,13 @@ def marked_archive(spark, seed, width=1 << 18):
         [(c, i % 2, DEN, 2, 40) for i, c in enumerate(archive)],
         "clip_id string, open_gop int, fps_den bigint, channels bigint, frame_count bigint",
     )
-    return archive, kept, T.mark_complete(frame_of(spark, archive), bounds, width), clips
+    return archive, kept, T.mark_complete(frame_of(spark, archive), bounds), clips
 
 
 @pytest.mark.parametrize("width", WIDTHS)
 @pytest.mark.parametrize("seed", [11, 12])
 def test_resume_point(spark, width, seed):
-    _, kept, marked, clips = marked_archive(spark, seed, width)
+    _, kept, marked, clips = marked_archive(spark, seed)
     got = {r.clip_id: r.resume_frame for r in T.resume_point(marked, clips, width).collect()}
     want = {c: models.resume_point(kept[c], i % 2, DEN) for i, c in enumerate(kept)}
     assert got == want
