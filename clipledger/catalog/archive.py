@@ -26,9 +26,10 @@ CHECKPOINTS = """select cast(c_custkey as string) clip_key,
   case when c_custkey % 17 = 0 then 's1' else 's2' end settingsHash,
   c_custkey * 10 videoFrames, c_custkey * 8000 audioEndSample, c_custkey * 12 totalFrames
   from {customer}"""
-NOW = """select cast(c_custkey as string) clip_key, '2.0' tool_version,
+NOW = """select case when c_custkey % 19 = 0 then concat('x', c_custkey)
+    else cast(c_custkey as string) end clip_key, '2.0' tool_version,
   concat('/in/', c_custkey, '.NEV') input, concat('h', c_custkey) sha256, 's2' settings_hash
-  from {customer} where c_custkey % 19 <> 0"""
+  from {customer}"""
 MATCHED = f"""matched as (select c.clip_key, case when n.clip_key is null then 'no source'
     when "toolVersion" <> tool_version then 'other version'
     when c.input <> n.input then 'other input'
@@ -50,10 +51,10 @@ def checkpoint_match(spark, sf_dir):
     return matches(spark, sf_dir)
 
 
-PARTS = """select cast(o_custkey as string) clip_key, concat('/out/', o_custkey, case o_orderpriority
-    when '1-URGENT' then '.part' when '2-HIGH' then '.samples' when '3-MEDIUM' then '.ckpt'
-    when '4-NOT SPECIFIED' then '.part.old' else '.txt' end) path from {orders}
-  where o_orderkey % 3 = 0"""
+PARTS = """select cast(o_custkey as string) clip_key, concat('/out/', o_custkey, case
+    when o_totalprice > 150000 then '.txt' when o_orderpriority = '1-URGENT' then '.part'
+    when o_orderpriority = '2-HIGH' then '.samples' when o_orderpriority = '3-MEDIUM' then '.ckpt'
+    when o_orderpriority = '4-NOT SPECIFIED' then '.part.old' else '.txt' end) path from {orders}"""
 STATES = f"""f as (select clip_key, bool_or(path like '%.part') p, bool_or(path like '%.part.old') o,
     bool_or(path like '%.samples') s, bool_or(path like '%.ckpt') k from {duck(PARTS)} q group by 1),
 j as (select coalesce(f.clip_key, m.clip_key) clip_key, coalesce(p, false) p, coalesce(o, false) o,
@@ -80,9 +81,9 @@ def artifact_state(spark, sf_dir):
 
 SOURCES = """select concat('/in/', c_custkey, case when c_custkey % 2 = 0 then '.NEV' else '.nev' end)
   path, c_custkey % 23 <> 0 is_regular from {customer}"""
-OUTPUTS = """select concat('/in/', o_custkey, case when o_orderstatus = 'F' then '.h265.mov'
-    else '.h265.mov.sidecar.json' end) path from {orders} where o_orderstatus <> 'P'
-    and o_orderkey % 7 = 0"""
+OUTPUTS = """select concat('/in/', o_custkey, case when o_totalprice > 100000 then '.txt'
+    when o_orderstatus = 'F' then '.h265.mov' when o_orderstatus = 'O'
+    then '.h265.mov.sidecar.json' else '.txt' end) path from {orders}"""
 REASONS = f"""have as (select regexp_extract(path, '/in/([0-9]+)', 1) k,
     bool_or(path like '%.mov') o, bool_or(path like '%.json') s from {duck(OUTPUTS)} q group by 1),
 reasons as (select path, '/in/' || regexp_extract(path, '/in/([0-9]+)', 1) || '.h265.mov' clip_key,
@@ -113,8 +114,10 @@ def pending_sources_forced(spark, sf_dir):
 
 
 TWICE = """select concat('/in/', c_custkey, '.NEV') path from {customer} union all
-  select concat('/in/', c_custkey, '.nev') path from {customer} where c_custkey % 6 = 0 union all
-  select concat('/in/', o_custkey, '.NEV') path from {orders} where o_orderkey % 9 = 0"""
+  select concat('/in/', c_custkey, case when c_acctbal < 0 then '.nev' else '-b.nev' end)
+  from {customer} union all
+  select concat('/in/', o_custkey, case when o_orderstatus = 'P' then '' else '-c' end, '.NEV')
+  from {orders}"""
 
 
 @query(
@@ -194,18 +197,19 @@ def ordered_dedup(spark, sf_dir):
     return N.ordered_dedup(view(spark, sf_dir, ARRIVALS))
 
 
-NUMBERED = """, numbered as (select clip_id, seq + case seq % 4 when 0 then 2 when 2 then -2 else 0 end n
-  from samples where size % 29 <> 0 or seq < 7)
+# Pairs swap places; rare numbers are lost and turn up far ahead.
+NUMBERED = """, numbered as (select clip_id, seq, seq + case seq % 4 when 0 then 2 when 2 then -2
+  else 0 end + case when size % 29 = 0 and seq > 6 then 1000000 else 0 end n from samples)
 """
+NUMBER = (
+    "seq + case seq % 4 when 0 then 2 when 2 then -2 else 0 end"
+    " + case when size % 29 = 0 and seq > 6 then 1000000 else 0 end"
+)
+
 
 
 def numbered(spark, sf_dir) -> DataFrame:
-    moved = F.expr("seq + case seq % 4 when 0 then 2 when 2 then -2 else 0 end")
-    return (
-        log(spark, sf_dir)
-        .filter("size % 29 <> 0 or seq < 7")
-        .select("clip_id", "seq", moved.alias("n"))
-    )
+    return log(spark, sf_dir).select("clip_id", "seq", F.expr(NUMBER).alias("n"))
 
 
 @query(
@@ -310,12 +314,12 @@ def stream_summary(spark, sf_dir):
     return V.stream_summary(probe(spark, sf_dir))
 
 
-SIDECAR_TEXT = """select concat('/out/', p_partkey, '.h265.mov') path, concat('{{"source": "/in/',
+SIDECAR_TEXT = """select concat(case when p_size % 7 = 0 then '/lost/' else '/out/' end, p_partkey,
+  '.h265.mov') path, concat('{{"source": "/in/',
   p_partkey, '.NEV", "encode": {{"crf": 14', case when p_size % 11 = 0 then '' else ', "keyint": 120' end,
   '}}, "matrix": "BT.2020", "decode_path": "', case when p_size % 3 = 0 then 'gpu' when p_size % 31 = 0
   then 'tpu' else 'cpu' end, '", "gpu_device": ', case when p_size % 6 = 0 then 'null' else '"card 0"' end,
-  case when p_size % 9 = 0 then '' else ', "gate_psnr_db": null' end, '}}') text, p_size from {part}
-  where p_size % 7 <> 0"""
+  case when p_size % 9 = 0 then '' else ', "gate_psnr_db": null' end, '}}') text, p_size from {part}"""
 RULES = f"""s as (select path, w is not null v, rate is not null a, q.* exclude (path)
     from {duck(STREAM_FACTS)} q),
 t as (select path, p_size from {duck(SIDECAR_TEXT)} q),
@@ -361,8 +365,8 @@ def archive_verdict(spark, sf_dir):
 
 
 # Documents as sources: a third of the archives names the same source.
-HASHED_SOURCES = """select concat('/in/', lang, '/', doc_id, '.NEV') path, text from {documents}
-  where doc_id % 8 <> 7"""
+HASHED_SOURCES = """select concat(case when doc_id % 8 = 7 then '/lost/' else '/in/' end, lang, '/',
+  doc_id, '.NEV') path, text from {documents}"""
 RECORDED = """select concat('/in/', d.lang, '/', d.doc_id, '.h265.mov') path,
   case when doc_id % 5 = 0 then 'wrong' when doc_id % 9 = 4 then null else text end want,
   case when doc_id % 3 = 0 then concat('/moved/', doc_id, '.NEV')

@@ -159,8 +159,9 @@ def audio_interleave(spark, sf_dir):
     return A.interleave(log(spark, sf_dir).filter("is_video"), aligned(spark, sf_dir))
 
 
-MADE = """select conv_id clip_id, turn block_idx, case when (turn * 7 + conv_id) % 31 = 0
-  then text || '.' else text end text from {conversations} where (turn + conv_id * 3) % 43 <> 0"""
+MADE = """select conv_id clip_id, turn + case when (turn + conv_id * 3) % 43 = 0 then 1000 else 0 end
+  block_idx, case when (turn * 7 + conv_id) % 31 = 0 then text || '.' else text end text
+  from {conversations}"""
 
 
 @query(

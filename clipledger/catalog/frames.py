@@ -12,14 +12,15 @@ from clipledger.operators import quality as Q
 from clipledger.plans import tables
 
 # Ten frames per clip; even vectors are run a, odd ones run b. In every third clip run b repeats
-# run a, and some frames of run b are missing.
+# run a and the odd vectors are frames that only run b has; elsewhere a few numbers are off.
 RUN_A = """select cast(floor(vec_id / 20.0) as bigint) clip_id,
   cast(floor(vec_id / 2.0) as bigint) % 10 frame_no, embedding planes
   from {embeddings} where vec_id % 2 = 0"""
 RUN_B = """select cast(floor(vec_id / 20.0) as bigint) clip_id,
-  cast(floor(vec_id / 2.0) as bigint) % 10 frame_no, embedding planes
-  from {embeddings} where vec_id % 2 = case when floor(vec_id / 20.0) % 3 = 0 then 0 else 1 end
-  and not (floor(vec_id / 20.0) % 7 = 5 and floor(vec_id / 2.0) % 10 > 8)"""
+  cast(floor(vec_id / 2.0) as bigint) % 10 + case when floor(vec_id / 20.0) % 3 = 0 and vec_id % 2 = 1
+    then 10 when floor(vec_id / 20.0) % 7 = 5 and floor(vec_id / 2.0) % 10 > 8 then 50 else 0 end
+  frame_no, embedding planes from {embeddings}
+  where vec_id % 2 = 1 or floor(vec_id / 20.0) % 3 = 0"""
 CLIPS = """select cast(floor(vec_id / 20.0) as bigint) clip_id, max(case when
   floor(vec_id / 20.0) % 11 = 10 then 0 else 1 end) * count(distinct floor(vec_id / 2.0)) frame_count
   from {embeddings} group by 1"""

@@ -64,12 +64,12 @@ def audio_check(spark, sf_dir):
 SHOT = """select p_partkey clip_id, 3000 + p_size * 50 kelvin, cast(p_size / 4.0 as double) tint,
   100 * p_size iso, cast(p_size / 8.0 as double) exposure, 1 + p_size % 2 lens,
   p_size % 2 chroma_nr from {part}"""
-USER = """select p_partkey clip_id, case when p_size % 2 = 0 then 0 else 5600 end kelvin,
+USER = """select case when p_size % 13 = 0 then -p_partkey else p_partkey end clip_id,
+  case when p_size % 2 = 0 then 0 else 5600 end kelvin,
   cast(case when p_size % 3 = 0 then 'NaN' else '1.5' end as double) tint,
   case when p_size % 5 = 0 then 0 else 800 end iso,
   cast(case when p_size % 7 = 0 then 'NaN' else '-0.25' end as double) exposure,
-  p_size % 3 lens, case when p_size % 4 = 0 then -1 else 1 end chroma_nr
-  from {part} where p_size % 13 <> 0"""
+  p_size % 3 lens, case when p_size % 4 = 0 then -1 else 1 end chroma_nr from {part}"""
 
 
 @query(

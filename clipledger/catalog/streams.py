@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.catalog.archive import ARRIVALS, NUMBERED
+from clipledger.catalog.archive import ARRIVALS, NUMBER, NUMBERED
 from clipledger.catalog.base import duck, query, with_samples
 from clipledger.catalog.settings import duration_sql
 from clipledger.catalog.timeline import log
@@ -103,23 +103,19 @@ def ordered_dedup_stream(spark, sf_dir):
     "reorder_stream",
     with_samples(
         NUMBERED
-        + """, d as (select clip_id, n, min(n - case n % 4 when 2 then 2 when 0 then -2 else 0 end) came
-    from numbered where n >= 0 group by 1, 2),
+        + """, d as (select clip_id, n, min(seq) came from numbered where n >= 0 group by 1, 2),
 r as (select *, n + 1 = row_number() over (partition by clip_id order by n) released from d),
 due as (select c.clip_id, coalesce(max(n) filter (released), -1) + 1 due from clips c
   left join r using (clip_id) group by 1),
 stuck as (select clip_id, min(came) since from r where not released group by 1)
 select clip_id, cast(n as bigint) n, 'released' event from r where released union all
 select clip_id, cast(due as bigint), 'gap' from due join stuck using (clip_id)
-where (select max(seq) from samples where size % 29 <> 0 or seq < 7) - since > 30"""
+where (select max(seq) from samples) - since > 30"""
     ),
 )
 def reorder_stream(spark, sf_dir):
-    moved = F.expr("seq + case seq % 4 when 0 then 2 when 2 then -2 else 0 end")
-    arrivals = (
-        log_stream(spark, sf_dir)
-        .filter("size % 29 <> 0 or seq < 7")
-        .select("clip_id", moved.alias("n"), F.timestamp_seconds("seq").alias("ts"))
+    arrivals = log_stream(spark, sf_dir).select(
+        "clip_id", F.expr(NUMBER).alias("n"), F.timestamp_seconds("seq").alias("ts")
     )
     return S.reorder_stream(spark, timeout_s=30).drain(arrivals)
 

@@ -270,16 +270,21 @@ def monotone_dts(spark, sf_dir):
     return T.monotone_dts(rough).select("clip_id", "seq", "pts", "dts", "changed")
 
 
-# Some frames lost and some logged twice, so that the cadence has faults to find.
+# Some frames lost (logged as something else) and some logged with the pts of the frame before, so
+# that the cadence has faults to find.
 WORN = """,
-worn as (select * from samples where size % 7 <> 0
-  union all select * from samples where size % 41 = 0)
+worn as (select * replace (is_video and size % 7 <> 0 as is_video,
+  case when size % 41 = 0 then greatest(pts - 1001, 0) else pts end as pts) from samples)
 """
 
 
 def worn(spark, sf_dir) -> DataFrame:
-    samples = log(spark, sf_dir)
-    return samples.filter("size % 7 <> 0").union(samples.filter("size % 41 = 0"))
+    return log(spark, sf_dir).withColumns(
+        {
+            "is_video": F.expr("is_video and size % 7 <> 0"),
+            "pts": F.expr("case when size % 41 = 0 then greatest(pts - 1001, 0) else pts end"),
+        }
+    )
 
 
 CADENCE = """, t as (select clip_id, pts, count(*) copies from worn where is_video group by 1, 2),
@@ -330,8 +335,10 @@ everyone as (select distinct clip_id from samples)
 
 def uneven(spark, sf_dir) -> DataFrame:
     """Lost frames and a jitter of up to two ticks, so that gaps differ."""
-    samples = log(spark, sf_dir).filter("not is_video or size % 3 <> 0")
-    return samples.withColumn("pts", F.expr("case when is_video and pts > 0 then pts - (pts div 1001) % 3 else pts end"))
+    jitter = F.expr("case when is_video and pts > 0 then pts - (pts div 1001) % 3 else pts end")
+    return log(spark, sf_dir).withColumns(
+        {"is_video": F.expr("is_video and size % 3 <> 0"), "pts": jitter}
+    )
 
 
 @query(
@@ -345,11 +352,7 @@ from everyone e left join best b on b.clip_id = e.clip_id and rk = 1"""
     ),
 )
 def frame_duration(spark, sf_dir):
-    samples = log(spark, sf_dir)
-    out = T.frame_duration(uneven(spark, sf_dir))
-    return samples.select("clip_id").distinct().join(out, "clip_id", "left").select(
-        "clip_id", F.coalesce("frame_ticks", F.lit(1).cast("bigint")).alias("frame_ticks")
-    )
+    return T.frame_duration(uneven(spark, sf_dir))
 
 
 @query(
@@ -363,11 +366,7 @@ from everyone e left join best b on b.clip_id = e.clip_id and rk = 1"""
     ),
 )
 def frame_duration_mode(spark, sf_dir):
-    samples = log(spark, sf_dir)
-    out = T.frame_duration(uneven(spark, sf_dir), "mode")
-    return samples.select("clip_id").distinct().join(out, "clip_id", "left").select(
-        "clip_id", F.coalesce("frame_ticks", F.lit(1).cast("bigint")).alias("frame_ticks")
-    )
+    return T.frame_duration(uneven(spark, sf_dir), "mode")
 
 
 @query(
