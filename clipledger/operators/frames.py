@@ -16,6 +16,7 @@ from clipledger.functions.arrow import (
     repack_words,
 )
 from clipledger.plans.scan import idiv
+from clipledger.session import reading_tasks
 from clipledger.sources.files import open_file
 from clipledger.sources.rawframes import frame_bytes
 
@@ -162,8 +163,7 @@ def compare_files(
         "frame_count",
         F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(step).cast("bigint"))).alias("first"),
     )
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(tasks, "clip_id", "first").mapInArrow(
+    return ranges.repartition(reading_tasks(pairs.sparkSession), "clip_id", "first").mapInArrow(
         job, f"clip_id {kind}, frame_no bigint, psnr double"
     )
 

@@ -16,12 +16,21 @@ SESSION_CONF = {
 }
 
 
+# On a cluster shuffles start this fine and AQE joins small partitions, so that partitions of a
+# 100 TB shuffle are some gigabytes at most without a setting per job.
+CLUSTER_CONF = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32768"}
+
+
 def build_session(app: str = "clipledger", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings this library is tuned for. ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    settings = dict(SESSION_CONF)
+    if not (master or "").startswith("local"):
+        settings.update(CLUSTER_CONF)
+    settings.update({k.replace("__", "."): v for k, v in conf.items()})
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -41,6 +50,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def reading_tasks(spark: SparkSession) -> int:
+    """Tasks for small rows that each stand for much file reading."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused folder below the shared one."""
     return f"{checkpoint_root(spark)}/clipledger/{label}-{uuid.uuid4().hex}"

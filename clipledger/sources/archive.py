@@ -13,6 +13,7 @@ from clipledger.functions.arrow import batches, framing_fault
 from clipledger.operators.artifacts import classify
 from clipledger.operators.timeline import flag_complete
 from clipledger.plans.scan import attach, chunk_of
+from clipledger.session import reading_tasks
 from clipledger.sources.files import open_file
 
 HASH_READ = 4 << 20
@@ -104,8 +105,7 @@ def _spread(files: DataFrame, *by) -> DataFrame:
 
     The rows are small, so without a fixed number AQE would put them all in one task.
     """
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks, *by)
+    return files.repartition(reading_tasks(files.sparkSession), *by)
 
 
 def box_index(artifacts: DataFrame) -> DataFrame:

@@ -99,25 +99,47 @@ def checkpoint_versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
-def write_checkpoints(snapshots: DataFrame, path: str, order: str, version: int | None = None) -> int:
-    """Write the newest snapshot per clip as a new version. Readers see whole versions only."""
+def write_checkpoints(
+    snapshots: DataFrame, path: str, order: str, version: int | None = None
+) -> int:
+    """Put the newest snapshot of each clip in place of its older one, as a new version.
+
+    Clips without a new snapshot keep the one they have. Readers see whole versions only, and
+    writing a version again gives the same table.
+    """
     spark = snapshots.sparkSession
+    versions = checkpoint_versions(spark, path)
     if version is None:
-        version = max(checkpoint_versions(spark, path), default=-1) + 1
+        version = max(versions, default=-1) + 1
     latest = latest_checkpoints(snapshots, order)
-    latest.select("clip_key", checkpoint_json(latest).alias("text")).write.mode("overwrite").parquet(
-        f"{path}/version={version}"
-    )
+    table = latest.select("clip_key", checkpoint_json(latest).alias("text"))
+    earlier = [v for v in versions if v < version]
+    if earlier:
+        kept = _checkpoint_texts(spark, path, earlier[-1])
+        table = table.union(kept.join(latest.select("clip_key"), "clip_key", "left_anti"))
+    table.write.mode("overwrite").parquet(f"{path}/version={version}")
     return version
 
 
+def checkpoint_sink(path: str, order: str):
+    """For ``foreachBatch``: each micro-batch of snapshots becomes a version of the table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_checkpoints(batch, path, order, batch_id)
+
+    return write
+
+
+def _checkpoint_texts(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema("clip_key string, text string").parquet(f"{path}/version={version}")
+
+
 def read_checkpoint_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest finished version of a checkpoint table."""
     versions = checkpoint_versions(spark, path)
     if not versions:
         raise FileNotFoundError(f"no finished checkpoint version below {path}")
-    rows = spark.read.schema("clip_key string, text string").parquet(f"{path}/version={versions[-1]}")
-    return parse_checkpoints(rows)
+    return parse_checkpoints(_checkpoint_texts(spark, path, versions[-1]))
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipledger.operators.arrivals import ordered_dedup, release_prefix
 from clipledger.operators.artifacts import pending
 from clipledger.operators.settings import progress
+from clipledger.operators.timeline import resume_point
 from clipledger.plans.scan import (
     CHUNK_ROWS,
     chunk_of,
@@ -178,8 +179,8 @@ def resume_stream(
 ) -> CarriedStream:
     """The complete prefix of growing logs: packets that end at or below the bound of valid data.
 
-    Input is the sample log in ``seq`` order; the state is the bytes seen of each clip. Feed the
-    result to the resume point when one is wanted.
+    Input is the sample log in ``seq`` order; the state is the bytes seen of each clip.
+    :func:`resume_now` gives the resume points when they are wanted.
     """
 
     def step(batch: DataFrame, state: DataFrame):
@@ -212,6 +213,11 @@ def resume_stream(
     )
 
 
+def resume_now(stream: CarriedStream, clips: DataFrame) -> DataFrame:
+    """The resume point of each clip from what a :func:`resume_stream` has written so far."""
+    return resume_point(stream.result().withColumn("is_complete", F.lit(True)), clips)
+
+
 def intake_stream(spark: SparkSession, list_artifacts, folder: str | None = None) -> CarriedStream:
     """New source files (``path, is_regular``) that still need work, each reported once.
 

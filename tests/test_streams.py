@@ -107,6 +107,11 @@ def test_growing_logs_and_resume_stream(spark, tmp_path):
     got = by_clip(stream.result(), "seq", "size", "offset")
     batch = T.complete_prefix(frame_of(spark, archive), bounds)
     assert got == by_clip(batch, "seq", "size", "offset")
+    clips = spark.createDataFrame(
+        [(c, 10, i % 2) for i, c in enumerate(archive)], "clip_id string, fps_den bigint, open_gop int"
+    )
+    points = {r.clip_id: r.resume_frame for r in S.resume_now(stream, clips).collect()}
+    assert points == {r.clip_id: r.resume_frame for r in T.resume_point(T.mark_complete(frame_of(spark, archive), bounds), clips).collect()}
     again = spark.readStream.format("samplelog").option("clipId", "name").load(folder)
     assert drain_append(again).count() == sum(map(len, archive.values()))
 
