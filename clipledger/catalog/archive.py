@@ -406,10 +406,10 @@ def source_hash_check(spark, sf_dir):
     ),
 )
 def sample_log_round_trip(spark, sf_dir):
-    samplelog.register(spark)
     folder = scratch_path(spark, "logs")
-    samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
-    samples.write.format("samplelog").mode("append").save(folder)
+    samplelog.write_logs(
+        log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string")), folder
+    )
     return spark.read.format("samplelog").option("clipId", "name").load(folder)
 
 

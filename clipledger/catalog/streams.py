@@ -122,10 +122,10 @@ def reorder_stream(spark, sf_dir):
 
 def logs_on_disk(spark, sf_dir) -> str:
     """The packet logs as binary files, one per clip."""
-    samplelog.register(spark)
     folder = scratch_path(spark, "logs")
-    samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
-    samples.write.format("samplelog").mode("append").save(folder)
+    samplelog.write_logs(
+        log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string")), folder
+    )
     return folder
 
 

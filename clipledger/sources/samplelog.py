@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -41,6 +41,7 @@ SUFFIX = ".samples"
 
 SPLIT_RECORDS = 1 << 21
 BATCH_RECORDS = 1 << 16
+OPEN_LOGS = 64
 
 
 @dataclass(frozen=True)
@@ -186,8 +187,9 @@ class SampleLogWriter(DataSourceArrowWriter):
     """One log per clip below a folder that driver and executors share.
 
     ``seq`` must number the records of a clip from 0 without gaps. Records go straight to their
-    place in a staged file, so nothing is shuffled or sorted and a repeated task writes the same
+    place in a staged file, whatever task they come from, and a repeated task writes the same
     bytes again. A log appears under its name only when all of its records are there.
+    :func:`write_logs` orders the rows first, so that the writes are long ones.
     """
 
     def __init__(self, path: str, overwrite: bool):
@@ -203,29 +205,42 @@ class SampleLogWriter(DataSourceArrowWriter):
 
     def write(self, iterator):
         counts: dict[str, tuple[int, int]] = {}
-        for batch in iterator:
-            frame = batch.to_pandas().sort_values(["clip_id", "seq"])
-            for clip, rows in frame.groupby("clip_id", sort=False):
-                self._write_rows(clip, rows)
-                seen, top = counts.get(clip, (0, -1))
-                counts[clip] = (seen + len(rows), max(top, int(rows["seq"].iloc[-1])))
+        handles: dict[str, int] = {}
+        try:
+            for batch in iterator:
+                frame = batch.to_pandas().sort_values(["clip_id", "seq"])
+                for clip, rows in frame.groupby("clip_id", sort=False):
+                    self._write_rows(self._handle(handles, clip), rows)
+                    seen, top = counts.get(clip, (0, -1))
+                    counts[clip] = (seen + len(rows), max(top, int(rows["seq"].iloc[-1])))
+        finally:
+            while handles:
+                self._close(handles.popitem()[1])
         return LogWritten(counts)
 
-    def _write_rows(self, clip, rows) -> None:
+    def _handle(self, handles: dict[str, int], clip: str) -> int:
+        if clip not in handles:
+            if len(handles) >= OPEN_LOGS:
+                self._close(handles.pop(next(iter(handles))))
+            handles[clip] = os.open(self._staged(clip), os.O_CREAT | os.O_WRONLY)
+            os.pwrite(handles[clip], HEADER, 0)
+        return handles[clip]
+
+    @staticmethod
+    def _close(handle: int) -> None:
+        os.fsync(handle)
+        os.close(handle)
+
+    @staticmethod
+    def _write_rows(handle: int, rows) -> None:
         out = np.empty(len(rows), RECORD)
         out["flags"] = rows["is_video"].to_numpy() * 1 + rows["is_key"].to_numpy() * 2
         for column in ("size", "pts", "dts", "frame_no"):
             out[column] = rows[column].to_numpy()
         seq = rows["seq"].to_numpy()
-        handle = os.open(self._staged(clip), os.O_CREAT | os.O_WRONLY)
-        try:
-            os.pwrite(handle, HEADER, 0)
-            for run in np.split(np.arange(len(seq)), np.flatnonzero(np.diff(seq) != 1) + 1):
-                place = len(HEADER) + int(seq[run[0]]) * RECORD.itemsize
-                os.pwrite(handle, out[run[0] : run[-1] + 1].tobytes(), place)
-            os.fsync(handle)
-        finally:
-            os.close(handle)
+        for run in np.split(np.arange(len(seq)), np.flatnonzero(np.diff(seq) != 1) + 1):
+            place = len(HEADER) + int(seq[run[0]]) * RECORD.itemsize
+            os.pwrite(handle, out[run[0] : run[-1] + 1].tobytes(), place)
 
     def commit(self, messages):
         totals: dict[str, tuple[int, int]] = {}
@@ -250,5 +265,17 @@ class SampleLogWriter(DataSourceArrowWriter):
         os.rmdir(self.stage)
 
 
+def write_logs(samples: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a log table as log files. Rows are ranged by (clip, seq): a large clip is split."""
+    register(samples.sparkSession)
+    (
+        samples.repartitionByRange("clip_id", "seq")
+        .sortWithinPartitions("clip_id", "seq")
+        .write.format("samplelog")
+        .mode(mode)
+        .save(path)
+    )
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SampleLogSource)

@@ -73,8 +73,11 @@ def test_log_sink(spark, logs, tmp_path_factory):
     archive, folder = logs
     out = tmp_path_factory.mktemp("sink")
     df = frame_of(spark, archive).repartition(5, "size")
+    ranged = tmp_path_factory.mktemp("ranged")
+    samplelog.write_logs(df, str(ranged))
     df.write.format("samplelog").mode("append").save(str(out))
     for clip, rows in archive.items():
+        assert (ranged / f"{clip}.samples").read_bytes() == log_bytes(rows)
         assert (out / f"{clip}.samples").read_bytes() == log_bytes(rows)
     assert not [n for n in os.listdir(out) if n.startswith("_")]
     with pytest.raises(Exception, match="FileExists"):
