@@ -170,8 +170,8 @@ RATE_TEXT = """select l_orderkey * 8 + l_linenumber clip_id, case when l_linenum
 
 @query(
     "segment_frames",
-    f"""with q as (select clip_id, regexp_extract(rate, '^([0-9]+)/([1-9][0-9]*)$', 1) n,
-  regexp_extract(rate, '^([0-9]+)/([1-9][0-9]*)$', 2) d from {duck(RATE_TEXT)} z)
+    f"""with q as (select clip_id, regexp_extract(rate, '^([0-9]+)/([1-9][0-9]+)$', 1) n,
+  regexp_extract(rate, '^([0-9]+)/([1-9][0-9]+)$', 2) d from {duck(RATE_TEXT)} z)
 select clip_id, cast(case when n = '' then 600 else greatest((try_cast(n as bigint) * 10
   + try_cast(d as bigint) // 2) // try_cast(d as bigint), 1) end as bigint) frames from q""",
 )
@@ -231,7 +231,8 @@ r as (select *, case when total > 0 then least(done / total, 1.0::double) else 0
 select clip_id, fraction,
   rpad(repeat('#', cast(floor(fraction * 20 + 0.5::double) as int)), 20, '-') bar,
   a media_done_s, b media_total_s, b - a media_left_s, w work_left_s, now_epoch + w eta_epoch,
-  {duration_sql('a')} done_text, {duration_sql('b')} total_text, {duration_sql('w')} left_text from r""",
+  {duration_sql('a')} done_text, {duration_sql('b')} total_text, {duration_sql('w')} left_text,
+  {duration_sql('(b - a)')} media_left_text from r""",
 )
 def progress(spark, sf_dir):
     jobs = view(spark, sf_dir, JOBS)

@@ -17,6 +17,7 @@ AUDIO_BITS = 24
 BYTES_PER_SAMPLE = 3
 SEGMENT_SECONDS = 10
 SEGMENT_FALLBACK = 600
+DEFAULT_PACKET_SAMPLES = 4800
 
 
 def _c(value) -> Column:
@@ -52,9 +53,12 @@ def auto_keyint(fps_num, fps_den, keyint=None) -> Column:
 
 
 def segment_frames(rate_text) -> Column:
-    """Frames in ten seconds of a ``num/den`` rate, at least 1; 600 when the rate is unusable."""
+    """Frames in ten seconds of a ``num/den`` rate, at least 1; 600 when the rate is unusable.
+
+    A denominator of a single digit counts as unusable, as in the tool this rule comes from.
+    """
     pair = parse_rational(rate_text)
-    usable = _c(rate_text).rlike(r"^[0-9]+/[1-9][0-9]*$")
+    usable = _c(rate_text).rlike(r"^[0-9]+/[1-9][0-9]+$")
     frames = idiv(pair.num * SEGMENT_SECONDS + idiv(pair.den, _long(2)), pair.den)
     return F.when(usable, F.greatest(frames, _long(1))).otherwise(_long(SEGMENT_FALLBACK))
 
@@ -82,10 +86,15 @@ def fmt_duration(seconds) -> Column:
 
 
 def packet_duration(is_video, size, fps_den, channels) -> Column:
-    """Ticks a packet lasts: one frame for video, whole samples per channel for audio."""
+    """Ticks a packet lasts: one frame for video, whole samples per channel for audio.
+
+    Audio of unknown channels lasts a fixed number of samples.
+    """
     per = (_c(channels) * BYTES_PER_SAMPLE).cast("bigint")
-    return F.when(_c(is_video), _c(fps_den).cast("bigint")).when(
-        per > 0, idiv(_c(size), per)
+    return (
+        F.when(_c(is_video), _c(fps_den).cast("bigint"))
+        .when(per > 0, idiv(_c(size), per))
+        .otherwise(_long(DEFAULT_PACKET_SAMPLES))
     )
 
 

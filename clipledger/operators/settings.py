@@ -183,5 +183,6 @@ def progress(df: DataFrame) -> DataFrame:
             "done_text": R.fmt_duration("media_done_s"),
             "total_text": R.fmt_duration("media_total_s"),
             "left_text": R.fmt_duration("work_left_s"),
+            "media_left_text": R.fmt_duration("media_left_s"),
         }
     )

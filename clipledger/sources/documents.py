@@ -80,21 +80,13 @@ def checkpoint_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*filled), {"ignoreNullFields": "false"})
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def checkpoint_versions(spark: SparkSession, path: str) -> list[int]:
+def checkpoint_versions(path: str) -> list[int]:
     """Finished versions below ``path``; a version without its success mark is not there yet."""
-    system, where = _filesystem(spark, path)
-    if not system.exists(where):
-        return []
+    system, root = resolve(path)
     found = []
-    for status in system.listStatus(where):
-        match = re.fullmatch(r"version=(\d+)", status.getPath().getName())
-        if match and system.exists(_filesystem(spark, f"{status.getPath()}/_SUCCESS")[1]):
+    for entry in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        match = re.fullmatch(r"version=(\d+)", entry.base_name)
+        if match and system.get_file_info(f"{entry.path}/_SUCCESS").type == fs.FileType.File:
             found.append(int(match.group(1)))
     return sorted(found)
 
@@ -108,7 +100,7 @@ def write_checkpoints(
     writing a version again gives the same table.
     """
     spark = snapshots.sparkSession
-    versions = checkpoint_versions(spark, path)
+    versions = checkpoint_versions(path)
     if version is None:
         version = max(versions, default=-1) + 1
     latest = latest_checkpoints(snapshots, order)
@@ -136,7 +128,7 @@ def _checkpoint_texts(spark: SparkSession, path: str, version: int) -> DataFrame
 
 def read_checkpoint_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest finished version of a checkpoint table."""
-    versions = checkpoint_versions(spark, path)
+    versions = checkpoint_versions(path)
     if not versions:
         raise FileNotFoundError(f"no finished checkpoint version below {path}")
     return parse_checkpoints(_checkpoint_texts(spark, path, versions[-1]))

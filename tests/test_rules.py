@@ -44,13 +44,22 @@ def test_durations(spark):
 
 def test_rates(spark):
     texts = ["60000/1001", "24/1", "25", "0/1", "24/0", "x/1", "1/1000", None]
-    assert values(spark, texts, "string", R.segment_frames("x"))[:7] == [599, 240, 600, 1, 600, 600, 1]
+    assert values(spark, texts, "string", R.segment_frames("x"))[:7] == [599, 600, 600, 600, 600, 600, 1]
     pair = R.parse_rational("x")
     assert values(spark, texts, "string", F.struct(pair.num, pair.den)) == [
         (60000, 1001), (24, 1), (None, None), (0, 1), (24, 0), (None, None), (1, 1000), (None, None),
     ]
 
 
+def test_packet_duration(spark):
+    df = spark.createDataFrame(
+        [(True, 9, 1001, 2), (False, 25, 1001, 2), (False, 25, 1001, 0)],
+        "is_video boolean, size bigint, fps_den bigint, channels int",
+    )
+    ticks = R.packet_duration("is_video", "size", "fps_den", "channels")
+    assert [r.t for r in df.select(ticks.alias("t")).collect()] == [1001, 4, 4800]
+
+
 def test_keyint(spark):
     df = spark.createDataFrame(
         [(60000, 1001, 0), (24, 1, 0), (1, 10, 0), (24, 1, 33)], "n bigint, d bigint, k bigint"
