@@ -15,6 +15,7 @@ from clipledger.plans.scan import (
     CHUNK_TICKS,
     attach,
     chunk_of,
+    estimated_bytes,
     idiv,
     ordered_chunks,
     running,
@@ -29,6 +30,7 @@ from clipledger.session import store
 CLIP = ["clip_id"]
 # Packets per range in the steps of the search for the cut; the last step looks at single packets.
 CUT_WIDTHS = (1 << 18, 1 << 9, 1)
+SMALL_LOG = 256 << 20
 # Fixed value: frames to step back from a key frame when groups are open.
 RESUME_BACKOFF = 17
 
@@ -163,9 +165,18 @@ def complete_cut(
 
 
 def mark_complete(
-    samples: DataFrame, bounds: DataFrame, widths: tuple[int, ...] = CUT_WIDTHS
+    samples: DataFrame,
+    bounds: DataFrame,
+    widths: tuple[int, ...] = CUT_WIDTHS,
+    small: int = SMALL_LOG,
 ) -> DataFrame:
-    """Add ``is_complete`` as :func:`flag_complete` does, from one cut position per clip."""
+    """Add ``is_complete`` as :func:`flag_complete` does, without a shuffle of the log.
+
+    The flag comes from one cut position per clip. A log that Catalyst estimates at no more than
+    ``small`` bytes is not worth the steps of that search and is flagged by running sums.
+    """
+    if estimated_bytes(samples) <= small:
+        return flag_complete(samples, bounds).drop("offset")
     known = attach(samples, complete_cut(samples, bounds, widths), CLIP, chunk_of("seq"))
     before = F.col("cut_seq").isNull() | (F.col("seq") < F.col("cut_seq"))
     return known.withColumn("is_complete", (F.col("size") > 0) & before).drop("cut_seq")

@@ -183,12 +183,15 @@ def ordered_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's own size estimate, the one it picks join strategies by."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _fits_broadcast(facts: DataFrame) -> bool:
-    """True when Catalyst's own size estimate is below the session's broadcast limit."""
-    spark = facts.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= int(limit)
+    """True when the estimate is below the session's broadcast limit."""
+    conf = facts.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(facts) <= int(conf.autoBroadcastJoinThreshold())
 
 
 def attach(

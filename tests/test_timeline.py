@@ -34,11 +34,13 @@ def test_complete_prefix_both_ways(spark, width):
     df = frame_of(spark, archive)
     flagged = by_clip(T.flag_complete(df, bounds, width), "seq", "is_complete")
     steps = (width * 4, width, 1)
-    marked = by_clip(T.mark_complete(df, bounds, steps), "seq", "is_complete")
+    marked = by_clip(T.mark_complete(df, bounds, steps, 0), "seq", "is_complete")
+    short = by_clip(T.mark_complete(df, bounds), "seq", "is_complete")
     for clip, start, bound in rows:
         want = list(enumerate(models.complete(archive[clip], start, bound)))
         assert flagged[clip] == want
         assert marked[clip] == want
+        assert short[clip] == want
     counted = {r.clip_id: r.complete_packets for r in T.count_complete(T.mark_complete(df, bounds)).collect()}
     assert counted == {c: sum(models.complete(archive[c], s, b)) for c, s, b in rows}
 
@@ -55,7 +57,7 @@ def test_clip_without_bounds_has_nothing_complete(spark):
     archive = random_archive(3, clips=3)
     _, bounds = bounds_of(spark, archive)
     df, known = frame_of(spark, archive), bounds.filter("clip_id <> 'c1'")
-    for out in (T.flag_complete(df, known), T.mark_complete(df, known)):
+    for out in (T.flag_complete(df, known), T.mark_complete(df, known, small=0)):
         assert out.filter("clip_id = 'c1'").count() == len(archive["c1"])
         assert out.filter("clip_id = 'c1' and is_complete").count() == 0
 
@@ -71,7 +73,7 @@ def marked_archive(spark, seed):
         [(c, i % 2, DEN, 2, 40) for i, c in enumerate(archive)],
         "clip_id string, open_gop int, fps_den bigint, channels bigint, frame_count bigint",
     )
-    return archive, kept, T.mark_complete(frame_of(spark, archive), bounds), clips
+    return archive, kept, T.mark_complete(frame_of(spark, archive), bounds, small=0), clips
 
 
 @pytest.mark.parametrize("width", WIDTHS)
