@@ -191,11 +191,15 @@ def asof_join(
 def content_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per clip: are the blocks of both sides the same bytes? A block missing on a side differs.
 
-    Both sides have ``clip_id, block_idx, payload``; only hashes are shuffled.
+    Both sides have ``clip_id, block_idx, payload``; only hashes are shuffled. A block that occurs
+    more than once is summed up first, so copies do not multiply in the join.
     """
-    hashed = lambda df, name: df.select(
-        "clip_id", "block_idx", F.sha2("payload", 256).alias(name)
-    )
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        digest = F.sha2("payload", 256)
+        summary = F.struct(F.min(digest), F.max(digest), F.count("*"))
+        return df.groupBy("clip_id", "block_idx").agg(summary.alias(name))
+
     pairs = hashed(left, "a").join(hashed(right, "b"), ["clip_id", "block_idx"], "full")
     same = F.col("a").eqNullSafe(F.col("b")) & F.col("a").isNotNull()
     return pairs.groupBy("clip_id").agg(

@@ -122,9 +122,14 @@ def validate_settings(settings: DataFrame) -> DataFrame:
     if {"keyint", "min_keyint"} <= set(settings.columns):
         keyint, least = F.col("keyint"), F.col("min_keyint")
         broken("min_keyint above keyint", (keyint > 0) & (least > keyint), least)
-    hits = F.filter(F.array(*checks), lambda hit: hit.isNotNull())
-    return settings.select("clip_id", F.explode(hits).alias("hit")).select(
-        "clip_id", "hit.rule", "hit.value"
+    any_hit = checks[0].isNotNull()
+    for check in checks[1:]:
+        any_hit = any_hit | check.isNotNull()
+    return (
+        settings.filter(any_hit)
+        .select("clip_id", F.explode(F.array(*checks)).alias("hit"))
+        .filter("hit is not null")
+        .select("clip_id", "hit.rule", "hit.value")
     )
 
 

@@ -123,11 +123,14 @@ def test_asof(spark, direction):
 
 
 def test_content_equal(spark):
-    a = [("x", 0, b"aa"), ("x", 1, b"bb"), ("y", 0, b"cc"), ("z", 0, b"")]
-    b = [("x", 0, b"aa"), ("x", 1, b"bb"), ("y", 0, b"cd"), ("y", 1, b"ee"), ("z", 0, b"")]
+    copies = [("w", 0, b"same")] * 40
+    a = [("x", 0, b"aa"), ("x", 1, b"bb"), ("y", 0, b"cc"), ("z", 0, b""), *copies]
+    b = [("x", 0, b"aa"), ("x", 1, b"bb"), ("y", 0, b"cd"), ("y", 1, b"ee"), ("z", 0, b""), *copies]
     schema = "clip_id string, block_idx bigint, payload binary"
     rows = A.content_equal(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
-    assert {r.clip_id: (r.equal, r.different) for r in rows} == {"x": (True, 0), "y": (False, 2), "z": (True, 0)}
+    assert {r.clip_id: (r.equal, r.different) for r in rows} == {
+        "w": (True, 0), "x": (True, 0), "y": (False, 2), "z": (True, 0)
+    }
 
 
 def arrivals(seed, clips=80):
