@@ -463,17 +463,33 @@ def monotone_dts(samples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     new dts only where dts had to be raised. With r the rank of a packet the result is
     r + max(dts - r) over the packets so far, so no row-by-row loop is needed.
     """
-    video = samples.filter("is_video").withColumn("_start", F.greatest(F.col("dts"), _long(0)))
-    chunk = log_chunk(samples, chunk_rows)
-    ranked = running(video, CLIP, chunk, ["seq"], {"_rank": running_count()})
-    scanned = running(
-        ranked,
-        CLIP,
-        chunk,
-        ["seq"],
-        {"_lead": running_max(F.col("_start") - F.col("_rank"))},
+    part = ["clip_id", "_chunk"]
+    inside = Window.partitionBy(*part).orderBy("seq")
+    ranked = (
+        samples.withColumn("_chunk", log_chunk(samples, chunk_rows))
+        .filter("is_video and clip_id is not null and _chunk is not null")
+        .withColumn("_start", F.greatest(F.col("dts"), _long(0)))
+        .withColumn("_rank", F.row_number().over(inside).cast("bigint"))
+        .withColumn("_lead", F.col("_start") - F.col("_rank"))
+    )
+    # Ranks are counted inside a chunk; the chunks before it shift both sides by their row count.
+    before = (
+        Window.partitionBy("clip_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        ranked.groupBy(*part)
+        .agg(F.count("*").alias("_rows"), F.max("_lead").alias("_top"))
+        .withColumn("_base", F.coalesce(F.sum("_rows").over(before), _long(0)))
+        .withColumn("_floor", F.max(F.col("_top") - F.col("_base")).over(before))
+        .select(*part, "_base", "_floor")
+    )
+    so_far = F.max("_lead").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    scanned = ranked.withColumn("_lead", so_far).join(carried, part)
+    fixed = (
+        F.col("_base")
+        + F.col("_rank")
+        + F.greatest(F.col("_lead") - F.col("_base"), F.col("_floor"))
     )
-    fixed = F.col("_rank") + F.col("_lead")
     raised = fixed > F.col("_start")
     return scanned.select(
         *[c for c in samples.columns if c not in ("pts", "dts")],
