@@ -13,9 +13,16 @@ _WILD = re.compile(r"[*?\[]")
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
+    if path.startswith("s3a:"):
+        path = "s3:" + path[len("s3a:") :]
     return fs.FileSystem.from_uri(path)
 
 
+def exists(path: str) -> bool:
+    system, inner = resolve(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def list_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
     """``(path, length)`` of a file, of all files below a folder, or of a wildcard's matches."""
     system, root = resolve(path) if not _WILD.search(path) else (None, None)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.session import scratch_path
+from clipledger.sources.files import exists
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -60,6 +61,8 @@ class CarriedStream:
         return self.result()
 
     def result(self) -> DataFrame:
+        if not exists(f"{self.folder}/output"):
+            return self.spark.createDataFrame([], self.output_schema)
         rows = self.spark.read.schema(f"{self.output_schema}, batch bigint").parquet(
             f"{self.folder}/output"
         )

@@ -52,7 +52,11 @@ def progress_stream(
 
 
 def checkpoint_stream(
-    spark: SparkSession, every: int = CHECKPOINT_EVERY, channels: int = 2, chunk_rows: int = CHUNK_ROWS
+    spark: SparkSession,
+    every: int = CHECKPOINT_EVERY,
+    channels: int = 2,
+    chunk_rows: int = CHUNK_ROWS,
+    clip_type: str = "bigint",
 ) -> CarriedStream:
     """A checkpoint row per clip at its start and after every ``every`` video packets.
 
@@ -97,12 +101,14 @@ def checkpoint_stream(
     return CarriedStream(
         spark,
         step,
-        "clip_id bigint, after_seq bigint, video_frames bigint, audio_end_sample bigint",
-        "clip_id bigint, videos bigint, audio_end bigint",
+        f"clip_id {clip_type}, after_seq bigint, video_frames bigint, audio_end_sample bigint",
+        f"clip_id {clip_type}, videos bigint, audio_end bigint",
     )
 
 
-def ordered_dedup_stream(spark: SparkSession, chunk_rows: int = CHUNK_ROWS) -> CarriedStream:
+def ordered_dedup_stream(
+    spark: SparkSession, chunk_rows: int = CHUNK_ROWS, clip_type: str = "bigint"
+) -> CarriedStream:
     """Arrivals (``clip_id, arrival, n``) whose number is above all earlier ones, each once."""
 
     def step(batch: DataFrame, state: DataFrame):
@@ -112,12 +118,19 @@ def ordered_dedup_stream(spark: SparkSession, chunk_rows: int = CHUNK_ROWS) -> C
         return kept, newest(state, high, ["clip_id"], {"high": "max"})
 
     return CarriedStream(
-        spark, step, "clip_id bigint, arrival bigint, n bigint", "clip_id bigint, high bigint"
+        spark,
+        step,
+        f"clip_id {clip_type}, arrival bigint, n bigint",
+        f"clip_id {clip_type}, high bigint",
     )
 
 
 def reorder_stream(
-    spark: SparkSession, start: int = 0, timeout_s: float | None = None, chunk_rows: int = CHUNK_ROWS
+    spark: SparkSession,
+    start: int = 0,
+    timeout_s: float | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    clip_type: str = "bigint",
 ) -> CarriedStream:
     """Hold back early arrivals and release each clip's numbers in order.
 
@@ -169,8 +182,8 @@ def reorder_stream(
     return CarriedStream(
         spark,
         step,
-        "clip_id bigint, n bigint, event string",
-        "clip_id bigint, n bigint, ts timestamp, due bigint, told bigint",
+        f"clip_id {clip_type}, n bigint, event string",
+        f"clip_id {clip_type}, n bigint, ts timestamp, due bigint, told bigint",
     )
 
 

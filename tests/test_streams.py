@@ -39,6 +39,19 @@ def test_dedup_stream_equals_batch(spark):
     assert got == by_clip(N.ordered_dedup(df), "arrival", "n")
 
 
+def test_text_ids_and_an_empty_stream(spark):
+    empty = S.ordered_dedup_stream(spark, clip_type="string")
+    assert empty.result().columns == ["clip_id", "arrival", "n"] and empty.result().count() == 0
+    rows = spark.createDataFrame([("/a.mov", i, n) for i, n in enumerate((0, 2, 1, 3))], "clip_id string, arrival bigint, n bigint")
+    got = feed(spark, empty, [rows.filter("arrival < 2"), rows.filter("arrival >= 2")])
+    assert sorted(r.n for r in got.collect()) == [0, 2, 3]
+    log = spark.createDataFrame([("/a.mov", i, True, 1, i) for i in range(4)], "clip_id string, seq bigint, is_video boolean, size bigint, pts bigint")
+    assert feed(spark, S.checkpoint_stream(spark, 2, clip_type="string"), [log]).count() == 3
+    late = spark.createDataFrame([("/a.mov", n) for n in (1, 0, 3)], "clip_id string, n bigint").withColumn("ts", F.current_timestamp())
+    out = feed(spark, S.reorder_stream(spark, clip_type="string"), [late])
+    assert sorted(r.n for r in out.collect()) == [0, 1]
+
+
 def test_repeated_batch_counts_once(spark):
     stream = S.ordered_dedup_stream(spark)
     one = spark.createDataFrame([(1, 0, 4), (1, 1, 2)], "clip_id bigint, arrival bigint, n bigint")
