@@ -142,7 +142,8 @@ class SampleLogReader(DataSourceReader):
 
     def partitions(self):
         files = list_files(self.path, SUFFIX)
-        return split_ranges([LogRange(p, 0, records_in(n)) for p, n in files])
+        splits = split_ranges([LogRange(p, 0, records_in(n)) for p, n in files])
+        return splits or [LogSplit([])]
 
     def read(self, partition):
         return read_ranges(partition, self.by_name)

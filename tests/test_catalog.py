@@ -46,7 +46,11 @@ def test_entry(spark):
 
 def test_no_task_sees_a_whole_clip(spark, sf_dir):
     """Windows over packets are cut by chunk; a window by clip alone only sees chunk totals."""
-    for name in ("packet_offsets", "monotone_dts", "resume_point", "audio_index", "release_prefix"):
+    names = (
+        "packet_offsets monotone_dts resume_point resume_report audio_index release_prefix "
+        "purge_reorder audio_interleave ordered_dedup shard_audit cadence_gaps audio_align_asof"
+    )
+    for name in names.split():
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         for line in plan.split("\n"):
             # "_t_" columns are chunk totals.

@@ -84,6 +84,21 @@ def test_ordered_chunks_split_a_hot_key(spark):
     assert got == want
 
 
+def test_a_hot_key_is_spread_over_tasks(spark, no_broadcast):
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("o"), F.lit(1).alias("v"))
+    facts = spark.createDataFrame([("hot", 7)], "k string, f bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (
+            S.running(df, ["k"], S.chunk_of("o", 100), ["o"], {"s": S.running_sum("v")}),
+            S.attach(df, facts, ["k"], S.chunk_of("o", 100)),
+        ):
+            sizes = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+            assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_attach_both_ways(spark, how, request):
     rows = spark.createDataFrame(

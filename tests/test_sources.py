@@ -52,6 +52,11 @@ def test_log_scan(spark, logs, monkeypatch):
     assert f"{folder}/c0" in {r.clip_id for r in paths.collect()}
 
 
+def test_no_logs_are_no_rows(spark, tmp_path):
+    samplelog.register(spark)
+    assert spark.read.format("samplelog").load(str(tmp_path)).count() == 0
+
+
 def test_split_ranges():
     whole = [samplelog.LogRange("a", 0, 25), samplelog.LogRange("b", 0, 0), samplelog.LogRange("c", 0, 3)]
     splits = samplelog.split_ranges(whole, 10)
