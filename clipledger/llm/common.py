@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -122,6 +124,14 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def per_process(name: str, make: Callable):
+    """What ``make`` returned the first time in this process: Python workers outlive their tasks."""
+    holder = sys.modules.setdefault("_clipledger_process", types.ModuleType("_clipledger_process"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """A batch cut so that the ``text`` column of each part holds about SLICE_BYTES."""
     column = batch.column(batch.schema.get_field_index(text))

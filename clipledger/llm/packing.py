@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -11,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import slices
+from clipledger.llm.common import per_process, slices
 from clipledger.session import store
 
 CAPACITY = 1024
 END_ID = 2
-# Words whose ids a task keeps at hand, and words encoded in one call.
-KNOWN_WORDS = 400_000
+# Words whose ids a process keeps at hand, twice, and words encoded in one call.
+KNOWN_WORDS = 200_000
 CALL_WORDS = 1000
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
@@ -28,11 +30,13 @@ class WordEncoder:
 
     The tokenizer splits a text before any single blank between two characters that are no white
     space, wherever the blank stands, so the ids of a text are those of its words with the blank
-    in front, one after the other. Words met before are looked up. Texts with other white space
-    next to a blank are encoded whole.
+    in front, one after the other. Words met before are looked up; of those met long ago, the ones
+    not met again are forgotten. Texts with other white space next to a blank are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        # One task uses one core; the setting is read when the tokenizer first runs.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,52 +44,80 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         # The byte-level alphabet writes a blank as this letter.
-        for word, i in vocabulary.items():
-            self.opens[i] = word.startswith("Ġ")
+        self.opens[[i for word, i in vocabulary.items() if word.startswith("Ġ")]] = True
+        # The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in ".,;:!?"}
 
     def _whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
-        for i in range(0, len(calls), 16):
-            some = calls[i : i + 16]
-            found = self.tokenizer.encode_batch_fast(
-                [" " + " ".join(c) for c in some], add_special_tokens=False
-            )
-            for call, one in zip(some, found, strict=True):
-                ids = np.array(one.ids, "<u4")
-                cuts = np.flatnonzero(self.opens[ids]).tolist()
-                raw = ids.tobytes()
-                if len(cuts) != len(call):
-                    raise ValueError("the tokenizer does not split before blanks")
-                cuts.append(len(ids))
-                for k, word in enumerate(call):
-                    self.known[word] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
+    def _call(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a blank in front."""
+        found = self.tokenizer.encode_batch_fast(
+            [" " + " ".join(words)], add_special_tokens=False
+        )[0]
+        ids = np.array(found.ids, "<u4")
+        cuts = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+        if len(cuts) != len(words) + 1:
+            raise ValueError("the tokenizer does not split before blanks")
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: set[str]) -> set[str]:
+        """Make ``words`` known; returns those with white space at an end, which cannot be."""
+        known, older, rough, marked, new, mixed = self.known, self.older.get, set(), [], set(), []
+        for word in words:
+            ids = older(word)
+            if ids is not None:
+                known[word] = ids
+            elif word.isalpha():
+                new.add(word)
+            elif word[-1:] in self.marks and word[:-1].isalpha():
+                # The tokenizer always splits one mark from the letter before it.
+                marked.append(word)
+                if word[:-1] not in known:
+                    new.add(word[:-1])
+            elif not word or word[0].isspace() or word[-1].isspace():
+                rough.add(word)
+            else:
+                mixed.append(word)
+        # A blank and letters are one unit to the tokenizer, so its model alone gives their ids.
+        split, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        for word in new:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+            found = [t.id for t in split("Ġ" + text)]
+            known[word] = struct.pack(f"<{len(found)}I", *found)
+        for i in range(0, len(mixed), CALL_WORDS):
+            call = mixed[i : i + CALL_WORDS]
+            known.update(zip(call, self._call(call), strict=True))
+        for word in marked:
+            known[word] = known[word[:-1]] + self.marks[word[-1]]
+        return rough
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        new = set()
-        for words in parts:
-            new.update(words[1:])
-        new.difference_update(self.known)
-        rough = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = set().union(*(words[1:] for words in parts))
-            rough = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        self.learn(sorted(new - rough))
-        known, out = self.known, []
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        known, new, parts = self.known, set(), []
+        for text in texts:
+            words = text.split(" ")
+            parts.append(words)
+            new.update([w for w in words if w not in known])
+        rough, out = self._learn(new), []
         for text, words in zip(texts, parts, strict=True):
             first = words[0]
-            if (rough and not rough.isdisjoint(words[1:])) or (len(words) > 1 and (not first or first[-1:].isspace())):
+            if len(words) == 1 or not first or first[-1].isspace() or (rough and not rough.isdisjoint(words)):
                 out.append(b"".join(map(self._whole, _safe_parts(text))))
             else:
-                out.append(self._whole(first) + b"".join([known[w] for w in words[1:]]))
+                words[0] = " "
+                known[" "] = self._whole(first)
+                out.append(b"".join(map(known.__getitem__, words)))
+        known.pop(" ", None)
         return out
 
 
@@ -115,7 +147,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder = per_process(f"encoder {path}", lambda: WordEncoder(path))
+        end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
