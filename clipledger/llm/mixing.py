@@ -76,11 +76,9 @@ def replicate(
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = docs.withColumn("_mix_at", F.monotonically_increasing_id())
     joined = placed.join(per_source, F.col("source").eqNullSafe(F.col("_mix_source")))
+    units = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: unit(seed, i.cast("string"), key))
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("steps")),
-        F.lit(0),
-        lambda n, i: n
-        + F.size(F.filter(F.col("cdf"), lambda c: c <= unit(seed, i.cast("string"), key))),
+        units, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("cdf"), lambda c: c <= u))
     )
     copies = joined.withColumn("_mix_count", count).filter("_mix_count > 0")
     exploded = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1)))
