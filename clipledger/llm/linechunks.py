@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import text_or_empty, with_row_key
+from clipledger.session import store
 
 # A line ends a chunk if the rolling hash over it and the line before is 0 modulo this.
 DIVISOR = 3
@@ -67,33 +68,64 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """Per row key the chunks to remove: (_k1, _k2, _gone: array of chunk numbers).
 
     ``keyed`` has _k1, _k2 and ``text``. First only hashes are shuffled and counted; the bytes of
-    chunks whose hash repeats are then compared by grouping on the chunk itself. The occurrence
-    with the smallest (doc_id, row key, chunk number) stays.
+    chunks whose hash repeats are then compared class by class, pre-aggregated, so that a chunk in
+    a third of all documents meets in no task. The occurrence with the smallest (doc_id, row key,
+    chunk number) stays.
     """
     found = keyed.select("_k1", "_k2", F.explode(F.filter(chunked(F.col("text")), _eligible)).alias("c"))
-    hashed = found.select("_k1", "_k2", F.col("c.idx").alias("idx"), F.xxhash64("c.body", "c.n").alias("h"))
-    twice = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("h")
+    # Both are written, short rows as they are: chunks are hashed once, and the join below meets two
+    # tables whose frequent hashes can be split.
+    hashed = store(
+        found.select("_k1", "_k2", F.col("c.idx").alias("idx"), _chunk_hash().alias("h")),
+        "chunk-hashes",
+    )
+    twice = store(
+        hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("h"),
+        "chunk-repeats",
+    )
     wanted = (
         hashed.join(twice, "h").groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_wanted"))
     )
-    bodies = keyed.join(wanted, ["_k1", "_k2"]).select(
+    place = F.struct("_k1", "_k2", "idx")
+    bodies = _bodies(keyed, wanted)
+    # Least and greatest body of a class are equal only if all its bodies are.
+    checked = store(
+        bodies.groupBy("h").agg(
+            F.min(place).alias("_first"), (F.min("body") == F.max("body")).alias("_same")
+        ),
+        "chunk-classes",
+    )
+    again = hashed.join(checked.filter("_same"), "h").filter(place > F.col("_first"))
+    gone = again.select("_k1", "_k2", "idx")
+    mixed = checked.filter("not _same").select("h")
+    if not mixed.isEmpty():
+        # Different chunks of one hash, which hardly ever happens: told apart by their bytes.
+        chosen = hashed.join(mixed, "h").groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_wanted"))
+        apart = store(_bodies(keyed, chosen), "chunk-bodies")
+        first = store(apart.groupBy("body").agg(F.min(place).alias("_first")), "chunk-firsts")
+        others = apart.join(first, "body").filter(place > F.col("_first"))
+        gone = gone.unionByName(others.select("_k1", "_k2", "idx"))
+    return gone.groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_gone"))
+
+
+def _bodies(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hash and bytes of the chunks that ``wanted`` (_k1, _k2, _wanted) names."""
+    found = keyed.join(wanted, ["_k1", "_k2"]).select(
         "_k1",
         "_k2",
         F.explode(
             F.filter(chunked(F.col("text")), lambda c: F.array_contains(F.col("_wanted"), c["idx"]))
         ).alias("c"),
     )
-    bodies = bodies.select("_k1", "_k2", F.col("c.idx").alias("idx"), F.col("c.body").alias("body"))
-    place = F.struct("_k1", "_k2", "idx")
-    first = bodies.groupBy("body").agg(F.min(place).alias("_first"))
-    return (
-        bodies.join(first, "body")
-        .filter(place > F.col("_first"))
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_list("idx").alias("_gone"))
+    return found.select(
+        "_k1", "_k2", F.col("c.idx").alias("idx"), F.col("c.body").alias("body"), _chunk_hash().alias("h")
     )
 
 
+def _chunk_hash() -> Column:
+    return F.xxhash64("c.body", "c.n")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with globally repeated chunks of lines removed from ``text``.
 
