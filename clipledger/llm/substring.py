@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import SLICE_BYTES, slices, whole_groups, with_row_key
+from clipledger.session import store
 
 WINDOW = 13
 ANCHOR = 4
@@ -351,7 +352,7 @@ def _remove(with_text: bool):
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, tag, hit) for every content to remove from a document; ``docs``: doc, _k2, text."""
     cells = docs.select("text").mapInArrow(_count_cells(), "cell int, n bigint")
-    sums = cells.groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = store(cells.groupBy("cell").agg(F.sum("n").alias("n")), "anchor-cells")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     limit = CELL_LEAST + CELL_TIMES * total // CELLS
     hot = np.zeros(CELLS, bool)
