@@ -21,6 +21,7 @@ TREE = 4096
 SHARD = 64
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("fp", pa.int64())])
+_WORD = (1 << BITS) - 1
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -94,7 +95,7 @@ def blocks_for(distinct: int, radius: int = RADIUS) -> int:
 
 
 class BKTree:
-    """A Burkhard-Keller tree: children keyed by their Hamming distance to the parent."""
+    """A Burkhard-Keller tree of unsigned numbers: children keyed by Hamming distance to the parent."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -146,6 +147,8 @@ def _links(radius: int):
                 if end - begin < 2:
                     continue
                 members = fps[begin:end]
+                # Distances count bits of unsigned numbers.
+                plain = [m & _WORD for m in members]
                 root = list(range(end - begin))
 
                 def top(i: int) -> int:
@@ -157,10 +160,10 @@ def _links(radius: int):
                 tree, held = BKTree(), []
                 for i in range(end - begin):
                     if nodes[begin + i]:
-                        tree.add(members[i])
+                        tree.add(plain[i])
                         held.append(i)
                 for i in range(end - begin):
-                    for j in tree.within(members[i], radius):
+                    for j in tree.within(plain[i], radius):
                         a, b = top(i), top(held[j])
                         if a != b:
                             root[max(a, b)] = min(a, b)
