@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipledger.session import store
+
 SEED = "mix-1"
 TEMPERATURE = 0.5
 # A Poisson count with a larger mean is the sum of independent ones with at most this mean.
 MEAN_STEP = 8.0
 # Terms of one inverted distribution: P(more than 63 | mean 8) is below 1e-34.
 TERMS = 64
+# Sources whose rates (TERMS doubles each) are broadcast, at most: 5 MB.
+FEW_SOURCES = 10_000
 UNIT_DIGITS = 13
 
 
@@ -23,7 +27,7 @@ def unit(seed: str, *parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None) -> DataFrame:
-    """Per source: mean repetition ``rate`` and the ``cdf`` of one Poisson step.
+    """Per source (``_mix_source``): mean repetition ``rate`` and the ``cdf`` of one Poisson step.
 
     Weights not given follow rows ** TEMPERATURE, which lifts small sources and lowers a source
     that holds a third of everything. Sources missing from given ``weights`` get weight 0.
@@ -35,7 +39,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
         named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         weight = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(0.0))
     weighted = sizes.withColumn("_w", weight.cast("decimal(30,9)"))
-    sums = weighted.agg(F.sum("_w").cast("double").alias("w"), F.sum("_n").cast("double").alias("n")).first()
+    sums = weighted.agg(
+        F.sum("_w").cast("double").alias("w"),
+        F.sum("_n").cast("double").alias("n"),
+        F.count(F.lit(1)).alias("sources"),
+    ).first()
     wanted = F.lit(sums.n if total is None else float(total))
     rate = wanted * F.col("_w").cast("double") / F.lit(sums.w) / F.col("_n") if sums.w else F.lit(0.0)
     mean = F.col("rate") / F.col("steps")
@@ -49,11 +57,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
         )
 
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda a: a["cdf"])
-    return (
-        weighted.select("source", rate.alias("rate"))
+    rated = (
+        weighted.select(F.col("source").alias("_mix_source"), rate.alias("rate"))
         .withColumn("steps", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int"))
         .withColumn("cdf", cdf)
     )
+    # Few sources go to every task, so documents need no shuffle to meet their rate. Many are
+    # a table of their own, and the join can split the documents of a frequent one.
+    return F.broadcast(rated) if sums.sources <= FEW_SOURCES else store(rated, "mix-rates")
 
 
 def replicate(
@@ -72,7 +83,7 @@ def replicate(
     starting with ``_mix_``, are replaced.
     """
     docs = docs.drop("rate", "copy", "shuffle_key")
-    per_source = rates(docs, weights, total).withColumnRenamed("source", "_mix_source")
+    per_source = rates(docs, weights, total)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = docs.withColumn("_mix_at", F.monotonically_increasing_id())
     joined = placed.join(per_source, F.col("source").eqNullSafe(F.col("_mix_source")))
