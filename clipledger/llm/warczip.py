@@ -178,7 +178,7 @@ def read_members(file, size: int) -> list[Member]:
     tail_size = min(size, 22 + FULL16)
     file.seek(size - tail_size)
     tail = file.read(tail_size)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, tail_size - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END, 0, at)
     if at < 0:
