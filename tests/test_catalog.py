@@ -25,7 +25,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
