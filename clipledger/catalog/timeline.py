@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.catalog.base import query, with_samples
+from clipledger.catalog.base import ORACLES, query, with_samples
 from clipledger.functions import rules as R
 from clipledger.operators import timeline as T
 from clipledger.plans import tables
@@ -408,3 +408,49 @@ def frame_clock(spark, sf_dir):
         R.frame_pts("frame_no", den).alias("pts"),
         R.frame_sample_target("frame_no", rate, num, den).alias("sample_target"),
     )
+
+
+# The same queries with chunks so small that even a short log crosses their borders.
+FEW = 16
+
+
+@query("packet_offsets_chunked", ORACLES["packet_offsets"])
+def packet_offsets_chunked(spark, sf_dir):
+    out = T.offsets(log(spark, sf_dir), tables.DATA_START, FEW)
+    return out.select("clip_id", "seq", "size", "offset")
+
+
+@query("complete_count_chunked", ORACLES["complete_count"])
+def complete_count_chunked(spark, sf_dir):
+    samples = log(spark, sf_dir)
+    return T.count_complete(T.mark_complete(samples, tables.bounds(samples), FEW))
+
+
+@query("complete_count_by_cut", ORACLES["complete_count"])
+def complete_count_by_cut(spark, sf_dir):
+    samples = log(spark, sf_dir)
+    return T.count_complete(T.mark_by_cut(samples, tables.bounds(samples), (FEW, 4, 1)))
+
+
+@query("resume_report_chunked", ORACLES["resume_report"])
+def resume_report_chunked(spark, sf_dir):
+    clips = tables.clips(log(spark, sf_dir))
+    return T.resume_report(rough_flagged(spark, sf_dir), clips, FEW)
+
+
+@query("purge_reorder_chunked", ORACLES["purge_reorder"])
+def purge_reorder_chunked(spark, sf_dir):
+    marked = flagged(spark, sf_dir)
+    resume = T.resume_point(marked, tables.clips(log(spark, sf_dir)), FEW)
+    return T.purge_reorder(marked, resume, chunk_rows=FEW)
+
+
+@query("monotone_dts_chunked", ORACLES["monotone_dts"])
+def monotone_dts_chunked(spark, sf_dir):
+    rough = rough_flagged(spark, sf_dir).withColumn("dts", F.col("dts") - 5005)
+    return T.monotone_dts(rough, FEW).select("clip_id", "seq", "pts", "dts", "changed")
+
+
+@query("frame_duration_chunked", ORACLES["frame_duration"])
+def frame_duration_chunked(spark, sf_dir):
+    return T.frame_duration(uneven(spark, sf_dir), chunk_ticks=20_000)

@@ -26,10 +26,25 @@ MAX_FRAMES_LIMIT = 1_000_000_000
 # Fixed value: the parts of the settings fingerprint, in order. Options that change only the speed
 # are not part of it.
 FINGERPRINT = (
-    "decode=decode_mode kelvin=kelvin tint=tint iso=iso exposure=exposure lens=lens "
-    "chromaNr=chroma_nr crf=crf preset=preset keyint=keyint minKeyint=min_keyint "
-    "openGop=open_gop buffers=buffers faststart=faststart noAudio=no_audio maxFrames=max_frames"
+    ("decode", "decode_mode"),
+    ("kelvin", "kelvin"),
+    ("tint", "tint"),
+    ("iso", "iso"),
+    ("exposure", "exposure"),
+    ("lens", "lens"),
+    ("chromaNr", "chroma_nr"),
+    ("crf", "crf"),
+    ("preset", "preset"),
+    ("keyint", "keyint"),
+    ("minKeyint", "min_keyint"),
+    ("openGop", "open_gop"),
+    ("buffers", "buffers"),
+    ("faststart", "faststart"),
+    ("noAudio", "no_audio"),
+    ("maxFrames", "max_frames"),
 )
+# The "as shot" markers of whole numbers.
+AS_SHOT = {"kelvin": "0", "iso": "0", "chroma_nr": "-1"}
 
 
 def normalize_fps(df: DataFrame) -> DataFrame:
@@ -134,22 +149,29 @@ def validate_settings(settings: DataFrame) -> DataFrame:
 
 
 def settings_text(settings: DataFrame) -> Column:
-    """The text behind the fingerprint. Reals print with six places, missing ones as ``nan``."""
+    """The text behind the fingerprint. Reals print with six places, missing ones as ``nan``.
+
+    Whole numbers that :func:`clean_sentinels` made null print their marker, so that raw and cleaned
+    settings have the same fingerprint.
+    """
     types = dict(settings.dtypes)
 
     def part(label: str, column: str) -> Column:
         value = F.col(column)
         if types[column] in ("float", "double"):
-            text = F.when(value.isNull() | F.isnan(value), "nan").otherwise(
-                F.format_string("%.6f", value.cast("double"))
+            text = (
+                F.when(value.isNull() | F.isnan(value), "nan")
+                .when(value == float("inf"), "inf")
+                .when(value == float("-inf"), "-inf")
+                .otherwise(F.format_string("%.6f", value.cast("double")))
             )
         elif types[column] == "boolean":
             text = F.when(value, "1").otherwise("0")
         else:
-            text = F.coalesce(value.cast("string"), F.lit(""))
+            text = F.coalesce(value.cast("string"), F.lit(AS_SHOT.get(column, "")))
         return F.concat(F.lit(f"{label}="), text)
 
-    return F.concat_ws("|", *[part(*pair.split("=")) for pair in FINGERPRINT.split()])
+    return F.concat_ws("|", *[part(*pair) for pair in FINGERPRINT])
 
 
 def settings_hash(settings: DataFrame) -> DataFrame:

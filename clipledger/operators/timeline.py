@@ -15,7 +15,6 @@ from clipledger.plans.scan import (
     CHUNK_TICKS,
     attach,
     chunk_of,
-    estimated_bytes,
     idiv,
     ordered_chunks,
     running,
@@ -30,7 +29,6 @@ from clipledger.session import store
 CLIP = ["clip_id"]
 # Packets per range in the steps of the search for the cut; the last step looks at single packets.
 CUT_WIDTHS = (1 << 18, 1 << 9, 1)
-SMALL_LOG = 256 << 20
 # Fixed value: frames to step back from a key frame when groups are open.
 RESUME_BACKOFF = 17
 
@@ -96,8 +94,8 @@ def flag_complete(
 
     ``bounds`` has ``clip_id, data_start, data_bound``. Sizes count only when positive, so packet
     ends rise along the log and all rows after the first one over the bound are over it too.
-    Empty packets hold no bytes and are never complete. Where the offsets are not needed,
-    :func:`mark_complete` gives the same flag without a shuffle of the log.
+    Empty packets hold no bytes and are never complete. Rows without clip or position have no
+    place in a log and are left out.
     """
     out = running(
         samples,
@@ -165,19 +163,22 @@ def complete_cut(
 
 
 def mark_complete(
-    samples: DataFrame,
-    bounds: DataFrame,
-    widths: tuple[int, ...] = CUT_WIDTHS,
-    small: int = SMALL_LOG,
+    samples: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add ``is_complete`` only: :func:`flag_complete` without the offsets."""
+    return flag_complete(samples, bounds, chunk_rows).drop("offset")
+
+
+def mark_by_cut(
+    samples: DataFrame, bounds: DataFrame, widths: tuple[int, ...] = CUT_WIDTHS
 ) -> DataFrame:
-    """Add ``is_complete`` as :func:`flag_complete` does, without a shuffle of the log.
+    """The rows of :func:`mark_complete`, from one cut position per clip.
 
-    The flag comes from one cut position per clip. A log that Catalyst estimates at no more than
-    ``small`` bytes is not worth the steps of that search and is flagged by running sums.
+    The log is read once per width and never shuffled; worth it for logs that are not bucketed and
+    too large to shuffle.
     """
-    if estimated_bytes(samples) <= small:
-        return flag_complete(samples, bounds).drop("offset")
-    known = attach(samples, complete_cut(samples, bounds, widths), CLIP, chunk_of("seq"))
+    placed = samples.filter("clip_id is not null and seq is not null")
+    known = attach(placed, complete_cut(placed, bounds, widths), CLIP, chunk_of("seq"))
     before = F.col("cut_seq").isNull() | (F.col("seq") < F.col("cut_seq"))
     return known.withColumn("is_complete", (F.col("size") > 0) & before).drop("cut_seq")
 

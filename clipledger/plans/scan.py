@@ -201,11 +201,12 @@ def attach(
 
     Small facts are left to Catalyst, which broadcasts them by its own size check. Otherwise the
     facts are first copied to the (key, spread) cells that occur, and rows are joined on the cell,
-    so a frequent key is spread over as many tasks as ``spread`` has values.
+    so a frequent key is spread over as many tasks as ``spread`` has values. Both ways give the same
+    rows, also where ``spread`` or a key is null.
     """
     if _fits_broadcast(facts):
         return rows.join(facts, keys, how)
     cell = [*keys, "_cell"]
-    spread_rows = rows.withColumn("_cell", _column(spread))
+    spread_rows = rows.withColumn("_cell", F.coalesce(_column(spread).cast("bigint"), F.lit(0).cast("bigint")))
     cells = spread_rows.select(*cell).distinct().join(facts, keys, how)
     return spread_rows.join(cells, cell, how).drop("_cell")

@@ -111,3 +111,19 @@ def test_attach_both_ways(spark, how, request):
     spread = S.attach(rows, facts, ["k"], S.chunk_of("o", 8), how)
     assert "_cell" in spread._jdf.queryExecution().toString()
     assert sorted(map(str, spread.collect())) == plain
+
+
+def test_attach_is_the_same_in_both_plans(spark):
+    rows = spark.createDataFrame(
+        [("a", 0), ("a", None), ("b", 5), (None, 1), (None, None), ("z", 3)], "clip_id string, seq bigint"
+    )
+    facts = spark.createDataFrame([("a", 100), ("b", 200), ("c", 300)], "clip_id string, fact bigint")
+    key, found = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(key)
+    for limit in ("-1", "1g"):
+        spark.conf.set(key, limit)
+        for how in ("left", "inner"):
+            out = S.attach(rows, facts, ["clip_id"], "seq", how)
+            found.append(sorted([tuple(r) for r in out.select("clip_id", "seq", "fact").collect()], key=str))
+    spark.conf.set(key, before)
+    assert found[0] == found[2] and found[1] == found[3] and ("a", None, 100) in found[0]

@@ -34,7 +34,7 @@ def test_complete_prefix_both_ways(spark, width):
     df = frame_of(spark, archive)
     flagged = by_clip(T.flag_complete(df, bounds, width), "seq", "is_complete")
     steps = (width * 4, width, 1)
-    marked = by_clip(T.mark_complete(df, bounds, steps, 0), "seq", "is_complete")
+    marked = by_clip(T.mark_by_cut(df, bounds, steps), "seq", "is_complete")
     short = by_clip(T.mark_complete(df, bounds), "seq", "is_complete")
     for clip, start, bound in rows:
         want = list(enumerate(models.complete(archive[clip], start, bound)))
@@ -57,7 +57,7 @@ def test_clip_without_bounds_has_nothing_complete(spark):
     archive = random_archive(3, clips=3)
     _, bounds = bounds_of(spark, archive)
     df, known = frame_of(spark, archive), bounds.filter("clip_id <> 'c1'")
-    for out in (T.flag_complete(df, known), T.mark_complete(df, known, small=0)):
+    for out in (T.flag_complete(df, known), T.mark_by_cut(df, known)):
         assert out.filter("clip_id = 'c1'").count() == len(archive["c1"])
         assert out.filter("clip_id = 'c1' and is_complete").count() == 0
 
@@ -73,7 +73,7 @@ def marked_archive(spark, seed):
         [(c, i % 2, DEN, 2, 40) for i, c in enumerate(archive)],
         "clip_id string, open_gop int, fps_den bigint, channels bigint, frame_count bigint",
     )
-    return archive, kept, T.mark_complete(frame_of(spark, archive), bounds, small=0), clips
+    return archive, kept, T.mark_by_cut(frame_of(spark, archive), bounds), clips
 
 
 @pytest.mark.parametrize("width", WIDTHS)
@@ -280,3 +280,12 @@ def test_bucketed_log_needs_no_shuffle(spark, tmp_path, no_broadcast):
     for clip, log in archive.items():
         assert got[clip] == list(enumerate(models.offsets(log)))
     spark.sql("drop table bucketed_log")
+
+
+def test_rows_without_place_are_left_out(spark):
+    schema = "clip_id string, seq bigint, is_video boolean, size bigint, pts bigint, dts bigint, is_key boolean, frame_no bigint"
+    rows = [("a", 0, True, 5, 0, 0, True, 0), ("a", None, True, 5, 0, 0, True, 0), (None, 1, True, 5, 0, 0, True, 0), ("a", 1, True, 9, 0, 0, True, 0)]
+    log = spark.createDataFrame(rows, schema)
+    bounds = spark.createDataFrame([("a", 0, 6)], "clip_id string, data_start bigint, data_bound bigint")
+    for marked in (T.mark_complete(log, bounds), T.mark_by_cut(log, bounds, (4, 2, 1))):
+        assert sorted((r.clip_id, r.seq, r.is_complete) for r in marked.collect()) == [("a", 0, True), ("a", 1, False)]
