@@ -18,9 +18,16 @@ from clipledger.operators.quality import parse_quality_log
 from clipledger.schemas import CHECKPOINT, SIDECAR
 from clipledger.sources.files import resolve
 
+# The fields a checkpoint must have.
 REQUIRED_IN_CHECKPOINT = (
-    "version toolVersion sourceSha256 settingsHash videoFrames audioEndSample totalFrames"
-).split()
+    "version",
+    "toolVersion",
+    "sourceSha256",
+    "settingsHash",
+    "videoFrames",
+    "audioEndSample",
+    "totalFrames",
+)
 FAILURE_TAIL = 5
 # Texts of the sidecar.
 COLOR_SPACE = "RWG/Log3G10 (native, Primary_Development_Only)"
@@ -30,7 +37,10 @@ DEFAULT_POOLS = 8
 
 
 def _plain_path() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
+    """The path of a row's file as it is listed: Spark encodes it like an address."""
+    plain = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
+    # url_decode reads a plus sign as a blank.
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:

@@ -23,23 +23,35 @@ def exists(path: str) -> bool:
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def _prefix(path: str, inner: str) -> str:
+    """What stands before the inner path of a store, so that a listed file can be opened again."""
+    if path.startswith("file:") or "://" not in path:
+        return ""
+    plain, inner = path.rstrip("/"), inner.rstrip("/")
+    return plain[: len(plain) - len(inner)] if plain.endswith(inner) else path.split("://")[0] + "://"
+
+
 def list_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
-    """``(path, length)`` of a file, of all files below a folder, or of a wildcard's matches."""
+    """``(path, length)`` of a file, of all files below a folder, or of a wildcard's matches.
+
+    Paths outside local folders keep their scheme and authority.
+    """
     system, root = resolve(path) if not _WILD.search(path) else (None, None)
     if system is not None:
         info = system.get_file_info(root)
         if info.type == fs.FileType.File:
-            return [(info.path, info.size)]
+            return [(_prefix(path, root) + info.path, info.size)]
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        pattern = None
+        pattern, prefix = None, _prefix(path, root)
     else:
         fixed = path[: _WILD.search(path).start()].rsplit("/", 1)[0] or "/"
         system, root = resolve(fixed)
+        prefix = _prefix(fixed, root)
         pattern = root + path[len(fixed) :] if root != "/" else path
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
     return sorted(
-        (i.path, i.size)
+        (prefix + i.path, i.size)
         for i in found
         if i.type == fs.FileType.File
         and i.path.endswith(suffix)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import urllib.parse
 import uuid
 from collections.abc import Iterator
@@ -181,7 +182,36 @@ class SampleLogStreamReader(DataSourceStreamReader):
 
 @dataclass
 class LogWritten(WriterCommitMessage):
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    counts: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+
+# A prime below 2 ** 31, so that products of remainders fit 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def _numbering(seq: np.ndarray, bases: tuple[int, ...]) -> tuple[int, ...]:
+    """Count of positions, the sums of their first three powers, and sums of powers of ``bases``.
+
+    With random bases they tell 0..n-1 from what repeats or leaves out positions, without a list.
+    """
+    chances = []
+    for base in bases:
+        high, at = np.unique(seq >> 16, return_inverse=True)
+        step = pow(base, 1 << 16, PRIME)
+        wide = np.array([pow(step, int(h), PRIME) for h in high], np.uint64)
+        small = np.ones(1, np.uint64)
+        while len(small) < 1 << 16:
+            small = np.concatenate([small, small * np.uint64(pow(base, len(small), PRIME)) % np.uint64(PRIME)])
+        powers = small[seq & 0xFFFF] * wide[at] % np.uint64(PRIME)
+        chances.append(int(powers.sum()))
+    low = int(seq.min())
+    near = (seq - low).astype(object) if len(seq) > 1 << 16 or seq.max() - low > 1 << 15 else seq - low
+    n, a, b, c = len(seq), int(near.sum()), int((near**2).sum()), int((near**3).sum())
+    return (n, *chances, a + n * low, b + 2 * low * a + n * low**2, c + 3 * low * b + 3 * low**2 * a + n * low**3)
+
+
+def _added(one: tuple[int, ...] | None, two: tuple[int, ...]) -> tuple[int, ...]:
+    return two if one is None else tuple(x + y for x, y in zip(one, two, strict=True))
 
 
 class SampleLogWriter(DataSourceArrowWriter):
@@ -198,6 +228,7 @@ class SampleLogWriter(DataSourceArrowWriter):
         if not isinstance(system, fs.LocalFileSystem):
             raise ValueError("records are written in place: give a mounted folder, not a store")
         self.overwrite = overwrite
+        self.bases = tuple(random.SystemRandom().randrange(1 << 16, PRIME - 1) for _ in range(2))
         self.stage = f"{self.root}/_staged-{uuid.uuid4().hex}"
         os.makedirs(self.stage, exist_ok=True)
 
@@ -205,15 +236,14 @@ class SampleLogWriter(DataSourceArrowWriter):
         return f"{self.stage}/{urllib.parse.quote(clip, safe='')}{SUFFIX}"
 
     def write(self, iterator):
-        counts: dict[str, tuple[int, int]] = {}
+        counts: dict[str, tuple[int, ...]] = {}
         handles: dict[str, int] = {}
         try:
             for batch in iterator:
                 frame = batch.to_pandas().sort_values(["clip_id", "seq"])
                 for clip, rows in frame.groupby("clip_id", sort=False):
                     self._write_rows(self._handle(handles, clip), rows)
-                    seen, top = counts.get(clip, (0, -1))
-                    counts[clip] = (seen + len(rows), max(top, int(rows["seq"].iloc[-1])))
+                    counts[clip] = _added(counts.get(clip), _numbering(rows["seq"].to_numpy(), self.bases))
         finally:
             while handles:
                 self._close(handles.popitem()[1])
@@ -244,13 +274,15 @@ class SampleLogWriter(DataSourceArrowWriter):
             os.pwrite(handle, out[run[0] : run[-1] + 1].tobytes(), place)
 
     def commit(self, messages):
-        totals: dict[str, tuple[int, int]] = {}
+        totals: dict[str, tuple[int, ...]] = {}
         for message in messages:
-            for clip, (n, top) in (message.counts if message else {}).items():
-                seen, high = totals.get(clip, (0, -1))
-                totals[clip] = (seen + n, max(high, top))
-        for clip, (n, top) in totals.items():
-            if n != top + 1:
+            for clip, found in (message.counts if message else {}).items():
+                totals[clip] = _added(totals.get(clip), found)
+        for clip, (n, *sums) in totals.items():
+            ones = [(pow(b, n, PRIME) - 1) * pow(b - 1, -1, PRIME) % PRIME for b in self.bases]
+            powers = [n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6, (n * (n - 1) // 2) ** 2]
+            k = len(ones)
+            if [s % PRIME for s in sums[:k]] != ones or sums[k:] != powers:
                 raise ValueError(f"records of {clip} are not numbered 0..{n - 1}")
             target = f"{self.root}/{os.path.basename(self._staged(clip))}"
             if os.path.exists(target) and not self.overwrite:
@@ -259,6 +291,11 @@ class SampleLogWriter(DataSourceArrowWriter):
             staged = self._staged(clip)
             os.replace(staged, f"{self.root}/{os.path.basename(staged)}")
         os.rmdir(self.stage)
+        if self.overwrite:
+            written = {os.path.basename(self._staged(clip)) for clip in totals}
+            for name in os.listdir(self.root):
+                if name.endswith(SUFFIX) and name not in written:
+                    os.unlink(f"{self.root}/{name}")
 
     def abort(self, messages):
         for name in os.listdir(self.stage):

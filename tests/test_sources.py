@@ -97,6 +97,52 @@ def test_log_sink(spark, logs, tmp_path_factory):
     assert back.filter("clip_id = '/a/b c.mov'").count() == 1
 
 
+def test_log_sink_numbering_and_overwrite(spark, tmp_path):
+    schema = "clip_id string, seq bigint, is_video boolean, size bigint, pts bigint, dts bigint, is_key boolean, frame_no bigint"
+    rows = lambda clip, seqs: spark.createDataFrame(
+        [(clip, s, True, 1, 2, 3, True, 4) for s in seqs], schema
+    )
+    # The last set has the count and the sums of powers of 0..11.
+    for seqs in ([0, 0, 2], [0, 2], [1, 2], [1, 2, 9, 10, 1, 2, 3, 5, 6, 8, 9, 10]):
+        with pytest.raises(Exception, match="not numbered"):
+            samplelog.write_logs(rows("bad", seqs), str(tmp_path / "out"), "overwrite")
+    samplelog.write_logs(rows("old", range(70_000)), str(tmp_path / "out"), "overwrite")
+    samplelog.write_logs(rows("new", range(5)), str(tmp_path / "out"), "overwrite")
+    assert os.listdir(tmp_path / "out") == ["new.samples"]
+
+
+def test_paths_keep_their_store(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    from clipledger.sources import files
+
+    (tmp_path / "bucket" / "dir").mkdir(parents=True)
+    (tmp_path / "bucket" / "dir" / "a b.samples").write_bytes(b"abc")
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+
+    class Stores:
+        @staticmethod
+        def from_uri(path):
+            return store, path.split("://")[1]
+
+    monkeypatch.setattr(files.fs, "FileSystem", Stores)
+    for asked in ("s3a://bucket/dir", "s3a://bucket/dir/*.samples", "s3a://bucket/dir/a b.samples"):
+        ((path, size),) = files.list_files(asked.replace("s3a", "s3"), ".samples")
+        assert (path, size) == ("s3://bucket/dir/a b.samples", 3)
+        with files.open_file(path) as handle:
+            assert handle.read() == b"abc"
+
+
+def test_encoded_paths(spark, tmp_path):
+    from clipledger.sources import documents
+
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "c+d %41#é.mov.ckpt").write_text('{"version": 1}')
+    (row,) = documents.read_checkpoints(spark, str(tmp_path)).select("clip_key").collect()
+    assert row.clip_key == str(folder / "c+d %41#é.mov")
+
+
 def box(kind, body, size=None, wide=None):
     n = len(body) + 8 if size is None else size
     if wide is not None:
