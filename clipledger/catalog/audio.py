@@ -81,11 +81,12 @@ def audio_cap(spark, sf_dir):
     return A.cap_audio(indexed(spark, sf_dir), audio_clips(spark, sf_dir))
 
 
-def aligned(spark, sf_dir) -> DataFrame:
+def aligned(spark, sf_dir, capped: bool = False) -> DataFrame:
+    clips = audio_clips(spark, sf_dir)
     good = indexed(spark, sf_dir).filter("error is null")
-    return A.align_audio(
-        good.select("clip_id", "block_idx", "first_sample"), audio_clips(spark, sf_dir)
-    )
+    if capped:
+        good = A.cap_audio(good, clips)
+    return A.align_audio(good.select("clip_id", "block_idx", "first_sample"), clips)
 
 
 @query(
@@ -93,7 +94,8 @@ def aligned(spark, sf_dir) -> DataFrame:
     with_samples(
         BLOCKS
         + """, due as (select i.clip_id, i.block_idx, i.first_sample, min(f.n) frame_no
-  from indexed i join range(0, 400000) f(n) on ((f.n + 1) * 48000 * 1001) // 60000 > i.first_sample
+  from indexed i join (select unnest(range(0,
+    (select max(first_sample) // 800 + 2 from indexed))) n) f on ((f.n + 1) * 48000 * 1001) // 60000 > i.first_sample
     and f.n between i.first_sample // 801 - 1 and i.first_sample // 800 + 1
   where i.error is null group by 1, 2, 3)
 select clip_id, block_idx, first_sample, cast(frame_no as bigint) frame_no from due"""
@@ -148,7 +150,8 @@ def events_asof(spark, sf_dir):
     with_samples(
         BLOCKS
         + """, packets as (
-  select clip_id, frame_no, 0 lane, first_sample, block_idx from aligned union all
+  select a.clip_id, a.frame_no, 0 lane, a.first_sample, a.block_idx from aligned a
+    semi join capped c on a.clip_id = c.clip_id and a.block_idx = c.block_idx union all
   select clip_id, frame_no, 1, 0, null from samples where is_video)
 select clip_id, cast(row_number() over (partition by clip_id order by frame_no, lane, first_sample)
     - 1 as bigint) position, case when lane = 0 then 'audio' else 'video' end kind,
@@ -156,7 +159,7 @@ select clip_id, cast(row_number() over (partition by clip_id order by frame_no,
     ),
 )
 def audio_interleave(spark, sf_dir):
-    return A.interleave(log(spark, sf_dir).filter("is_video"), aligned(spark, sf_dir))
+    return A.interleave(log(spark, sf_dir).filter("is_video"), aligned(spark, sf_dir, capped=True))
 
 
 MADE = """select conv_id clip_id, turn + case when (turn + conv_id * 3) % 43 = 0 then 1000 else 0 end

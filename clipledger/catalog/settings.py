@@ -124,20 +124,27 @@ PRINT = """select p_partkey clip_id, p_size % 3 decode_mode, p_size * 100 kelvin
   -1 max_frames from {part}"""
 
 
-@query(
-    "settings_fingerprint",
-    f"""select clip_id, sha256(concat('decode=', decode_mode, '|kelvin=', kelvin, '|tint=',
+FINGERPRINT_SQL = f"""select clip_id, sha256(concat('decode=', decode_mode, '|kelvin=', kelvin, '|tint=',
   case when isnan(tint) then 'nan' else printf('%.6f', tint) end, '|iso=', iso, '|exposure=',
   case when isnan(exposure) then 'nan' else printf('%.6f', exposure) end, '|lens=', lens,
   '|chromaNr=', chroma_nr, '|crf=', crf, '|preset=', preset, '|keyint=', keyint, '|minKeyint=',
   min_keyint, '|openGop=', open_gop, '|buffers=', buffers, '|faststart=',
   case when faststart then 1 else 0 end, '|noAudio=', case when no_audio then 1 else 0 end,
-  '|maxFrames=', max_frames)) settings_hash from {duck(PRINT)} q""",
-)
+  '|maxFrames=', max_frames)) settings_hash from {duck(PRINT)} q"""
+
+
+@query("settings_fingerprint", FINGERPRINT_SQL)
 def settings_fingerprint(spark, sf_dir):
     return S.settings_hash(view(spark, sf_dir, PRINT)).select("clip_id", "settings_hash")
 
 
+# Markers turned into nulls do not change the fingerprint.
+@query("settings_fingerprint_cleaned", FINGERPRINT_SQL)
+def settings_fingerprint_cleaned(spark, sf_dir):
+    cleaned = S.clean_sentinels(view(spark, sf_dir, PRINT))
+    return S.settings_hash(cleaned).select("clip_id", "settings_hash")
+
+
 @query("content_fingerprint", "select doc_id, sha256(text) content_hash from documents")
 def content_fingerprint(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select(
@@ -283,14 +290,17 @@ def meta_columns(spark, sf_dir):
 HASHED = """select doc_id, case when doc_id % 4 = 0
     then concat('{{"n": {{"hash": "deep', doc_id, '"}}, "sha256": "top', doc_id, '"}}')
   when doc_id % 4 = 1 then concat('{{"a": 1, "src": {{"sha_256" : "in', doc_id, '"}}, "hash": "x"}}')
-  when doc_id % 4 = 2 then concat('{{"sha256": null, "hash": "h', doc_id, '"}}')
+  when doc_id % 8 = 2 then concat('{{"sha256": null, "hash": "h', doc_id, '"}}')
+  when doc_id % 8 = 6 then concat('{{"sha256": false, "note": "\\\\"hash\\\\": \\\\"no\\\\"", "n": {{"hash": "q\\\\"',
+    doc_id, '"}}}}')
   else concat('{{"name": "', lang, '"}}') end doc from {documents}"""
 
 
 @query(
     "json_first_key",
     """select doc_id, case doc_id % 4 when 0 then 'top' || doc_id when 1 then 'in' || doc_id
-  when 2 then 'h' || doc_id end "found", doc_id % 4 in (0, 2) has_sha256 from documents""",
+  when 2 then case when doc_id % 8 = 2 then 'h' else 'q"' end || doc_id end "found",
+  doc_id % 4 in (0, 2) has_sha256 from documents""",
 )
 def json_first_key(spark, sf_dir):
     return view(spark, sf_dir, HASHED).select(

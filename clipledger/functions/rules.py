@@ -121,20 +121,24 @@ def sha256_text(text) -> Column:
 def json_first(doc, keys: list[str]) -> Column:
     """First value of the first key that occurs in a JSON text; earlier keys go first.
 
-    The top level is asked first, then the first place in the text. Null counts as absent.
+    The top level is asked first, then the first place in the text where it is a key and not part
+    of a value. Null, false and the empty text count as absent.
     """
     found = []
     for key in keys:
         top = F.get_json_object(_c(doc), f"$['{key}']")
-        quoted = F.regexp_extract(_c(doc), rf'"{key}"\s*:\s*"([^"]+)"', 1)
-        bare = F.regexp_extract(_c(doc), rf'"{key}"\s*:\s*(-?[0-9][0-9.eE+-]*|true)', 1)
-        found += [F.nullif(top, F.lit("")), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit(""))]
+        # A quote inside a value has a backslash in front.
+        value = F.regexp_extract(
+            _c(doc), rf'(?<!\\)"{key}"\s*:\s*("(?:[^"\\]|\\.)+"|-?[0-9][0-9.eE+-]*|true)', 1
+        )
+        inner = F.get_json_object(F.concat(F.lit('{"v":'), F.nullif(value, F.lit("")), F.lit("}")), "$.v")
+        found += [F.nullif(F.nullif(top, F.lit("")), F.lit("false")), inner]
     return F.coalesce(*found)
 
 
 def json_has(doc, key: str) -> Column:
-    """True when the key occurs in the JSON text, even with a null value."""
-    return _c(doc).rlike(rf'"{key}"\s*:')
+    """True when the key occurs at the top of the JSON text, even with a null value."""
+    return F.coalesce(F.array_contains(F.json_object_keys(_c(doc)), key), F.lit(False))
 
 
 def six_digits(value) -> Column:

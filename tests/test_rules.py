@@ -138,6 +138,9 @@ def test_json_first_and_meta(spark):
     keys = ["sha256", "sha_256", "sha-256", "hash"]
     assert values(spark, docs, "string", R.json_first("x", keys)) == ["top", "in", None, "9", None]
     assert values(spark, docs, "string", R.json_has("x", "sha256")) == [True, False, True, False, False]
+    nested = [r'{"n": {"hash": "/in/x \"y\".NEV"}}', r'{"note": "\"hash\": \"no\""}', '{"hash": false, "x": {"sha256": "s"}}']
+    assert values(spark, nested, "string", R.json_first("x", ["hash", "sha256"])) == ['/in/x "y".NEV', None, "s"]
+    assert values(spark, nested, "string", R.json_has("x", "sha256")) == [False, False, False]
     df = spark.createDataFrame([([["iso", "800"], ["iso", "100"], ["b", None]],)], "m array<array<string>>")
     row = df.select(R.meta_map("m").alias("m"), R.meta_value("m", "iso").alias("iso"), R.meta_value("m", "z").alias("z")).first()
     assert (row.m, row.iso, row.z) == ({"iso": "800", "b": None}, "800", None)
