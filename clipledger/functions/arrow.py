@@ -70,11 +70,6 @@ def framing_fault(data: bytes) -> str | None:
     return None if at == size else f"{size - at} bytes left over"
 
 
-@F.pandas_udf(T.StringType())
-def framing_faults(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda raw: None if raw is None else framing_fault(raw))
-
-
 def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Group an iterator of rows into Arrow batches, never more than ``size`` rows in memory."""
     pending: list[dict] = []

@@ -12,22 +12,13 @@ MIN_VMAF = 95.0
 MIN_PSNR = 42.0
 MIN_SSIM = 0.97
 MIN_WORST_PSNR = 45.0
-RETRY_CRF = 12
-
-
-def _number(text: Column) -> Column:
-    return (
-        F.when(text == "inf", float("inf"))
-        .when(text == "-inf", float("-inf"))
-        .otherwise(F.nullif(text, F.lit("")).try_cast("double"))
-    )
 
 
 def parse_quality_log(lines: DataFrame, column: str = "line") -> DataFrame:
     """Read ``psnr_avg`` and the overall SSIM from log lines; ``inf`` is allowed."""
     psnr = F.regexp_extract(column, r"psnr_avg:(-?inf|-?[0-9.]+)", 1)
     ssim = F.regexp_extract(column, r"All:(inf|[0-9.]+)", 1)
-    return lines.withColumns({"psnr_avg": _number(psnr), "ssim": _number(ssim)})
+    return lines.withColumns({"psnr_avg": psnr.try_cast("double"), "ssim": ssim.try_cast("double")})
 
 
 def pool_quality(log: DataFrame, keys: list[str]) -> DataFrame:

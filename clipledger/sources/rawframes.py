@@ -6,7 +6,16 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from clipledger.schemas import FRAMES
 from clipledger.sources.files import list_files, open_file
@@ -51,7 +60,8 @@ def split_frames(files: list[tuple[str, int, int]], step: int) -> list[FrameSpli
 class RawFrameSource(DataSource):
     """``format("rawframes")`` with options ``width``, ``height``, ``layout``, ``suffix``.
 
-    ``minFrame`` and ``maxFrame`` (exclusive) cut the scan before any byte is read.
+    ``minFrame`` and ``maxFrame`` (exclusive) cut the scan before any byte is read, and so do
+    filters that compare ``frame_no`` with a number.
     """
 
     @classmethod
@@ -75,6 +85,25 @@ class RawFrameReader(DataSourceReader):
         high = options.get("maxFrame")
         self.high = None if high is None else int(high)
 
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("frame_no",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, EqualTo):
+                    self._narrow(f.value, f.value + 1)
+                    continue
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self._narrow(f.value + isinstance(f, GreaterThan), None)
+                    continue
+                if isinstance(f, (LessThan, LessThanOrEqual)):
+                    self._narrow(0, f.value + isinstance(f, LessThanOrEqual))
+                    continue
+            yield f
+
+    def _narrow(self, low: int, high: int | None) -> None:
+        self.low = max(self.low, low)
+        if high is not None:
+            self.high = high if self.high is None else min(self.high, high)
+
     def partitions(self):
         step = max(SPLIT_BYTES // self.size, 1)
         files = []
@@ -107,4 +136,6 @@ class RawFrameReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    # Without it Spark refuses readers that take filters.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawFrameSource)

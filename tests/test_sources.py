@@ -294,6 +294,12 @@ def test_raw_frames(spark, tmp_path):
     assert len(rows) == 14 and all(bytes(r.planes) == planes_of(r.frame_no + r.clip_id.endswith("b.rgb"))[0] for r in rows)
     some = scan().option("minFrame", 2).option("maxFrame", 4).load(str(tmp_path))
     assert sorted(r.frame_no for r in some.collect()) == [2, 2, 3, 3]
+    for rule, want in (("frame_no >= 2 and frame_no < 4", [2, 2, 3, 3]), ("frame_no = 1", [1, 1]), ("2 < frame_no and frame_no <= 3", [3, 3])):
+        rows = scan().load(str(tmp_path)).filter(rule)
+        assert sorted(r.frame_no for r in rows.collect()) == want
+    reader = rawframes.RawFrameReader({"path": str(tmp_path), "width": str(w), "height": str(h), "suffix": ".rgb"})
+    asked = [rawframes.GreaterThanOrEqual(("frame_no",), 2), rawframes.LessThan(("frame_no",), 3), rawframes.EqualTo(("clip_id",), "a")]
+    assert list(reader.pushFilters(asked)) == asked[2:] and (reader.low, reader.high) == (2, 3)
     assert rawframes.frame_bytes(3, 5, "yuv420p10") == (15 + 2 * 2 * 3) * 2
     with pytest.raises(ValueError):
         rawframes.frame_bytes(3, 5, "rgb8")
