@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import SLICE_BYTES, slices, whole_groups, with_row_key
+from clipledger.llm.common import SLICE_BYTES, slices, with_row_key
 from clipledger.session import store
 
 WINDOW = 13
@@ -259,31 +259,44 @@ _HIT = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("hit", pa.int64())]
 
 
 def _extend(batches):
-    """Windows whose content a smaller document has: (doc, tag, place << 16 | bits by words left)."""
-    for group in whole_groups(batches, ["key"]):
-        key, doc, pack = (group.column(n).to_numpy() for n in ("key", "doc", "pack"))
+    """Windows whose content a smaller document has: (doc, tag, place << 16 | bits by words left).
+
+    Rows come sorted by anchor and document, so the first row of a content has its smallest
+    document. Of an anchor cut by a batch only the contents met so far are held, not its rows.
+    """
+    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, pack = (batch.column(i).to_numpy() for i in range(3))
         decided = (pack >> 60 & 1).astype(bool)
         place, low, high = pack & 0xFFFFFFFF, pack >> 32 & 15, pack >> 36 & 15
         span = np.left_shift(1, high + 1) - np.left_shift(1, low)
         bits = np.where(decided, span, 0).astype(np.int64)
-        pair = np.zeros(len(key), bool)
+        pair = key == key[-1]
         same = key[1:] == key[:-1]
         pair[1:] |= same
         pair[:-1] |= same
+        if len(held[0]):
+            pair |= key == held[0][0]
         rows = np.flatnonzero(pair & ~decided)
-        if len(rows):
-            offsets, raw = _binary(group.column("signs").take(pa.array(rows)))
-            count = high[rows] - low[rows] + 1
-            at = np.repeat(rows, count)
-            words_left = high[at] - _spread(count)
-            wide = np.zeros((len(at), 8), np.uint8)
-            wide[:, :SIGN] = raw[offsets[0] : offsets[-1]].reshape(-1, SIGN)
-            sign = wide.view(">u8").reshape(-1).astype(np.uint64)
-            columns = [key[at], words_left, sign]
-            order = np.lexsort((doc[at], sign, words_left, key[at]))
-            smallest = doc[at][order][_first_of_group(_groups(columns, order))]
-            gone = order[doc[at][order] > smallest]
-            np.bitwise_or.at(bits, at[gone], np.left_shift(1, words_left[gone]))
+        offsets, raw = _binary(batch.column(3).take(pa.array(rows)))
+        count = high[rows] - low[rows] + 1
+        at = np.repeat(rows, count)
+        words_left = high[at] - _spread(count)
+        wide = np.zeros((len(at), 8), np.uint8)
+        wide[:, :SIGN] = raw[offsets[0] : offsets[-1]].reshape(-1, SIGN)
+        sign = wide.view(">u8").reshape(-1).astype(np.uint64)
+        columns = [np.concatenate(c) for c in zip(held, (key[at], words_left, sign, doc[at]), strict=True)]
+        at = np.concatenate([np.full(len(held[0]), -1), at])
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        fresh = _groups(columns[:3], order)
+        smallest = columns[3][order][_first_of_group(fresh)]
+        gone = order[(columns[3][order] > smallest) & (at[order] >= 0)]
+        np.bitwise_or.at(bits, at[gone], np.left_shift(1, columns[1][gone]))
+        first = order[fresh]
+        first = first[columns[0][first] == key[-1]]
+        held = [c[first] for c in columns]
         hit = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[hit]), pa.array(pack[hit] >> 40 & _TAG), pa.array(place[hit] << 16 | bits[hit])],
@@ -291,9 +304,10 @@ def _extend(batches):
         )
 
 
-def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a binary column."""
-    array = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    if not len(array):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
     offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -360,7 +374,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hot[[r.cell for r in sums.filter(F.col("n") > limit).select("cell").collect()]] = True
     rows = docs.mapInArrow(_send(hot), _ROW_COLUMNS)
     return (
-        rows.repartition("key").sortWithinPartitions("key").mapInArrow(_extend, "doc bigint, tag bigint, hit bigint")
+        rows.repartition("key")
+        .sortWithinPartitions("key", "doc")
+        .mapInArrow(_extend, "doc bigint, tag bigint, hit bigint")
     )
 
 
@@ -373,7 +389,8 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     make up the maximal repeats. All windows are judged on the input.
 
     Copies in one batch are decided there and only the smallest goes on, so a large group sends
-    one row per batch. Anchors are counted first, in cells; those in cells that hold too much are
+    one row per batch; where they meet they are read in order of document, and only the contents
+    seen are held. Anchors are counted first, in cells; those in cells that hold too much are
     sent window by window, each to the task of its own content. A hash of 64 bits for the anchor
     and one of 40 bits for the window stand for a window.
 

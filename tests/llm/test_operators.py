@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -386,6 +387,45 @@ def brute_substrings(rows):
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_extend_across_batches(size):
+    """Anchors cut by batches give the same windows as whole ones."""
+    rng = np.random.default_rng(size)
+    rows, want = [], set()
+    for _ in range(400):
+        low = int(rng.integers(0, 3))
+        high = low + int(rng.integers(0, 3))
+        signs = [int(rng.integers(0, 2)) for _ in range(low, high + 1)]
+        rows.append((int(rng.integers(0, 12)), int(rng.integers(0, 40)), low, high, signs, bool(rng.integers(0, 9) == 0)))
+    rows.sort(key=lambda r: r[:2])
+    met = [
+        (key, doc, left, sign)
+        for key, doc, low, high, signs, decided in rows
+        if not decided
+        for left, sign in zip(range(high, low - 1, -1), signs)
+    ]
+    smallest = {}
+    for key, doc, *content in met:
+        smallest[key, *content] = min(doc, smallest.get((key, *content), doc))
+    for place, (key, doc, low, high, signs, decided) in enumerate(rows):
+        bits = 0
+        for left, sign in zip(range(high, low - 1, -1), signs):
+            if decided or doc > smallest[key, left, sign]:
+                bits |= 1 << left
+        if bits:
+            want.add((doc, place, bits))
+    columns = [
+        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([r[1] for r in rows], pa.int64()),
+        pa.array([substring._pack(i, r[2], r[3], 0, r[5]) for i, r in enumerate(rows)], pa.int64()),
+        pa.array([b"" if r[5] else b"".join(bytes([s] * substring.SIGN) for s in r[4]) for r in rows], pa.binary()),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, schema=substring._ROW)
+    parts = [batch.slice(i, size) for i in range(0, len(rows), size)]
+    got = [r for out in substring._extend([batch.slice(0, 0), *parts]) for r in out.to_pylist()]
+    assert sorted((r["doc"], r["hit"] >> 16, r["hit"] & 0xFFFF) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substrings(spark, odd, monkeypatch, hot):
     if hot:
