@@ -141,19 +141,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # Removed chunks of a row are joined to all its repeats.
     joined = keyed.join(gone, ["_k1", "_k2"], "left")
     chunks = joined.withColumn("_c", chunked(text_or_empty()))
-    kept = F.filter("_c", lambda c: ~F.coalesce(F.array_contains(F.col("_gone"), c["idx"]), F.lit(False)))
-    lost = F.filter("_c", lambda c: F.coalesce(F.array_contains(F.col("_gone"), c["idx"]), F.lit(False)))
-    lines = lambda chunks: F.aggregate(
-        chunks, F.lit(0).cast("bigint"), lambda n, c: n + c["n"].cast("bigint")
+    # Set operations on chunk numbers: their time follows the chunks of a text, not their square.
+    none = F.array().cast("array<int>")
+    numbers = F.sequence(F.lit(0), F.size("_c") - 1)
+    lost = F.array_distinct(F.coalesce("_gone", none))
+    kept = F.array_except(numbers, F.coalesce("_gone", none))
+    lost_lines = F.aggregate(
+        lost, F.lit(0).cast("bigint"), lambda n, i: n + F.get(F.col("_c"), i)["n"].cast("bigint")
     )
+    lines = F.aggregate("_c", F.lit(0).cast("bigint"), lambda n, c: n + c["n"].cast("bigint"))
     absent = F.col("text").isNull()
     return chunks.withColumns(
         {
-            "n_lines": F.when(absent, 0).otherwise(lines(F.col("_c"))).cast("bigint"),
+            "n_lines": F.when(absent, 0).otherwise(lines).cast("bigint"),
             "n_chunks": F.when(absent, 0).otherwise(F.size("_c")).cast("bigint"),
-            "n_removed_lines": lines(lost),
+            "n_removed_lines": lost_lines,
             "text": F.when(absent, None).when(F.col("_gone").isNull(), F.col("text")).otherwise(
-                F.array_join(F.transform(kept, lambda c: c["body"]), "\n")
+                F.array_join(F.transform(kept, lambda i: F.get(F.col("_c"), i)["body"]), "\n")
             ),
         }
     ).drop("_k1", "_k2", "_gone", "_c")
