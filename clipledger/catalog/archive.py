@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from clipledger.catalog.base import duck, query, view, with_samples
 from clipledger.catalog.timeline import log
+from clipledger.functions.rules import round_half_up
 from clipledger.operators import arrivals as N
 from clipledger.operators import artifacts as P
+from clipledger.operators import frames as frame_files
 from clipledger.operators import verify as V
 from clipledger.plans import tables
 from clipledger.session import scratch_path
@@ -156,21 +158,34 @@ OUTPUT_LINES = """select concat('/in/', l_orderkey, '.NEV') clip_key,
   concat('frame ', l_partkey, ' ', l_returnflag) output_line from {lineitem}"""
 
 
-@query(
-    "failure_report",
-    f"""with last as (select *, row_number() over (partition by clip_key order by output_line_no desc, output_line desc) rk
+FAILURES = f"""with last as (select *, row_number() over (partition by clip_key order by output_line_no desc, output_line desc) rk
   from (select distinct * from {duck(OUTPUT_LINES)} q) q),
 t as (select clip_key, string_agg('    ' || output_line, chr(10) order by output_line_no, output_line) txt
   from last where rk <= 5 group by 1)
 select r.clip_key, strftime(ended, '%Y-%m-%d %H:%M:%S') || ' [failed] file: ' || r.clip_key || chr(10)
   || '  command: ' || command || chr(10) || '  output:' || coalesce(chr(10) || txt, '') "text"
-from {duck(RUNS)} r left join t using (clip_key) where status = 'fail'""",
-)
+from {duck(RUNS)} r left join t using (clip_key) where status = 'fail'"""
+
+
+@query("failure_report", FAILURES)
 def failure_report(spark, sf_dir):
     runs = view(spark, sf_dir, RUNS).withColumn("ended", F.col("ended").cast("timestamp"))
     return docs.failure_report(runs, view(spark, sf_dir, OUTPUT_LINES).distinct())
 
 
+@query(
+    "failure_log_write",
+    f"""select line, cast(count(*) as bigint) times from (
+  select unnest(string_split("text" || chr(10), chr(10))) line from ({FAILURES}) f) q group by line""",
+)
+def failure_log_write(spark, sf_dir):
+    folder = scratch_path(spark, "failures")
+    runs = view(spark, sf_dir, RUNS).withColumn("ended", F.col("ended").cast("timestamp"))
+    docs.write_failures(runs, view(spark, sf_dir, OUTPUT_LINES).distinct(), folder)
+    lines = spark.read.text(folder).withColumnRenamed("value", "line")
+    return lines.groupBy("line").agg(F.count("*").alias("times"))
+
+
 @query(
     "tail_lines",
     """select user_id, event_id, event_type, cast(rk as int) rank from (select *, row_number() over
@@ -448,6 +463,27 @@ def checkpoint_parse(spark, sf_dir):
     return docs.parse_checkpoints(view(spark, sf_dir, CKPT_TEXT)).select("doc_id", "input", "videoFrames", "is_valid")
 
 
+# Names that an address would encode.
+ODD_NAME = "clip a%20+é#"
+
+
+@query(
+    "checkpoint_scan",
+    f"""select '{ODD_NAME}' || doc_id || '.h265.mov' name, case when doc_id % 4 = 1 then 'a "b".NEV' end input,
+  cast(case doc_id % 4 when 0 then doc_id when 1 then 1 when 2 then 5 end as bigint) "videoFrames",
+  doc_id % 4 < 2 is_valid from documents""",
+)
+def checkpoint_scan(spark, sf_dir):
+    folder = scratch_path(spark, "checkpoints").removeprefix("file:")
+    name = F.concat(F.lit(f"{folder}/{ODD_NAME}"), F.col("doc_id"), F.lit(".h265.mov.ckpt"))
+    docs.write_files(
+        view(spark, sf_dir, CKPT_TEXT).select(name.alias("path"), F.encode("text", "utf-8").alias("content"))
+    )
+    return docs.read_checkpoints(spark, folder).select(
+        F.regexp_extract("clip_key", r"([^/]*)$", 1).alias("name"), "input", "videoFrames", "is_valid"
+    )
+
+
 SIDECARS = """select concat('/out/', p_partkey, '.h265.mov') clip_key, '1.0' tool_version,
   '9.2' sdk_version, concat('/in/"', p_name, '"/', p_partkey, '.NEV') input, 'ab' sha256,
   cast(4000 + p_size as bigint) width, cast(2000 as bigint) height, cast(p_size as bigint) frames_done,
@@ -665,6 +701,74 @@ def raw_frame_scan(spark, sf_dir):
     )
 
 
+# The same vectors as 3 x 7 pixels of three planes; the word left over is no whole frame.
+@query(
+    "raw_frame_scan_rgb",
+    f"""select '{ODD_NAME}' || vec_id || '.rgb' name, cast(0 as bigint) frame_no, 3 width, 7 height,
+  sha256(array_to_string(list_transform(embedding[1:63], lambda v:
+    lpad(hex(cast(floor((v::double + 1.0::double) * 16384) as bigint) % 256 * 256
+      + cast(floor((v::double + 1.0::double) * 16384) as bigint) // 256), 4, '0')), '')) planes_hash
+from embeddings""",
+)
+def raw_frame_scan_rgb(spark, sf_dir):
+    rawframes.register(spark)
+    folder = write_dumps(spark, sf_dir, F.col("embedding"))
+    frames = (
+        spark.read.format("rawframes")
+        .option("width", 3)
+        .option("height", 7)
+        .option("layout", "rgb16")
+        .load(folder)
+        .filter("frame_no < 5")
+    )
+    return frames.select(
+        F.regexp_extract("clip_id", r"([^/]*)$", 1).alias("name"),
+        "frame_no",
+        "width",
+        "height",
+        F.sha2(F.hex("planes"), 256).alias("planes_hash"),
+    )
+
+
+def write_dumps(spark, sf_dir, values) -> str:
+    """One dump per vector; returns their folder."""
+    from clipledger.catalog.frames import as_planes
+
+    folder = scratch_path(spark, "frames").removeprefix("file:")
+    docs.write_files(
+        tables.table(spark, sf_dir, "embeddings").select(
+            F.concat(F.lit(f"{folder}/{ODD_NAME}"), F.col("vec_id"), F.lit(".rgb")).alias("path"),
+            as_planes(values).alias("content"),
+        )
+    )
+    return folder
+
+
+# Dumps of three whole frames of 1 x 7 pixels, compared with their mirror; a fourth frame is torn.
+@query(
+    "frame_psnr_files",
+    """with f as (select vec_id, n, list_slice(embedding, 21 * n + 1, 21 * n + 21) a,
+  list_slice(list_reverse(embedding), 21 * n + 1, 21 * n + 21) b from embeddings, range(4) t(n)),
+er as (select vec_id, n, len(a) words, list_sum(list_transform(list_zip(a, b), lambda p:
+    (cast(floor((p[1]::double + 1.0::double) * 16384) as bigint)
+     - cast(floor((p[2]::double + 1.0::double) * 16384) as bigint)) ** 2))::double / len(a) mse from f)
+select vec_id clip_id, n frame_no, case when words = 21 then floor((case when mse <= 0 then 99.0::double
+  else 10.0::double * log10(65535.0::double * 65535.0::double / mse) end) * 1e6 + 0.5) / 1e6 end psnr from er""",
+)
+def frame_psnr_files(spark, sf_dir):
+    sides = {
+        "path_a": write_dumps(spark, sf_dir, F.col("embedding")),
+        "path_b": write_dumps(spark, sf_dir, F.reverse("embedding")),
+    }
+    path = lambda folder: F.concat(F.lit(f"{folder}/{ODD_NAME}"), F.col("vec_id"), F.lit(".rgb"))
+    pairs = tables.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("clip_id"),
+        *[path(folder).alias(side) for side, folder in sides.items()],
+        F.lit(4).cast("bigint").alias("frame_count"),
+    )
+    return frame_files.compare_files(pairs, 1, 7).withColumn("psnr", round_half_up("psnr", 6))
+
+
 @query(
     "quality_log_scan",
     """select l_returnflag, cast(count(*) as bigint) lines, cast(sum(l_quantity) as bigint) total

@@ -123,15 +123,28 @@ def write_checkpoints(
     return version
 
 
-def checkpoint_sink(path: str, order: str):
-    """For ``foreachBatch``: each micro-batch of snapshots becomes a version of the table."""
+def checkpoint_sink(path: str, order: str, keep: int = 3):
+    """For ``foreachBatch``: each micro-batch of snapshots becomes a version of the table.
+
+    Versions go on from the newest one, whichever query wrote it. A repeated batch is always the
+    last one, and putting it on its own outcome gives the same table. Only the ``keep`` newest
+    versions stay, for readers that began before the last batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_checkpoints(batch, path, order, batch_id)
+        write_checkpoints(batch, path, order)
+        drop_versions(path, keep)
 
     return write
 
 
+def drop_versions(path: str, keep: int) -> None:
+    """Remove all finished versions of a checkpoint table but the ``keep`` newest."""
+    system, root = resolve(path)
+    for version in checkpoint_versions(path)[: -max(keep, 1)]:
+        system.delete_dir(f"{root}/version={version}")
+
+
 def _checkpoint_texts(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("clip_key string, text string").parquet(f"{path}/version={version}")
 

@@ -236,9 +236,13 @@ def test_checkpoint_table_keeps_whole_versions(spark, tmp_path):
     os.makedirs(f"{path}/version=7")
     read = lambda: sorted((r.clip_key, r.videoFrames, r.sourceSha256, r.input, r.is_valid) for r in D.read_checkpoint_table(spark, path).collect())
     assert read() == [("a", 9, "", 'q"', True), ("b", 2, "", 'q"', True)]
-    # The same batch once more gives the same version; the unfinished one is never seen.
+    # The same batch once more gives the same table; the unfinished one is never seen.
     D.checkpoint_sink(path, "taken")(spark.createDataFrame([row("a", 9, 3)], schema), 1)
     assert read() == [("a", 9, "", 'q"', True), ("b", 2, "", 'q"', True)]
+    # A new query counts its batches from 0 again: its snapshots are seen, old versions go.
+    D.checkpoint_sink(path, "taken", 2)(spark.createDataFrame([row("b", 8, 4)], schema), 0)
+    assert read() == [("a", 9, "", 'q"', True), ("b", 8, "", 'q"', True)]
+    assert D.checkpoint_versions(path) == [2, 3]
     with pytest.raises(FileNotFoundError):
         D.read_checkpoint_table(spark, str(tmp_path / "nothing"))
 
