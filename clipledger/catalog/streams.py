@@ -15,7 +15,7 @@ from clipledger.sources import archive as files
 from clipledger.sources import documents as docs
 from clipledger.sources import samplelog
 from clipledger.streaming import streams as S
-from clipledger.streaming.carry import drain_append
+from clipledger.streaming.carry import drain_append, drain_update
 
 
 def table_stream(spark, sf_dir, name: str) -> DataFrame:
@@ -33,6 +33,18 @@ def log_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(samples.schema).parquet(folder)
 
 
+def in_batches(stream, rows: DataFrame, order: str, batches: int = 4) -> DataFrame:
+    """What ``stream`` has written after ``rows`` came in as that many micro-batches."""
+    folder = scratch_path(rows.sparkSession, "feed")
+    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    width = (span.high - span.low) // batches + 1
+    for low in range(span.low, span.high + 1, width):
+        rows.filter((F.col(order) >= low) & (F.col(order) < low + width)).write.mode("append").parquet(folder)
+        source = rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+        stream.start(source).awaitTermination()
+    return stream.result()
+
+
 TICKER = "2 seconds"
 
 
@@ -40,8 +52,7 @@ TICKER = "2 seconds"
     "progress_stream",
     f"""with e as (select user_id clip_id, ts, epoch_us(time_bucket(interval '{TICKER}', ts)) window_us,
     (event_id * 7) % 900 done, value from events),
-t as (select *, row_number() over (partition by clip_id, window_us order by ts desc, done desc) rk
-  from e where window_us + 2000000 <= (select epoch_us(max(ts)) from events)),
+t as (select *, row_number() over (partition by clip_id, window_us order by ts desc, done desc) rk from e),
 r as (select clip_id, window_us, done, done / 600.0::double f, done * 1001.0::double / 60000.0::double a,
   case when value / 10 > 0.01::double then (600.0::double - done) / (value / 10) else 0 end w
   from t where rk = 1)
@@ -58,7 +69,7 @@ def progress_stream(spark, sf_dir):
         F.lit(1001).alias("fps_den"),
         (F.col("value") / 10).alias("fps"),
     )
-    out = drain_append(S.progress_stream(events, TICKER, "0 seconds"))
+    out = drain_update(S.progress_stream(events, TICKER, "0 seconds"), ["clip_id", "window_start"])
     return out.select(
         "clip_id",
         F.unix_micros("window_start").alias("window_us"),
@@ -69,41 +80,61 @@ def progress_stream(spark, sf_dir):
     )
 
 
-@query(
-    "checkpoint_stream",
-    with_samples(
-        """, t as (select clip_id, seq, is_video, sum(case when is_video then 1 else 0 end) over line n,
+CHECKPOINT_STREAM_SQL = with_samples(
+    """, t as (select clip_id, seq, is_video, sum(case when is_video then 1 else 0 end) over line n,
   max(case when not is_video then pts + size // 6 end) over line a from samples
   window line as (partition by clip_id order by seq rows unbounded preceding))
 select clip_id, seq after_seq, cast(n as bigint) video_frames,
   cast(coalesce(a, 0) as bigint) audio_end_sample from t where is_video and n % 20 = 0
 union all select distinct clip_id, -1, 0, 0 from samples"""
-    ),
 )
+
+
+@query("checkpoint_stream", CHECKPOINT_STREAM_SQL)
 def checkpoint_stream(spark, sf_dir):
     return S.checkpoint_stream(spark, every=S.FLUSH_EVERY).drain(log_stream(spark, sf_dir))
 
 
-@query(
-    "ordered_dedup_stream",
-    f"""select clip_id, arrival, n from (select *, max(case when n >= 0 then n end) over
-  (partition by clip_id order by arrival rows between unbounded preceding and 1 preceding) high
-  from {duck(ARRIVALS)} a) q where n >= 0 and n > coalesce(high, -1)""",
-)
-def ordered_dedup_stream(spark, sf_dir):
-    arrivals = table_stream(spark, sf_dir, "events").select(
+@query("checkpoint_stream_batches", CHECKPOINT_STREAM_SQL)
+def checkpoint_stream_batches(spark, sf_dir):
+    stream = S.checkpoint_stream(spark, every=S.FLUSH_EVERY, chunk_rows=8)
+    return in_batches(stream, log(spark, sf_dir), "seq")
+
+
+def numbered_events(spark, sf_dir, streamed: bool) -> DataFrame:
+    events = (table_stream if streamed else tables.table)(spark, sf_dir, "events")
+    return events.select(
         F.col("user_id").alias("clip_id"),
         F.col("event_id").alias("arrival"),
         F.expr("event_id + (event_id * 37) % 11 * 40 - (event_id * 53) % 7 * 90").alias("n"),
     )
-    return S.ordered_dedup_stream(spark).drain(arrivals)
 
 
-@query(
-    "reorder_stream",
-    with_samples(
-        NUMBERED
-        + """, d as (select clip_id, n, min(seq) came from numbered where n >= 0 group by 1, 2),
+ORDERED_DEDUP_STREAM_SQL = f"""select clip_id, arrival, n from (select *, max(case when n >= 0 then n end) over
+  (partition by clip_id order by arrival rows between unbounded preceding and 1 preceding) high
+  from {duck(ARRIVALS)} a) q where n >= 0 and n > coalesce(high, -1)"""
+
+
+@query("ordered_dedup_stream", ORDERED_DEDUP_STREAM_SQL)
+def ordered_dedup_stream(spark, sf_dir):
+    return S.ordered_dedup_stream(spark).drain(numbered_events(spark, sf_dir, True))
+
+
+@query("ordered_dedup_stream_batches", ORDERED_DEDUP_STREAM_SQL)
+def ordered_dedup_stream_batches(spark, sf_dir):
+    return in_batches(S.ordered_dedup_stream(spark, chunk_rows=8), numbered_events(spark, sf_dir, False), "arrival")
+
+
+# All numbers that come out, without a limit on waiting.
+RELEASED_SQL = with_samples(
+    NUMBERED
+    + """, d as (select distinct clip_id, n from numbered where n >= 0),
+r as (select *, n + 1 = row_number() over (partition by clip_id order by n) released from d)
+select clip_id, cast(n as bigint) n, 'released' event from r where released"""
+)
+REORDER_STREAM_SQL = with_samples(
+    NUMBERED
+    + """, d as (select clip_id, n, min(seq) came from numbered where n >= 0 group by 1, 2),
 r as (select *, n + 1 = row_number() over (partition by clip_id order by n) released from d),
 due as (select c.clip_id, coalesce(max(n) filter (released), -1) + 1 due from clips c
   left join r using (clip_id) group by 1),
@@ -111,8 +142,10 @@ stuck as (select clip_id, min(came) since from r where not released group by 1)
 select clip_id, cast(n as bigint) n, 'released' event from r where released union all
 select clip_id, cast(due as bigint), 'gap' from due join stuck using (clip_id)
 where (select max(seq) from samples) - since > 30"""
-    ),
 )
+
+
+@query("reorder_stream", REORDER_STREAM_SQL)
 def reorder_stream(spark, sf_dir):
     arrivals = log_stream(spark, sf_dir).select(
         "clip_id", F.expr(NUMBER).alias("n"), F.timestamp_seconds("seq").alias("ts")
@@ -120,6 +153,14 @@ def reorder_stream(spark, sf_dir):
     return S.reorder_stream(spark, timeout_s=30).drain(arrivals)
 
 
+@query("reorder_stream_batches", RELEASED_SQL)
+def reorder_stream_batches(spark, sf_dir):
+    arrivals = log(spark, sf_dir).select(
+        "clip_id", F.expr(NUMBER).alias("n"), F.timestamp_seconds("seq").alias("ts"), "seq"
+    )
+    return in_batches(S.reorder_stream(spark, chunk_rows=8), arrivals, "seq")
+
+
 def logs_on_disk(spark, sf_dir) -> str:
     """The packet logs as binary files, one per clip."""
     folder = scratch_path(spark, "logs")
@@ -144,13 +185,13 @@ def growing_log_stream(spark, sf_dir):
     return drain_append(growing_logs(spark, logs_on_disk(spark, sf_dir)))
 
 
-@query(
-    "resume_stream",
-    with_samples(
-        'select cast(clip_id as varchar) clip_id, seq, is_video, size, pts, dts, is_key, frame_no, '
-        '"offset" from flagged where is_complete'
-    ),
+RESUME_STREAM_SQL = with_samples(
+    'select cast(clip_id as varchar) clip_id, seq, is_video, size, pts, dts, is_key, frame_no, '
+    '"offset" from flagged where is_complete'
 )
+
+
+@query("resume_stream", RESUME_STREAM_SQL)
 def resume_stream(spark, sf_dir):
     bounds = tables.bounds(log(spark, sf_dir)).withColumn(
         "clip_id", F.col("clip_id").cast("string")
@@ -159,6 +200,13 @@ def resume_stream(spark, sf_dir):
     return stream.drain(growing_logs(spark, logs_on_disk(spark, sf_dir)))
 
 
+@query("resume_stream_batches", RESUME_STREAM_SQL)
+def resume_stream_batches(spark, sf_dir):
+    samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
+    stream = S.resume_stream(spark, tables.bounds(samples), chunk_rows=8, clip_type="string")
+    return in_batches(stream, samples, "seq")
+
+
 @query(
     "intake_stream",
     """select '/' || s_suppkey || '.NEV' name, '/' || s_suppkey || '.h265.mov' output,

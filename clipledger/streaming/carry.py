@@ -85,6 +85,48 @@ def drain_append(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/output")
 
 
+def drain_update(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregate in update mode over all there is; the last row of each of ``keys``.
+
+    Open windows are told as well, which append mode holds back until they are closed.
+    """
+    spark = stream.sparkSession
+    folder = scratch_path(spark, "update")
+    rest = [c for c in stream.columns if c not in keys]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/output/batch={batch_id}")
+
+    (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    if not exists(f"{folder}/output"):
+        return spark.createDataFrame([], stream.schema)
+    written = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = spark.read.schema(f"{written}, batch bigint").parquet(f"{folder}/output")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return last.select(*keys, "_r.*").select(*stream.columns)
+
+
+def after_state(batch: DataFrame, state: DataFrame, order: str, carried: str = "last") -> DataFrame:
+    """The highest ``order`` of each clip of a batch, after a look that none was seen before.
+
+    The carried streams take each clip in order. A row that comes after a later one would be
+    counted wrongly, so it ends the stream with an error. Only one row per clip is compared.
+    """
+    spans = batch.groupBy("clip_id").agg(F.min(order).alias("_low"), F.max(order).alias(carried))
+    early = spans.join(state.select("clip_id", F.col(carried).alias("_seen")), "clip_id").filter("_low <= _seen")
+    if not early.isEmpty():
+        clip = early.first()
+        raise ValueError(f"{order} {clip['_low']} of clip {clip['clip_id']} comes after {clip['_seen']}")
+    return spans.select("clip_id", carried)
+
+
 def newest(state: DataFrame, fresh: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
     """Merge two one-row-per-key tables, column by column with max, min or sum."""
     both = state.unionByName(fresh)

@@ -18,7 +18,7 @@ from clipledger.plans.scan import (
     running_max,
     running_sum,
 )
-from clipledger.streaming.carry import CarriedStream, newest
+from clipledger.streaming.carry import CarriedStream, after_state, newest
 
 PROGRESS_EVERY = "2 seconds"
 # Records between two log flushes and between two checkpoints.
@@ -60,12 +60,14 @@ def checkpoint_stream(
 ) -> CarriedStream:
     """A checkpoint row per clip at its start and after every ``every`` video packets.
 
-    Input is the sample log in ``seq`` order. Each row tells the video packets and the audio end
-    sample so far; ``after_seq`` is -1 for the one at the start.
+    Input is the sample log; a ``seq`` at or below one of an earlier batch is an error. Each row
+    tells the video packets and the audio end sample so far; ``after_seq`` is -1 for the one at the
+    start.
     """
     step_bytes = F.lit(channels * 3).cast("bigint")
 
     def step(batch: DataFrame, state: DataFrame):
+        last = after_state(batch, state, "seq")
         ends = F.when(~F.col("is_video"), F.col("pts") + idiv("size", step_bytes))
         rows = running(
             batch.select("clip_id", "seq", "is_video", "size", "pts"),
@@ -95,33 +97,39 @@ def checkpoint_stream(
             seen.join(state, "clip_id", "left_anti")
             .select("clip_id", F.lit(-1).cast("bigint"), zero, zero)
         )
-        merged = newest(state, seen, ["clip_id"], {"videos": "sum", "audio_end": "max"})
+        how = {"videos": "sum", "audio_end": "max", "last": "max"}
+        merged = newest(state, seen.join(last, "clip_id"), ["clip_id"], how)
         return first.union(due).toDF(*due.columns), merged
 
     return CarriedStream(
         spark,
         step,
         f"clip_id {clip_type}, after_seq bigint, video_frames bigint, audio_end_sample bigint",
-        f"clip_id {clip_type}, videos bigint, audio_end bigint",
+        f"clip_id {clip_type}, videos bigint, audio_end bigint, last bigint",
     )
 
 
 def ordered_dedup_stream(
     spark: SparkSession, chunk_rows: int = CHUNK_ROWS, clip_type: str = "bigint"
 ) -> CarriedStream:
-    """Arrivals (``clip_id, arrival, n``) whose number is above all earlier ones, each once."""
+    """Arrivals (``clip_id, arrival, n``) whose number is above all earlier ones, each once.
+
+    An ``arrival`` at or below one of an earlier batch is an error.
+    """
 
     def step(batch: DataFrame, state: DataFrame):
         rows = batch.select("clip_id", "arrival", "n")
-        kept = ordered_dedup(rows, chunk_rows=chunk_rows, after=state)
-        high = rows.filter("n >= 0").groupBy("clip_id").agg(F.max("n").alias("high"))
-        return kept, newest(state, high, ["clip_id"], {"high": "max"})
+        last = after_state(rows, state, "arrival")
+        known = state.filter("high is not null").select("clip_id", "high")
+        kept = ordered_dedup(rows, chunk_rows=chunk_rows, after=known)
+        high = rows.groupBy("clip_id").agg(F.max(F.when(F.col("n") >= 0, F.col("n"))).alias("high"))
+        return kept, newest(state, high.join(last, "clip_id"), ["clip_id"], {"high": "max", "last": "max"})
 
     return CarriedStream(
         spark,
         step,
         f"clip_id {clip_type}, arrival bigint, n bigint",
-        f"clip_id {clip_type}, high bigint",
+        f"clip_id {clip_type}, high bigint, last bigint",
     )
 
 
@@ -136,8 +144,8 @@ def reorder_stream(
 
     Input is ``clip_id, n, ts``. Output rows are ``released`` numbers and, when ``timeout_s`` is
     set, one ``gap`` per clip and missing number that has kept later ones waiting for longer than
-    that in event time. The state is the held rows and, in a row with n = -1, what is due next and
-    which gap was told last.
+    that in event time, which never runs backwards. The state is the held rows and, in a row with
+    n = -1, what is due next, which gap was told last and the time of it.
     """
 
     def step(batch: DataFrame, state: DataFrame):
@@ -159,8 +167,10 @@ def reorder_stream(
             .groupBy("clip_id")
             .agg(F.max("due").alias("due"), F.max("told").alias("told"))
         )
+        now = None
         if timeout_s is not None:
-            now = batch.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+            times = fresh.select("ts").union(state.filter("n = -1").select("ts"))
+            now = times.agg(F.max("ts")).first()[0]
             stuck = rest.groupBy("clip_id").agg(F.min("ts").alias("since"))
             waited = F.unix_micros(F.lit(now)) - F.unix_micros("since")
             gaps = (
@@ -174,7 +184,7 @@ def reorder_stream(
             ).select("clip_id", "due", F.coalesce("_gap", "told").alias("told"))
         state_rows = rest.select("clip_id", "n", "ts", none.alias("due"), none.alias("told")).union(
             now_due.select(
-                "clip_id", F.lit(-1).cast("bigint"), F.lit(None).cast("timestamp"), "due", "told"
+                "clip_id", F.lit(-1).cast("bigint"), F.lit(now).cast("timestamp"), "due", "told"
             )
         )
         return out, state_rows
@@ -192,12 +202,15 @@ def resume_stream(
 ) -> CarriedStream:
     """The complete prefix of growing logs: packets that end at or below the bound of valid data.
 
-    Input is the sample log in ``seq`` order; the state is the bytes seen of each clip.
+    Input is the sample log; a ``seq`` at or below one of an earlier batch is an error. The state is
+    the bytes seen of each clip.
     :func:`resume_now` gives the resume points when they are wanted.
     """
 
     def step(batch: DataFrame, state: DataFrame):
-        facts = bounds.select("clip_id", "data_start", "data_bound").join(state, "clip_id", "left")
+        last = after_state(batch, state, "seq")
+        seen = state.select("clip_id", "seen")
+        facts = bounds.select("clip_id", "data_start", "data_bound").join(seen, "clip_id", "left")
         size = F.greatest(F.col("size"), F.lit(0).cast("bigint"))
         rows = running(
             batch,
@@ -214,7 +227,7 @@ def resume_stream(
         grown = batch.groupBy("clip_id").agg(F.sum(size).alias("seen"))
         return (
             kept.select(*batch.columns, "offset"),
-            newest(state, grown, ["clip_id"], {"seen": "sum"}),
+            newest(state, grown.join(last, "clip_id"), ["clip_id"], {"seen": "sum", "last": "max"}),
         )
 
     return CarriedStream(
@@ -222,7 +235,7 @@ def resume_stream(
         step,
         f"clip_id {clip_type}, seq bigint, is_video boolean, size bigint, pts bigint, dts bigint, "
         "is_key boolean, frame_no bigint, offset bigint",
-        f"clip_id {clip_type}, seen bigint",
+        f"clip_id {clip_type}, seen bigint, last bigint",
     )
 
 

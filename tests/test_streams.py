@@ -10,7 +10,7 @@ from clipledger.session import scratch_path
 from clipledger.sources import archive as A
 from clipledger.sources import samplelog
 from clipledger.streaming import streams as S
-from clipledger.streaming.carry import drain_append
+from clipledger.streaming.carry import drain_append, drain_update
 from tests import models
 from tests.data import by_clip, frame_of, random_archive
 from tests.test_audio_arrivals import arrivals
@@ -52,6 +52,26 @@ def test_text_ids_and_an_empty_stream(spark):
     assert sorted(r.n for r in out.collect()) == [0, 1]
 
 
+def test_rows_out_of_order_end_a_stream(spark):
+    one = spark.createDataFrame([(1, 5, 4), (2, 1, 2)], "clip_id bigint, arrival bigint, n bigint")
+    late = spark.createDataFrame([(1, 5, 9)], one.schema)
+    stream = S.ordered_dedup_stream(spark)
+    stream._run(one, 0)
+    stream._run(one.filter("clip_id = 2").withColumn("arrival", F.lit(2).cast("bigint")), 1)
+    with pytest.raises(ValueError, match="comes after 5"):
+        stream._run(late, 2)
+
+
+def test_time_of_gaps_never_runs_backwards(spark):
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    schema = "clip_id bigint, n bigint, ts timestamp"
+    stream = S.reorder_stream(spark, timeout_s=10)
+    stream._run(spark.createDataFrame([(1, 0, at(100))], schema), 0)
+    # An old row waits since its own time, seen from the newest time so far.
+    stream._run(spark.createDataFrame([(1, 2, at(50))], schema), 1)
+    assert sorted((r.n, r.event) for r in stream.result().collect()) == [(0, "released"), (1, "gap")]
+
+
 def test_repeated_batch_counts_once(spark):
     stream = S.ordered_dedup_stream(spark)
     one = spark.createDataFrame([(1, 0, 4), (1, 1, 2)], "clip_id bigint, arrival bigint, n bigint")
@@ -147,6 +167,9 @@ def test_progress_stream_equals_batch(spark):
     last = max(r[1] for r in rows)
     closed = {k: v for k, v in batch.items() if k[1].replace(tzinfo=timezone.utc) + timedelta(seconds=2) <= last}
     assert stream == closed and len(closed) > 80
+    # Update mode tells the open window too.
+    live = S.progress_stream(spark.readStream.schema(df.schema).parquet(folder))
+    assert pick(drain_update(live, ["clip_id", "window_start"])) == batch
 
 
 def test_intake_reports_each_source_once(spark, tmp_path):
