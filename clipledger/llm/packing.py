@@ -22,7 +22,11 @@ END_ID = 2
 KNOWN_WORDS = 200_000
 CALL_WORDS = 1000
 
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
+PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary, _part int, _rank bigint"
+PACKED = (
+    "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
+    "sequence_id bigint, offset bigint, ids binary"
+)
 
 
 class WordEncoder:
@@ -43,6 +47,8 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        # Ids travel in two bytes each where all of them fit.
+        self.carried = "<u2" if len(self.opens) <= 1 << 16 else "<u4"
         # The byte-level alphabet writes a blank as this letter.
         self.opens[[i for word, i in vocabulary.items() if word.startswith("Ġ")]] = True
         # The byte-level alphabet: printable bytes are themselves, the others follow from 256 on.
@@ -140,15 +146,17 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     """Pieces of all documents, numbered per task and length: written once to the shared folder.
 
     A document is its ids and ``end_id``. Only one longer than ``capacity`` is cut: its first
-    piece holds the remainder, all others are full.
+    piece holds the remainder, all others are full. ``ids`` has those of the piece in as
+    few bytes as the vocabulary needs (two or four).
     """
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids", "_part", "_rank"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
         encoder = per_process(f"encoder {path}", lambda: WordEncoder(path))
         end = np.array([end_id], "<u4").tobytes()
+        carried = encoder.carried if end_id < 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -162,8 +170,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                     start, piece = 0, 0
                     while start < total:
                         size = ((total - 1) % capacity + 1) if start == 0 else capacity
-                        crc = zlib.crc32(memoryview(raw)[4 * start : 4 * (start + size)])
-                        for column, value in zip(out, (doc, piece, start, size, crc, part, seen[size])):
+                        own = np.frombuffer(raw, "<u4", size, 4 * start).astype(carried).tobytes()
+                        for column, value in zip(out, (doc, piece, start, size, own, part, seen[size])):
                             column.append(value)
                         seen[size] += 1
                         start, piece = start + size, piece + 1
@@ -227,8 +235,11 @@ def pack(
 ) -> DataFrame:
     """All documents packed into sequences of at most ``capacity`` ids.
 
-    Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id and offset. ``path`` is
-    the vocabulary of a byte-level tokenizer. Only the histogram of piece lengths, of at most
+    Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset and ``ids``, its
+    ids as unsigned numbers of four bytes, the lowest first. The pieces of a sequence lie together
+    in the order of their offsets, so their ids one after the other are the sequence
+    (:func:`sequences`); ids_crc32 is taken from them there. ``path`` is the vocabulary of a
+    byte-level tokenizer. Only the histogram of piece lengths, of at most
     ``capacity`` rows, comes to the driver; the bins found there are broadcast (their number
     follows the lengths, not the rows) and each piece finds its bin by its rank among the pieces
     of its length. Ranks come from totals per task, so no length, however frequent, meets in one
@@ -260,7 +271,7 @@ def pack(
     before = Window.partitionBy("length").orderBy("_part")
     carried = totals.select("_part", "length", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
     ranked = pieces.join(carried, ["_part", "length"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_rank")).alias("_at")
+        "doc_id", "piece", "start", "length", "ids", (F.col("_base") + F.col("_rank")).alias("_at")
     )
     schema = pa.schema(
         [
@@ -268,7 +279,7 @@ def pack(
             ("piece", pa.int32()),
             ("start", pa.int64()),
             ("length", pa.int64()),
-            ("ids_crc32", pa.int64()),
+            ("ids", pa.binary()),
             ("sequence_id", pa.int64()),
             ("offset", pa.int64()),
         ]
@@ -291,8 +302,33 @@ def pack(
                 [*columns, pa.array(sequences), pa.array(offsets)], schema=schema
             )
 
-    return ranked.mapInArrow(
+    placed = ranked.mapInArrow(
         place,
-        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
+        "doc_id bigint, piece int, start bigint, length bigint, ids binary, "
         "sequence_id bigint, offset bigint",
     )
+    together = placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return together.mapInArrow(_with_ids, PACKED)
+
+
+def _with_ids(batches):
+    """The packed pieces with their ids in four bytes each, and the checksum of these."""
+    for batch in batches:
+        for rows in slices(batch, "ids"):
+            lengths = rows.column("length").to_pylist()
+            ids = [
+                np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
+                for raw, n in zip(rows.column("ids").to_pylist(), lengths, strict=True)
+            ]
+            out = {n: rows.column(n) for n in ("doc_id", "piece", "start", "length")}
+            out["ids_crc32"] = pa.array(map(zlib.crc32, ids), pa.int64())
+            out |= {n: rows.column(n) for n in ("sequence_id", "offset")}
+            yield pa.RecordBatch.from_pydict(out | {"ids": pa.array(ids, pa.binary())})
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of the result of :func:`pack`: one row per sequence, ids as there."""
+    members = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    # Binary values are joined by concat only; a sequence has ``capacity`` pieces at most.
+    joined = F.aggregate(members, F.lit(b""), lambda ids, m: F.concat(ids, m["ids"]))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))

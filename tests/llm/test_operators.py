@@ -144,6 +144,33 @@ def test_packing_documents(spark, sf_dir, documents):
     assert bins <= -(-tokens // 1024) * 1.02 + 1
 
 
+def test_packed_ids(spark, odd):
+    """The ids themselves are the output: pieces have theirs, and those of a sequence make it up."""
+    found = packing.pack(odd, VOCABULARY)
+    rows = found.collect()
+    encoder = packing.WordEncoder(VOCABULARY)
+    end = np.array([packing.END_ID], "<u4").tobytes()
+    want = [(r[0], encoder.encode([r[1] or ""])[0] + end) for r in odd_rows()]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    whole = {doc: raw for doc, raw in want if doc in (1, 2, 3, 4, 8, 9, 10)}
+    for doc, raw in whole.items():
+        assert b"".join(r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == doc) == raw
+    assert sum(len(r.ids) for r in rows) == sum(len(raw) for _, raw in want)
+    made = {r.sequence_id: bytes(r.ids) for r in packing.sequences(found).collect()}
+    assert set(made) == {r.sequence_id for r in rows}
+    for r in rows:
+        assert made[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == r.ids
+    assert sum(map(len, made.values())) == sum(len(raw) for _, raw in want)
+    assert packing.sequences(packing.pack(odd.limit(0), VOCABULARY)).count() == 0
+
+
+def test_pipeline_ends_in_ids(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir)
+    assert all(len(r.ids) == 4 * r.length for r in packed.collect())
+
+
 def test_packing_empty(odd):
     assert packing.pack(odd.limit(0), VOCABULARY).count() == 0
 
