@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import numbered, text_or_empty, with_position
+from clipledger.session import store
 
 SHARDS = 16
 SEED = "shard-1"
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum: str = "source") -> DataFrame:
-    """Deal ``docs`` into ``shards`` so that every shard has the mixture of the whole.
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum: str = "source"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with ``shard`` and ``slot`` (place in the shard, from 0).
+
+    Deals ``docs`` into ``shards`` so that every shard has the mixture of the whole.
 
     Rows of each source are shuffled by a seeded hash of their doc_id and ranked; a row's
     fractional rank is (rank - 1/2) / rows of its source. The rows in the order of fractional
@@ -20,13 +25,18 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum:
     place, so each shard is within one row of the exact share of every source, but for ties.
 
     Both orders are range partitions on a unique key; only totals of partitions are carried over,
-    so a source with a third of all rows is spread over many tasks.
+    so a source with a third of all rows is spread over many tasks. Rows are written once under a
+    number of their own; small rows are placed, and joined to the whole ones by that number.
 
     Null sources are a source of their own, null doc_ids are shuffled like any other value, null
     texts have size 1 and crc 0, repeated rows each get a place of their own, an empty table gives
-    an empty result, and other columns of ``docs`` are not looked at.
+    an empty result, and other columns of ``docs`` are carried along. Columns of ``docs`` named
+    ``shard``, ``slot`` or ``_shard_row`` are replaced.
     """
-    rows = docs.select(
+    whole = docs.drop("shard", "slot").withColumn("_shard_row", F.monotonically_increasing_id())
+    whole = store(whole, "shard-rows")
+    rows = whole.select(
+        "_shard_row",
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text_or_empty()) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
@@ -62,12 +72,23 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum:
     )
     shard = F.call_function("div", F.col("_pos") * shards, F.col("_all"))
     first = F.call_function("div", shard * F.col("_all") + (shards - 1), F.lit(shards).cast("bigint"))
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
+    places = placed.select(
+        "_shard_row", shard.cast("int").alias("shard"), (F.col("_pos") - first).cast("bigint").alias("slot")
+    )
+    return whole.join(places, "_shard_row").drop("_shard_row")
+
+
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, stratum: str = "source") -> DataFrame:
+    """The documents of :func:`shard_documents` told by size and checksum, taken from its rows.
+
+    Returns doc_id, size (bytes of text and one), text_crc32, law, shard, slot and grown_shard.
+    """
+    return shard_documents(docs, shards, seed, stratum).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (F.octet_length(text_or_empty()) + 1).cast("bigint").alias("size"),
+        F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        shard.cast("int").alias("shard"),
-        (F.col("_pos") - first).cast("bigint").alias("slot"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

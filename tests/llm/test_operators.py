@@ -325,6 +325,20 @@ def test_sharding_mixture(spark):
     assert all(abs(r["count"] - sizes[r.source] / 16) <= 2 for r in found)
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_sharded_documents(odd, clash):
+    """The shards hold whole documents, in the places that the digests tell."""
+    docs = (clashing(odd) if clash else odd).withColumn("slot", F.lit("x"))
+    found = sharding.shard_documents(docs, shards=3)
+    assert found.columns == [*docs.drop("slot").columns, "shard", "slot"]
+    rows = found.collect()
+    assert sorted([tuple(r)[:5] for r in rows], key=str) == sorted(odd_rows(), key=str)
+    assert len({(r.shard, r.slot) for r in rows}) == len(odd_rows())
+    told = {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in sharding.interleave(docs, shards=3).collect()}
+    # Equal rows may change places; their digests are equal.
+    assert told == {(r.shard, r.slot): (r.doc_id, zlib.crc32((r.text or "").encode())) for r in rows}
+
+
 # --- 5 vectors -----------------------------------------------------------------------------------
 
 
