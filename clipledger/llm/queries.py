@@ -21,6 +21,7 @@ from clipledger.llm import (
     warczip,
 )
 from clipledger.llm.common import table
+from clipledger.session import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,4 +235,6 @@ select doc_id, source, rate, cast(copy as int) copy,
 
 @query("op10_mixing", MIXING)
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    # Whole documents are repeated, shuffled and written; the columns of the twin are read back.
+    documents = store(mixing.replicate(table(spark, sf_dir, "documents")), "mixed")
+    return documents.select("doc_id", "source", "rate", "copy", "shuffle_key")

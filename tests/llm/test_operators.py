@@ -720,3 +720,20 @@ def test_mixing_odd(spark, odd, monkeypatch, few):
     copies = collections.Counter((r.doc_id, r.text, r.copy) for r in rows if r.doc_id == 5)
     assert set(copies.values()) <= {2}
     assert mixing.replicate(odd.limit(0)).count() == 0
+
+
+def test_mixed_query_moves_whole_documents(spark, sf_dir, documents, monkeypatch):
+    made = []
+
+    def replicate(docs, *args, real=mixing.replicate, **named):
+        made.append(real(docs, *args, **named))
+        return made[-1]
+
+    monkeypatch.setattr(mixing, "replicate", replicate)
+    plan = QUERIES["op10_mixing"](spark, sf_dir)
+    assert made[0].columns == [*documents.columns, "rate", "copy", "shuffle_key"]
+    written = spark.read.parquet(*plan.inputFiles())
+    assert set(written.columns) == set(made[0].columns)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = written.collect()
+    assert len(rows) == plan.count() and all(r.text == texts[r.doc_id] for r in rows)
