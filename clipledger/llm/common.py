@@ -132,13 +132,13 @@ def per_process(name: str, make: Callable):
     return getattr(holder, name)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """A batch cut so that the ``text`` column of each part holds about SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that the ``text`` column of each part holds about ``most`` bytes."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, size in enumerate(sizes):
-        if i > begin and held + size > SLICE_BYTES:
+        if i > begin and held + size > most:
             yield batch.slice(begin, i - begin)
             begin, held = i, 0
         held += int(size)

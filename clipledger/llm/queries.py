@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.llm import (
+    alignment,
     crosspolytope,
     linechunks,
     mixing,
@@ -19,6 +22,7 @@ from clipledger.llm import (
     substring,
     toxicity,
     warczip,
+    wordruns,
 )
 from clipledger.llm.common import table
 from clipledger.session import store
@@ -238,3 +242,82 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Whole documents are repeated, shuffled and written; the columns of the twin are read back.
     documents = store(mixing.replicate(table(spark, sf_dir, "documents")), "mixed")
     return documents.select("doc_id", "source", "rate", "copy", "shuffle_key")
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by its checksum repeats some of its words to its end."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                h = zlib.crc32(str(doc).encode()) if doc is not None else 1
+                if h % 10 == 0 and texts[i]:
+                    words = texts[i].encode().split()
+                    n, g = len(words), h // 10
+                    if n:
+                        a = g % n
+                        p = 1 + (n - a) // (3 + g % 8)
+                        words = [words[j if j < a else a + (j - a) % p] for j in range(n)]
+                        texts[i] = b" ".join(words).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text string")
+
+
+RUNS = rf"""
+with recursive halved(n, c, k) as (
+    select i, i, 0 from range(256) t(i) union all
+    select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from halved where k < 8),
+steps as materialized (select list(c order by n) s from halved where k = 8),
+d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') ws from documents),
+c as (select d.*, len(ws) n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(length(doc_id::varchar)), lambda i: ascii(substr(doc_id::varchar, i + 1, 1))::bigint)),
+    lambda a, b: xor(a >> 8, s[xor(a & 255, b) + 1]))) h from d, steps),
+p as (select r, doc_id, ws, n, n > 0 and h % 10 = 0 planted, case when n > 0 then h // 10 % n end a,
+    case when n > 0 then 1 + (n - h // 10 % n) // (3 + h // 10 % 8) end p from c),
+i as (select *, unnest(range(n)) i from p),
+w as materialized (select r, i, case when planted and i >= a then ws[a + (i - a) % p + 1] else ws[i + 1] end word from i),
+m as (select x.r, x.i, y.i - x.i q from w x join w y on x.r = y.r and x.word = y.word and y.i > x.i),
+s as (select r, q, i, i - row_number() over (partition by r, q order by i) k from m),
+t as (select r, q, min(i) start, count(*) + q length from s group by r, q, k
+    having count(*) >= q and count(*) + q >= {wordruns.LEAST}),
+u as materialized (select r, start, length, min(q) q from t group by r, start, length),
+best as (select r, count(*) n_runs, arg_max(struct_pack(s := start, l := length, q := q), [length, -start, -q]) b,
+    string_agg(concat(start, ',', length, ',', q, chr(10)), '' order by start, q) shown from u group by r),
+kept as (select w.r, string_agg(word, ' ' order by w.i) text from w anti join u
+    on w.r = u.r and w.i >= u.start + u.q and w.i < u.start + u.length group by w.r)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) n_runs, cast(b.s as bigint) start, cast(b.l as bigint) length,
+    cast(b.q as bigint) period, cast(1000 * b.l // b.q as bigint) exponent_milli,
+    sha256(coalesce(shown, '')) runs_sha256, sha256(coalesce(kept.text, '')) collapsed_sha256
+from p left join best using (r) left join kept using (r)
+"""
+
+
+@query("op12_word_runs", RUNS)
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wordruns.word_runs(_planted(table(spark, sf_dir, "documents")))
+    # The greatest length, then the smallest start and period.
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("q")))
+    )
+    shown = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_best.s")).alias("start"),
+        F.col("_best.l").alias("length"),
+        (-F.col("_best.q")).alias("period"),
+        F.expr("1000 * _best.l div -_best.q").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(shown, lambda r: F.concat(r, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
