@@ -20,6 +20,7 @@ from clipledger.llm import (
     sharding,
     simhash,
     substring,
+    suffixes,
     toxicity,
     warczip,
     wordruns,
@@ -244,6 +245,31 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "source", "rate", "copy", "shuffle_key")
 
 
+_N = suffixes.WINDOW
+
+SUFFIXES = f"""
+with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) hx from documents),
+s as (select r, doc_id, hx, unnest(range(length(hx) // 2 - {_N - 1})) p from d where length(hx) >= {2 * _N}),
+k as (select r, doc_id, p, substr(hx, 2 * p + 1, {2 * _N}) piece from s),
+m as (select r, doc_id, p, min(doc_id) over (partition by piece) low from k),
+g as (select r, p, p - lag(p) over (partition by r order by p) step from m where low < doc_id),
+i as (select r, p, sum(case when step <= {_N} then 0 else 1 end) over (partition by r order by p) island from g),
+t as (select r, min(p) b, max(p) + {_N} e from i group by r, island),
+u as (select r, b, e, lag(e, 1, 0) over (partition by r order by b) before from t),
+kept as (select r, string_agg(substr(hx, 2 * before + 1, 2 * (b - before)), '' order by b) head,
+    max(e) e, sum(e - b) n, count(*) spans from u join d using (r) group by r)
+select doc_id, cast(length(hx) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed,
+    cast(coalesce(spans, 0) as bigint) n_spans,
+    sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(e, 0) + 1))) kept_sha256
+from d left join kept using (r)
+"""
+
+
+@query("op11_suffix_dedup", SUFFIXES)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """doc_id and text; every tenth document by its checksum repeats some of its words to its end."""
 
