@@ -22,8 +22,9 @@ BLOCK = 1 << 20
 GATHERED = 1 << 21
 # Cells of anchors per shuffle partition: they cut the work, not the result.
 CELLS_PER_TASK = 8
-# A seed in more documents than both of these is sent window by window. At most HOT_SHARE are.
-HOT_LEAST, HOT_SHARE = 1000, 1 << 16
+# A seed in more documents than HOT_LEAST, what one task can hold with ease, and than its share of all
+# is sent window by window. At most HOT_SHARE are.
+HOT_LEAST, HOT_SHARE = 100_000, 1 << 16
 # Bytes up to which suffixes are sorted by multikey quicksort, 8 at a time; blind tries do the rest.
 SHALLOW = 32
 # Bytes on either side of an anchor, filled up to whole words of 8.
