@@ -14,6 +14,7 @@ from clipledger.session import scratch_path
 from clipledger.sources import archive as files
 from clipledger.sources import documents as docs
 from clipledger.sources import samplelog
+from clipledger.streaming import keyed as K
 from clipledger.streaming import streams as S
 from clipledger.streaming.carry import drain_append, drain_update
 
@@ -92,12 +93,12 @@ union all select distinct clip_id, -1, 0, 0 from samples"""
 
 @query("checkpoint_stream", CHECKPOINT_STREAM_SQL)
 def checkpoint_stream(spark, sf_dir):
-    return S.checkpoint_stream(spark, every=S.FLUSH_EVERY).drain(log_stream(spark, sf_dir))
+    return K.keyed_checkpoints(spark, every=S.FLUSH_EVERY).drain(log_stream(spark, sf_dir))
 
 
 @query("checkpoint_stream_batches", CHECKPOINT_STREAM_SQL)
 def checkpoint_stream_batches(spark, sf_dir):
-    stream = S.checkpoint_stream(spark, every=S.FLUSH_EVERY, chunk_rows=8)
+    stream = K.keyed_checkpoints(spark, every=S.FLUSH_EVERY, pack_rows=64)
     return in_batches(stream, log(spark, sf_dir), "seq")
 
 
@@ -117,12 +118,12 @@ ORDERED_DEDUP_STREAM_SQL = f"""select clip_id, arrival, n from (select *, max(ca
 
 @query("ordered_dedup_stream", ORDERED_DEDUP_STREAM_SQL)
 def ordered_dedup_stream(spark, sf_dir):
-    return S.ordered_dedup_stream(spark).drain(numbered_events(spark, sf_dir, True))
+    return K.keyed_dedup(spark).drain(numbered_events(spark, sf_dir, True))
 
 
 @query("ordered_dedup_stream_batches", ORDERED_DEDUP_STREAM_SQL)
 def ordered_dedup_stream_batches(spark, sf_dir):
-    return in_batches(S.ordered_dedup_stream(spark, chunk_rows=8), numbered_events(spark, sf_dir, False), "arrival")
+    return in_batches(K.keyed_dedup(spark, pack_rows=64), numbered_events(spark, sf_dir, False), "arrival")
 
 
 # All numbers that come out, without a limit on waiting.
@@ -150,7 +151,7 @@ def reorder_stream(spark, sf_dir):
     arrivals = log_stream(spark, sf_dir).select(
         "clip_id", F.expr(NUMBER).alias("n"), F.timestamp_seconds("seq").alias("ts")
     )
-    return S.reorder_stream(spark, timeout_s=30).drain(arrivals)
+    return K.keyed_reorder(spark, timeout_s=30).drain(arrivals)
 
 
 @query("reorder_stream_batches", RELEASED_SQL)
@@ -158,7 +159,7 @@ def reorder_stream_batches(spark, sf_dir):
     arrivals = log(spark, sf_dir).select(
         "clip_id", F.expr(NUMBER).alias("n"), F.timestamp_seconds("seq").alias("ts"), "seq"
     )
-    return in_batches(S.reorder_stream(spark, chunk_rows=8), arrivals, "seq")
+    return in_batches(K.keyed_reorder(spark), arrivals, "seq")
 
 
 def logs_on_disk(spark, sf_dir) -> str:
@@ -196,14 +197,14 @@ def resume_stream(spark, sf_dir):
     bounds = tables.bounds(log(spark, sf_dir)).withColumn(
         "clip_id", F.col("clip_id").cast("string")
     )
-    stream = S.resume_stream(spark, bounds, clip_type="string")
+    stream = K.keyed_resume(spark, bounds)
     return stream.drain(growing_logs(spark, logs_on_disk(spark, sf_dir)))
 
 
 @query("resume_stream_batches", RESUME_STREAM_SQL)
 def resume_stream_batches(spark, sf_dir):
     samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
-    stream = S.resume_stream(spark, tables.bounds(samples), chunk_rows=8, clip_type="string")
+    stream = K.keyed_resume(spark, tables.bounds(samples), pack_rows=64)
     return in_batches(stream, samples, "seq")
 
 
