@@ -25,6 +25,8 @@ CELLS_PER_TASK = 8
 # A seed in more documents than HOT_LEAST, what one task can hold with ease, and than its share of all
 # is sent window by window. At most HOT_SHARE are.
 HOT_LEAST, HOT_SHARE = 100_000, 1 << 16
+# Texts around anchors that a task remembers to tell copies of them.
+KNOWN_TEXTS = 1 << 18
 # Bytes up to which suffixes are sorted by multikey quicksort, 8 at a time; blind tries do the rest.
 SHALLOW = 32
 # Bytes on either side of an anchor, filled up to whole words of 8.
@@ -271,11 +273,12 @@ _SUFFIX_COLUMNS = "seed bigint, doc bigint, k2 bigint, span bigint, around binar
 def _suffixes(hot: np.ndarray):
     """The text around each anchor whose seed another document has: the suffix and what is left of it.
 
-    Of equal rows of a batch only that of the smallest document goes on; the others are decided
-    and carry no text.
+    Of equal rows of a task those of larger documents than one before are decided and carry no text, so
+    of a group of copies a task sends a few, however many it has.
     """
 
     def run(batches):
+        known: dict[tuple[bytes, int, int], int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t.as_py() or b"" for t in part.column("text").cast(pa.binary())]
@@ -285,9 +288,9 @@ def _suffixes(hot: np.ndarray):
                 wanted = np.unique(np.repeat(np.arange(len(texts)), sizes) << 32 | wanted)
                 docs, keys = part.column("doc").to_numpy(), part.column("k2").to_numpy()
                 for raw, piece, rows, places, begins in blocks(texts):
-                    yield from around(raw, piece, rows, places, begins, wanted, docs, keys)
+                    yield from around(raw, piece, rows, places, begins, wanted, docs, keys, known)
 
-    def around(raw, piece, rows, places, begins, wanted, docs, keys):
+    def around(raw, piece, rows, places, begins, wanted, docs, keys, known):
         found, place, low, high = anchors(raw, piece)
         low32 = (found >> np.uint64(16) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         own = rows[piece[place]] << 32 | low32
@@ -314,17 +317,17 @@ def _suffixes(hot: np.ndarray):
         size = high - low + WINDOW
         text = raw.tobytes()
         pieces = [text[b : b + n] for b, n in zip(first.tolist(), size.tolist())]
-        content = np.fromiter(map(hash, pieces), np.int64, len(pieces))
-        order = np.lexsort((doc, low, high, content, seed))
-        same = np.zeros(len(order), bool)
-        same[1:] = (seed[order][1:] == seed[order][:-1]) & (content[order][1:] == content[order][:-1])
-        same[1:] &= (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        decided = np.zeros(len(order), bool)
-        # The process hash names candidates only; their texts are compared.
-        for i in np.flatnonzero(same):
-            one, two = order[i], order[head[i]]
-            decided[one] = doc[one] > doc[two] and pieces[one] == pieces[two]
+        # Documents go from the smallest up; one whose text a smaller one of this task has is decided.
+        decided = np.zeros(len(pieces), bool)
+        if len(known) > KNOWN_TEXTS:
+            known.clear()
+        for i in np.argsort(doc, kind="stable").tolist():
+            own, key_i = int(doc[i]), (pieces[i], int(high[i]), int(seed[i]))
+            least = known.get(key_i, own)
+            if least < own:
+                decided[i] = True
+            else:
+                known[key_i] = own
         span = (places[piece[place]] + place - begins[piece[place]]) << 16 | low << 8 | high
         seed = np.where(decided, _mix(doc.astype(np.uint64) ^ key.astype(np.uint64)).astype(np.int64), seed)
         texts = [b"" if d else p for d, p in zip(decided.tolist(), pieces)]
