@@ -16,7 +16,7 @@ from clipledger.plans import tables
 from clipledger.session import scratch_path
 from clipledger.sources import archive as files
 from clipledger.sources import documents as docs
-from clipledger.sources import rawframes, samplelog
+from clipledger.sources import intake, logparts, rawframes, samplelog
 
 # --- checkpoints and states -----------------------------------------------------------------
 
@@ -428,6 +428,31 @@ def sample_log_round_trip(spark, sf_dir):
     return spark.read.format("samplelog").option("clipId", "name").load(folder)
 
 
+LOGS_SQL = with_samples(
+    "select cast(clip_id as varchar) clip_id, seq, is_video, size, pts, dts, is_key, frame_no from samples"
+)
+
+
+@query("sample_log_tree_scan", LOGS_SQL)
+def sample_log_tree_scan(spark, sf_dir):
+    """Logs in several folders, listed and cut into ranges by tasks."""
+    folder = scratch_path(spark, "logs").removeprefix("file:")
+    samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
+    for part in range(3):
+        samplelog.write_logs(samples.filter(F.expr(f"cast(clip_id as bigint) % 3 = {part}")), f"{folder}/{part}/logs")
+    return intake.scan_logs(spark, folder, by_name=True)
+
+
+@query("sample_log_parts_round_trip", LOGS_SQL)
+def sample_log_parts_round_trip(spark, sf_dir):
+    """Logs as parts with a manifest, in two writes."""
+    folder = scratch_path(spark, "logs").removeprefix("file:")
+    samples = log(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string"))
+    for part in range(2):
+        logparts.write_log_parts(samples.filter(F.expr(f"cast(clip_id as bigint) % 2 = {part}")), folder)
+    return logparts.read_log_parts(spark, folder)
+
+
 @query(
     "checkpoint_table_round_trip",
     f"""select clip_key, 1 "version", "toolVersion", input, "sourceSha256", "settingsHash",
@@ -701,6 +726,27 @@ def raw_frame_scan(spark, sf_dir):
     )
 
 
+@query(
+    "raw_frame_tree_scan",
+    f"""select '{ODD_NAME}' || vec_id || '.rgb' name, cast(0 as bigint) frame_no, 3 width, 7 height,
+  sha256(array_to_string(list_transform(embedding[1:63], lambda v:
+    lpad(hex(cast(floor((v::double + 1.0::double) * 16384) as bigint) % 256 * 256
+      + cast(floor((v::double + 1.0::double) * 16384) as bigint) // 256), 4, '0')), '')) planes_hash
+from embeddings""",
+)
+def raw_frame_tree_scan(spark, sf_dir):
+    """Dumps listed and cut into frame ranges by tasks."""
+    folder = write_dumps(spark, sf_dir, F.col("embedding"))
+    frames = rawframes.scan_frames(spark, folder, 3, 7, frames=(0, 5))
+    return frames.select(
+        F.regexp_extract("clip_id", r"([^/]*)$", 1).alias("name"),
+        "frame_no",
+        "width",
+        "height",
+        F.sha2(F.hex("planes"), 256).alias("planes_hash"),
+    )
+
+
 # The same vectors as 3 x 7 pixels of three planes; the word left over is no whole frame.
 @query(
     "raw_frame_scan_rgb",

@@ -13,7 +13,7 @@ from clipledger.plans import tables
 from clipledger.session import scratch_path
 from clipledger.sources import archive as files
 from clipledger.sources import documents as docs
-from clipledger.sources import samplelog
+from clipledger.sources import intake, samplelog
 from clipledger.streaming import keyed as K
 from clipledger.streaming import streams as S
 from clipledger.streaming.carry import drain_append, drain_update
@@ -186,6 +186,24 @@ def growing_log_stream(spark, sf_dir):
     return drain_append(growing_logs(spark, logs_on_disk(spark, sf_dir)))
 
 
+@query(
+    "growing_log_batches",
+    with_samples(
+        "select cast(clip_id as varchar) clip_id, seq, is_video, size, pts, dts, is_key, frame_no "
+        "from samples"
+    ),
+)
+def growing_log_batches(spark, sf_dir):
+    """The logs as a stream of bounded batches, planned by tasks."""
+    samples = log(spark, sf_dir)
+    # About eight batches whatever the size of the log.
+    most = max(samples.count() // 8, 1)
+    folder = scratch_path(spark, "intake")
+    grower = intake.LogIntake(spark, logs_on_disk(spark, sf_dir), folder, most, by_name=True)
+    grower.plan()
+    return drain_append(grower.stream())
+
+
 RESUME_STREAM_SQL = with_samples(
     'select cast(clip_id as varchar) clip_id, seq, is_video, size, pts, dts, is_key, frame_no, '
     '"offset" from flagged where is_complete'

@@ -247,45 +247,45 @@ def _step_back(frame: Column, open_gop: Column) -> Column:
     )
 
 
-def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """First frame to encode again for each clip, 0 for a fresh start.
+def _resume_places(flagged: DataFrame, clips: DataFrame, chunk_rows: int) -> DataFrame:
+    """One row per clip with complete packets: resume frame and what a report counts, in one pass of the log.
 
-    ``flagged`` comes from :func:`mark_complete` or :func:`flag_complete`; ``clips`` has ``clip_id, fps_den, open_gop``.
-    A candidate c is good when every dts below it is under (c - 2) frames. The candidate of the
-    last written good key frame wins, unless a key frame that steps back to 0 was written later;
-    then the largest good frame up to the last key frame is taken. That frame is always a logged
-    frame number or the candidate of the last key frame, so only those need a look.
+    Each complete packet falls on a place, the number of its frame or -1 without one, and a key frame on
+    that of its candidate too. Places add up on the map side and travel once; all figures
+    of a clip, the resume frame and the counts, are read off the same scan of its places.
     """
-    spread = chunk_of("seq", chunk_rows)
-    settings = clips.select("clip_id", "fps_den", "open_gop")
-    video = attach(
-        flagged.filter("is_complete and is_video and frame_no >= 0").select(
-            "clip_id", "seq", "frame_no", "dts", "is_key"
-        ),
-        settings.select("clip_id", "open_gop"),
-        CLIP,
-        spread,
-        "inner",
+    counts = "channels" in clips.columns
+    settings = clips.select("clip_id", "fps_den", "open_gop", *(["channels"] if counts else []))
+    packets = attach(
+        flagged.filter("is_complete"), settings.drop("fps_den"), CLIP, chunk_of("seq", chunk_rows), "inner"
     )
     none = F.lit(None).cast("bigint")
-    logged = F.struct(
-        F.col("frame_no").alias("at"), F.col("dts").alias("dts"), none.alias("key_seq")
+    framed = F.coalesce(F.col("is_video") & (F.col("frame_no") >= 0), F.lit(False))
+    key_seq = F.when(framed & F.col("is_key"), F.col("seq"))
+    own = F.struct(
+        F.when(framed, F.col("frame_no")).otherwise(_long(-1)).alias("at"),
+        F.when(framed, F.col("dts")).alias("dts"),
+        none.alias("key_seq"),
+        key_seq.alias("own_seq"),
+        _long(1).alias("packets"),
+        F.col("is_video").cast("bigint").alias("video"),
+        (_audio_end(F.col("channels")) if counts else none).alias("audio"),
     )
     candidate = F.struct(
         _step_back(F.col("frame_no"), F.col("open_gop")).alias("at"),
         none.alias("dts"),
         F.col("seq").alias("key_seq"),
+        *[none.alias(n) for n in ("own_seq", "packets", "video", "audio")],
     )
-    # One pass over the log: a row for the frame, and one for the candidate of a key frame.
     places = (
-        video.select(
-            "clip_id",
-            F.explode(
-                F.when(F.col("is_key"), F.array(logged, candidate)).otherwise(F.array(logged))
-            ).alias("p"),
+        packets.select(
+            "clip_id", F.explode(F.when(key_seq.isNotNull(), F.array(own, candidate)).otherwise(F.array(own))).alias("p")
         )
         .groupBy("clip_id", F.col("p.at").alias("frame_no"))
-        .agg(F.max("p.dts").alias("_dts"), F.max("p.key_seq").alias("_key_seq"))
+        .agg(
+            *[F.max(f"p.{n}").alias(f"_{n}") for n in ("dts", "key_seq", "own_seq", "audio")],
+            *[F.sum(f"p.{n}").alias(f"_{n}") for n in ("packets", "video")],
+        )
     )
     written = F.when(
         F.col("_key_seq").isNotNull(), F.struct("_key_seq", F.col("frame_no").alias("at"))
@@ -297,10 +297,10 @@ def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_R
         ["frame_no"],
         {
             "_below": running_max("_dts", inclusive=False, empty=-1),
-            "_last": whole_max(written),
+            "_newest": whole_max(written),
         },
-        facts=settings,
-    ).withColumn("_limit", F.coalesce(F.col("_last.at"), _long(0)))
+        facts=settings.select("clip_id", "fps_den"),
+    ).withColumn("_limit", F.coalesce(F.col("_newest.at"), _long(0)))
     place = F.col("frame_no")
     good = (place > 0) & (F.col("_below") < (place - 2) * F.greatest(F.col("fps_den"), _long(1)))
     picked = scanned.groupBy("clip_id").agg(
@@ -308,14 +308,28 @@ def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_R
         F.max(F.when(good, F.col("_key_seq"))).alias("_key_at"),
         F.max(F.when(place == 0, F.col("_key_seq"))).alias("_zero_at"),
         F.max(F.when(good & (place <= F.col("_limit")), place)).alias("_frame"),
+        F.sum("_packets").alias("complete_packets"),
+        F.sum("_video").alias("_video"),
+        F.max_by("frame_no", "_own_seq").alias("_last"),
+        F.max("_audio").alias("_audio"),
     )
     by_key = F.when(F.col("_key_at") > F.coalesce(F.col("_zero_at"), _long(-1)), F.col("_key"))
-    found = picked.select(
-        "clip_id", F.coalesce(by_key, F.col("_frame"), _long(0)).alias("resume_frame")
-    )
+    return picked.withColumn("resume_frame", F.coalesce(by_key, F.col("_frame"), _long(0)))
+
+
+def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """First frame to encode again for each clip, 0 for a fresh start.
+
+    ``flagged`` comes from :func:`mark_complete` or :func:`flag_complete`; ``clips`` has ``clip_id, fps_den, open_gop``.
+    A candidate c is good when every dts below it is under (c - 2) frames. The candidate of the
+    last written good key frame wins, unless a key frame that steps back to 0 was written later;
+    then the largest good frame up to the last key frame is taken. That frame is always a logged
+    frame number or the candidate of the last key frame, so only those need a look.
+    """
+    found = _resume_places(flagged, clips.select("clip_id", "fps_den", "open_gop"), chunk_rows)
     return (
         clips.select("clip_id")
-        .join(found, "clip_id", "left")
+        .join(found.select("clip_id", "resume_frame"), "clip_id", "left")
         .select("clip_id", F.coalesce("resume_frame", _long(0)).alias("resume_frame"))
     )
 
@@ -323,38 +337,24 @@ def resume_point(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_R
 def resume_report(flagged: DataFrame, clips: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One line per clip: what can be reused, where to go on, and why.
 
-    ``clips`` has ``clip_id, fps_den, open_gop, channels, frame_count``.
+    ``clips`` has ``clip_id, fps_den, open_gop, channels, frame_count``. All figures come from one
+    pass of the flagged log.
     """
-    complete = F.col("is_complete")
-    known = F.when(
-        complete & F.col("is_video") & F.col("is_key") & (F.col("frame_no") >= 0), F.col("seq")
-    )
-    with_channels = attach(
-        flagged, clips.select("clip_id", "channels"), CLIP, chunk_of("seq", chunk_rows)
-    )
-    counted = with_channels.groupBy("clip_id").agg(
-        F.count_if("is_complete").alias("complete_packets"),
-        F.count_if(complete & F.col("is_video")).alias("_video"),
-        F.max_by("frame_no", known).alias("_last"),
-        F.max(F.when(complete, _audio_end(F.col("channels")))).alias("_audio"),
-    )
     zero = _long(0)
     video = F.coalesce("_video", zero)
     reusable = F.least(video, F.col("frame_count"))
-    resumed = F.col("resume_frame") > 0
+    frame = F.coalesce("resume_frame", zero)
+    resumed = frame > 0
     return (
         clips.select("clip_id", "frame_count")
-        .join(counted, "clip_id", "left")
-        .join(resume_point(flagged, clips, chunk_rows), "clip_id", "left")
+        .join(_resume_places(flagged, clips, chunk_rows), "clip_id", "left")
         .select(
             "clip_id",
             F.coalesce("complete_packets", zero).alias("complete_packets"),
             reusable.alias("video_frames"),
             F.coalesce("_last", zero).alias("last_key_frame"),
-            "resume_frame",
-            F.when(resumed, F.greatest(reusable - F.col("resume_frame"), zero))
-            .otherwise(zero)
-            .alias("frames_to_redo"),
+            frame.alias("resume_frame"),
+            F.when(resumed, F.greatest(reusable - frame, zero)).otherwise(zero).alias("frames_to_redo"),
             F.when(resumed, F.coalesce("_audio", zero)).otherwise(zero).alias("resume_sample"),
             F.when(video == 0, "no complete video")
             .when(~resumed, "first group only")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -18,7 +19,9 @@ from pyspark.sql.datasource import (
 )
 
 from clipledger.schemas import FRAMES
+from clipledger.session import reading_tasks
 from clipledger.sources.files import list_files, open_file
+from clipledger.sources.listing import list_tree
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
@@ -139,3 +142,37 @@ def register(spark: SparkSession) -> None:
     # Without it Spark refuses readers that take filters.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawFrameSource)
+
+
+def scan_frames(
+    spark: SparkSession,
+    path: str,
+    width: int,
+    height: int,
+    layout: str = "rgb16",
+    suffix: str = "",
+    frames: tuple[int, int | None] = (0, None),
+) -> DataFrame:
+    """The rows of ``format("rawframes")``, with the files listed and cut into ranges by tasks.
+
+    ``frames``: first frame and the one after the last; null for all.
+    """
+    options = {"path": path, "width": str(width), "height": str(height), "layout": layout}
+    reader = RawFrameReader(options)
+    step = max(SPLIT_BYTES // reader.size, 1)
+    whole = F.col("length").cast("bigint")
+    total = F.call_function("div", whole, F.lit(reader.size).cast("bigint"))
+    if frames[1] is not None:
+        total = F.least(total, F.lit(frames[1]).cast("bigint"))
+    low = F.lit(frames[0]).cast("bigint")
+    files = list_tree(spark, path, suffix).select("path", total.alias("total")).filter(F.col("total") > low)
+    begins = files.withColumn("begin", F.explode(F.sequence(low, F.col("total") - 1, F.lit(step).cast("bigint"))))
+    ranges = begins.select("path", "begin", F.least(F.lit(step), F.col("total") - F.col("begin")).alias("frames"))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("path", "begin", "frames")))
+            for one in rows:
+                yield from reader.read(FrameSplit([one]))
+
+    return ranges.repartition(reading_tasks(spark), "path", "begin").mapInArrow(run, FRAMES)

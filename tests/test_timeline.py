@@ -289,3 +289,21 @@ def test_rows_without_place_are_left_out(spark):
     bounds = spark.createDataFrame([("a", 0, 6)], "clip_id string, data_start bigint, data_bound bigint")
     for marked in (T.mark_complete(log, bounds), T.mark_by_cut(log, bounds, (4, 2, 1))):
         assert sorted((r.clip_id, r.seq, r.is_complete) for r in marked.collect()) == [("a", 0, True), ("a", 1, False)]
+
+
+def test_resume_report_reads_the_log_once(spark, tmp_path, no_broadcast):
+    """The log is scanned for the totals of its chunks and for its rows, and no more."""
+    archive = random_archive(17, clips=20)
+    frame_of(spark, archive).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    clips = spark.createDataFrame(
+        [(c, 10, i % 2, 2, 40) for i, c in enumerate(archive)],
+        "clip_id string, fps_den bigint, open_gop int, channels int, frame_count bigint",
+    )
+    bounds = spark.createDataFrame([(c, 0, 60) for c in archive], "clip_id string, data_start bigint, data_bound bigint")
+    report = T.resume_report(T.mark_complete(log, bounds), clips)
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "size#" in line]
+    assert 1 <= len(scans) <= 3
