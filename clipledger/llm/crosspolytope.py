@@ -229,8 +229,8 @@ def near_vectors(
         valid.filter("usable")
         .groupBy("h1", "h2")
         .agg(
-            F.coalesce(F.min("vec_id"), F.min("h1")).alias("cid"),
-            F.min("vec_id").isNull().alias("nameless"),
+            F.first("h1").alias("cid"),
+            F.min("vec_id").alias("lowest"),
             F.count(F.lit(1)).alias("times"),
             F.first("lab").alias("lab"),
             F.first("vector").alias("vector"),
@@ -284,15 +284,20 @@ def near_vectors(
         .mapInArrow(_compare(threshold, tables, probes), "cid bigint, root bigint, links bigint"),
         "vector-links",
     )
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "vector-components")
+    # A vec_id with different vectors is one node: it ties their classes together.
+    named = valid.filter("usable and vec_id is not null").select("vec_id", F.col("h1").alias("cid")).distinct()
+    shared = named.groupBy("vec_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most")
+    ties = named.join(shared, "vec_id").filter("cid > least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    links = found.select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    roots = components(links.unionByName(ties), "vector-components")
     counts = found.groupBy("cid").agg(F.sum("links").alias("others"))
     named = (
-        classes.select("cid", "h1", "h2", "times", "nameless")
+        classes.select("cid", "h1", "h2", "times", "lowest")
         .join(counts, "cid", "left")
         .join(roots.withColumnRenamed("node", "cid"), "cid", "left")
         .withColumn("root", F.coalesce("root", "cid"))
     )
-    lowest = named.groupBy("root").agg(F.min(F.when(~F.col("nameless"), F.col("cid"))).alias("component"))
+    lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
     named = named.join(lowest, "root").select(
         F.col("h1"), F.col("h2"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("links"), "component"
     )

@@ -36,7 +36,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
     if weights is None:
         weight = F.pow(F.col("_n").cast("double"), F.lit(TEMPERATURE))
     else:
-        named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+        # Only their ratios count, so the greatest becomes 1e9 and no small one is rounded away.
+        top = max([*weights.values(), 0.0]) or 1.0
+        named = F.create_map(*[F.lit(x) for source, w in weights.items() for x in (source, 1e9 * w / top)])
         weight = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(0.0))
     weighted = sizes.withColumn("_w", weight.cast("decimal(30,9)"))
     sums = weighted.agg(
@@ -77,14 +79,15 @@ def replicate(
     the row is read; adding sources or rows changes rates only. Returns the columns of ``docs``
     plus ``rate``, ``copy`` (from 0) and ``shuffle_key`` (the rows' order).
 
-    A null source is a source of its own. Null and repeated doc_ids hash like any other value, so
-    repeated rows get the same count. Null texts are carried along. A weight of 0 drops a source,
+    A null source is a source of its own. A row without a doc_id is drawn by its text, so rows
+    without one have counts of their own; repeated doc_ids, and repeated rows, get the same count. Null texts are carried along. A weight of 0 drops a source,
     an empty table gives an empty result. Columns of ``docs`` named like the added ones, or
     starting with ``_mix_``, are replaced.
     """
     docs = docs.drop("rate", "copy", "shuffle_key")
     per_source = rates(docs, weights, total)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    unnamed = F.concat(F.lit("/"), F.sha2(F.concat_ws("/", F.col("text").isNull().cast("string"), "text"), 256))
+    key = F.coalesce(F.col("doc_id").cast("string"), unnamed)
     placed = docs.withColumn("_mix_at", F.monotonically_increasing_id())
     joined = placed.join(per_source, F.col("source").eqNullSafe(F.col("_mix_source")))
     units = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: unit(seed, i.cast("string"), key))

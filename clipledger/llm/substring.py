@@ -205,11 +205,14 @@ def _spread(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _signs(windows: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
-    """For each row the highest SIGN bytes of ``count`` windows from ``first`` on."""
+def _signs(windows: np.ndarray, first: np.ndarray, count: np.ndarray, decided: np.ndarray, key: np.ndarray) -> pa.Array:
+    """For each row the highest SIGN bytes of ``count`` windows from ``first`` on; the key of a decided one."""
     at = np.repeat(first, count) + _spread(count)
-    raw = windows[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIGN]
-    offsets = np.concatenate([[0], np.cumsum(count) * SIGN]).astype(np.int32)
+    sizes = np.where(decided, 8, count * SIGN)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    raw = np.zeros(int(offsets[-1]), np.uint8)
+    raw[np.repeat(~decided, sizes)] = windows[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIGN].reshape(-1)
+    raw[np.repeat(decided, sizes)] = key[decided].astype("<u8").view(np.uint8)
     return pa.BinaryArray.from_buffers(
         pa.binary(), len(count), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]
     )
@@ -244,9 +247,9 @@ def _send(hot: np.ndarray):
                 decided[order] = docs[order] > smallest
                 # A decided row needs no partner: it goes anywhere, spread by its document.
                 scattered = _mix(docs.astype(np.uint64) * _BASE + tags.astype(np.uint64))
+                signs = _signs(windows, first, np.where(decided, 0, high - low + 1), decided, key)
                 key = np.where(decided, scattered, key).view(np.int64)
                 pack = _pack(place, low, high, tags, 0) | np.where(decided, np.int64(1) << 60, 0)
-                signs = _signs(windows, first, np.where(decided, 0, high - low + 1))
                 for begin in range(0, len(order), 1 << 16):
                     piece = slice(begin, begin + (1 << 16))
                     columns = [pa.array(c[piece]) for c in (key, docs, pack)]
@@ -255,7 +258,7 @@ def _send(hot: np.ndarray):
     return run
 
 
-_HIT = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("hit", pa.int64())])
+_HIT = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("hit", pa.int64()), ("key", pa.int64())])
 
 
 def _extend(batches):
@@ -298,10 +301,12 @@ def _extend(batches):
         first = first[columns[0][first] == key[-1]]
         held = [c[first] for c in columns]
         hit = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(pack[hit] >> 40 & _TAG), pa.array(place[hit] << 16 | bits[hit])],
-            schema=_HIT,
-        )
+        own = key[hit]
+        if decided.any():
+            _, sent = _binary(batch.column(3).take(pa.array(hit[decided[hit]])))
+            own[decided[hit]] = sent[: 8 * int(decided[hit].sum())].view("<i8")
+        columns = [doc[hit], pack[hit] >> 40 & _TAG, place[hit] << 16 | bits[hit], own]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_HIT)
 
 
 def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -313,14 +318,28 @@ def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def covered(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Which words lie in a removed window; ``hits`` names one place of each removed content."""
+def covered(words: np.ndarray, hits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which words lie in a removed window; ``hits`` names one place of each removed content.
+
+    Rows that share a doc_id and a tag get each other's hits: those whose key is not that of
+    the anchor, or of the window sent alone, at their place here are of another text.
+    """
     out = np.zeros(len(words), bool)
-    if not len(hits):
-        return out
     place, bits = hits >> 16, hits & 0xFFFF
+    runs, windows = run_hashes(words, ANCHOR, 1), run_hashes(words, WINDOW, 2)
+    keys = keys.view(np.uint64)
+    own = place < len(runs)
+    if not own.any():
+        return out
+    place, bits, keys = place[own], bits[own], keys[own]
+    low = np.log2(bits & -bits).astype(np.int64)
+    first = place - low
+    alone = (bits == bits & -bits) & (first >= 0) & (first < len(windows))
+    one = _mix(windows[np.where(alone, first, 0)] + low.astype(np.uint64)) if len(windows) else keys + np.uint64(1)
+    own = (runs[place] == keys) | (alone & (one == keys))
+    place, bits = place[own], bits[own]
     starts = np.concatenate([(place - i)[(bits >> i & 1).astype(bool)] for i in range(REACH + 1)])
-    windows = run_hashes(words, WINDOW, 2)
+    starts = starts[(starts >= 0) & (starts < len(windows))]
     starts = np.flatnonzero(np.isin(windows, windows[starts]))
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, starts, 1)
@@ -340,9 +359,10 @@ def _remove(with_text: bool):
                 for i, t in enumerate(part.column("text").cast(pa.binary())):
                     raw = t.as_py()
                     words, gone = (raw or b"").split(), 0
-                    found = np.array(hits[i].as_py() or [], np.int64)
-                    if len(found):
-                        drop = covered(hasher(np.frombuffer(raw, np.uint8)), found)
+                    found = hits[i].as_py() or []
+                    if found:
+                        numbers = (np.array([h[n] for h in found], np.int64) for n in ("hit", "key"))
+                        drop = covered(hasher(np.frombuffer(raw or b"", np.uint8)), *numbers)
                         gone = int(drop.sum())
                         words, total = [w for w, d in zip(words, drop.tolist()) if not d], len(words)
                     else:
@@ -364,7 +384,7 @@ def _remove(with_text: bool):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, tag, hit) for every content to remove from a document; ``docs``: doc, _k2, text."""
+    """(doc, tag, hit, key) for every content to remove from a document; ``docs``: doc, _k2, text."""
     cells = docs.select("text").mapInArrow(_count_cells(), "cell int, n bigint")
     sums = store(cells.groupBy("cell").agg(F.sum("n").alias("n")), "anchor-cells")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
@@ -376,7 +396,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return (
         rows.repartition("key")
         .sortWithinPartitions("key", "doc")
-        .mapInArrow(_extend, "doc bigint, tag bigint, hit bigint")
+        .mapInArrow(_extend, "doc bigint, tag bigint, hit bigint, `key` bigint")
     )
 
 
@@ -405,7 +425,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         "_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
     )
     found = repeated_windows(keyed.select(F.col("_doc").alias("doc"), "_k2", "text"))
-    hits = found.groupBy("doc", "tag").agg(F.collect_list("hit").alias("hits"))
+    hits = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("hit", "key")).alias("hits"))
     kept = [c for c in docs.columns if c not in [*added, "text"]] if with_text else ["doc_id"]
     left = keyed.select(*kept, "text", "_doc", F.col("_k2").bitwiseAND(F.lit(_TAG).cast("bigint")).alias("_tag"))
     joined = left.join(hits, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
