@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from clipledger.catalog.base import duck, query, view
 from clipledger.functions.rules import round_half_up
 from clipledger.operators import frames as V
+from clipledger.operators import places as L
 from clipledger.operators import quality as Q
 from clipledger.plans import tables
+from clipledger.session import scratch_path, store
+from clipledger.sources import documents as docs
 
 # Ten frames per clip; even vectors are run a, odd ones run b. In every third clip run b repeats
 # run a and the odd vectors are frames that only run b has; elsewhere a few numbers are off.
@@ -170,6 +173,72 @@ def frame_psnr_planes(spark, sf_dir):
     return out.withColumn("psnr", round_half_up("psnr", 6))
 
 
+def stored_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Both runs as Parquet tables."""
+    return tuple(store(raw_run(run(spark, sf_dir)), "run") for run in (run_a, run_b))
+
+
+@query("frame_psnr_places", LEVEL_PSNR)
+def frame_psnr_places(spark, sf_dir):
+    """Places joined, pixels read by the tasks that compare them."""
+    out = L.compare_places(*stored_runs(spark, sf_dir))
+    return out.withColumn("psnr", round_half_up("psnr", 6))
+
+
+LEVEL_GATE_DB = 28.0
+
+
+@query(
+    "decode_gate_places",
+    f"with {GATE.replace(PAIRS, f'db as ({LEVEL_PSNR})').replace(str(GATE_DB), str(LEVEL_GATE_DB))} "
+    "select * from gate",
+)
+def decode_gate_places(spark, sf_dir):
+    out = L.gate_places(*stored_runs(spark, sf_dir), view(spark, sf_dir, CLIPS), LEVEL_GATE_DB)
+    return out.withColumn("worst_psnr", round_half_up("worst_psnr", 6))
+
+
+# A clip is five vectors; its second dump has them doubled back, or is cut short in every fourth clip.
+DUMPED = """select cast(floor(vec_id / 5.0) as bigint) clip_id, vec_id % 5 frame_no, embedding planes,
+  case when floor(vec_id / 5.0) % 3 = 0 then embedding else reverse(embedding) end other from {embeddings}"""
+
+
+@query(
+    "decode_gate_files",
+    f"""with e as (select clip_id, frame_no, planes a, other b from {duck(DUMPED)} q),
+n as (select clip_id, count(*) frame_count from e group by 1),
+er as (select clip_id, frame_no, list_sum(list_transform(list_zip(a, b), lambda p:
+    (cast(floor((p[1]::double + 1.0::double) * 16384) as bigint)
+     - cast(floor((p[2]::double + 1.0::double) * 16384) as bigint)) ** 2))::double / len(a) mse from e),
+db as (select clip_id, frame_no, case when mse <= 0 then 99.0::double
+    else 10.0::double * log10(65535.0::double * 65535.0::double / mse) end psnr from er),
+worst as (select clip_id, min(psnr) psnr from db join n using (clip_id)
+  where frame_no in (0, frame_count - 1, (frame_count - 1) // 2) group by 1)
+select clip_id, clip_id % 4 <> 1 gated,
+  case when clip_id % 4 <> 1 then floor(psnr * 1e6 + 0.5) / 1e6 end worst_psnr,
+  clip_id % 4 <> 1 and psnr >= {LEVEL_GATE_DB} pass from worst""".replace("reverse(embedding)", "list_reverse(embedding)"),
+)
+def decode_gate_files(spark, sf_dir):
+    """Raw dumps of two runs, of which three frames are read."""
+    folder = scratch_path(spark, "dumps").removeprefix("file:")
+    frames = view(spark, sf_dir, DUMPED)
+    both = frames.groupBy("clip_id").agg(
+        F.sort_array(F.collect_list(F.struct("frame_no", as_planes("planes").alias("a"), as_planes("other").alias("b")))).alias("f")
+    )
+    path = lambda run: F.concat(F.lit(f"{folder}/{run}/"), F.col("clip_id"), F.lit(".yuv"))
+    joined = lambda run: F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x[run])), ""))
+    cut = F.col("clip_id") % 4 == 1
+    short = F.expr("substring(content, 1, length(content) - 1)")
+    whole = both.select("clip_id", path("a").alias("path"), joined("a").alias("content"))
+    other = both.select("clip_id", path("b").alias("path"), joined("b").alias("content"))
+    docs.write_files(whole.drop("clip_id"))
+    docs.write_files(other.select("path", F.when(cut, short).otherwise(F.col("content")).alias("content")))
+    clips = both.select("clip_id", F.size("f").alias("frame_count"))
+    dumps = both.select("clip_id", path("a").alias("path_a"), path("b").alias("path_b"))
+    out = L.gate_files(dumps, clips, 2, 21, "yuv420p10", LEVEL_GATE_DB)
+    return out.withColumn("worst_psnr", round_half_up("worst_psnr", 6))
+
+
 @query(
     "frame_planar",
     """with p as (select vec_id, list_concat(embedding, case len(embedding) % 3

@@ -76,6 +76,11 @@ def gate(
         .join(side(b, "b"), FRAME, "left")
         .withColumn("psnr", value)
     )
+    return gate_verdict(pairs, clips, min_db)
+
+
+def gate_verdict(pairs: DataFrame, clips: DataFrame, min_db: float = GATE_DB) -> DataFrame:
+    """The verdict of each clip from the ``psnr`` of its picked frames; null where one is missing."""
     worst = pairs.groupBy("clip_id").agg(
         F.count("*").alias("_asked"), F.count("psnr").alias("_seen"), F.min("psnr").alias("_worst")
     )
