@@ -469,6 +469,23 @@ def checkpoint_table_round_trip(spark, sf_dir):
     return docs.read_checkpoint_table(spark, folder)
 
 
+@query(
+    "checkpoint_bucket_round_trip",
+    f"""select clip_key, 1 "version", "toolVersion", input, "sourceSha256", "settingsHash",
+  cast("videoFrames" as bigint) "videoFrames", cast("audioEndSample" as bigint) "audioEndSample",
+  cast("totalFrames" as bigint) "totalFrames", true is_valid from {duck(CHECKPOINTS)} q""",
+)
+def checkpoint_bucket_round_trip(spark, sf_dir):
+    """Older snapshots of all clips, then the newest in two versions of some clips each."""
+    folder = scratch_path(spark, "checkpoints").removeprefix("file:")
+    newest = view(spark, sf_dir, CHECKPOINTS).withColumn("version", F.lit(1))
+    older = newest.withColumn("videoFrames", F.col("videoFrames") - 7)
+    half = F.pmod(F.xxhash64("clip_key"), F.lit(2)) == 0
+    for k, rows in enumerate((older, newest.filter(half), newest.filter(~half))):
+        docs.write_checkpoint_buckets(rows.withColumn("taken", F.lit(k)), folder, "taken", buckets=16)
+    return docs.read_checkpoint_buckets(spark, folder)
+
+
 CKPT_TEXT = """select doc_id, case when doc_id % 4 = 0 then concat('{{"version":1,"toolVersion":"2.0",',
     '"sourceSha256":"","settingsHash":"s","videoFrames":', doc_id,
     ',"audioEndSample":0,"totalFrames":9}}')

@@ -11,7 +11,6 @@ from clipledger.catalog.settings import duration_sql
 from clipledger.catalog.timeline import log
 from clipledger.plans import tables
 from clipledger.session import scratch_path
-from clipledger.sources import archive as files
 from clipledger.sources import documents as docs
 from clipledger.sources import intake, samplelog
 from clipledger.streaming import keyed as K
@@ -244,7 +243,6 @@ def intake_stream(spark, sf_dir):
         .union(made(".h265.mov", "s_suppkey % 3 = 0"))
         .union(made(".h265.mov.sidecar.json", "s_suppkey % 6 = 0"))
     )
-    stream = S.intake_stream(spark, lambda: files.scan_artifacts(spark, folder))
-    todo = stream.drain(S.source_files(spark, folder))
+    todo = K.keyed_intake(spark).drain(K.archive_files(spark, folder))
     last = lambda c: F.regexp_extract(c, r"(/[^/]*)$", 1)
     return todo.select(last("path").alias("name"), last("clip_key").alias("output"), "reason")

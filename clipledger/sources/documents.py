@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -16,6 +17,7 @@ from clipledger.functions import rules as R
 from clipledger.operators.arrivals import tail_n
 from clipledger.operators.quality import parse_quality_log
 from clipledger.schemas import CHECKPOINT, SIDECAR
+from clipledger.session import store
 from clipledger.sources.files import resolve
 
 # The fields a checkpoint must have.
@@ -157,6 +159,100 @@ def read_checkpoint_table(spark: SparkSession, path: str) -> DataFrame:
     return parse_checkpoints(_checkpoint_texts(spark, path, versions[-1]))
 
 
+# Buckets of a checkpoint table. A version names the folder of each, so its list is of this size.
+BUCKETS = 256
+
+
+def _bucket_versions(path: str) -> list[int]:
+    system, root = resolve(path)
+    found = system.get_file_info(fs.FileSelector(f"{root}/versions", allow_not_found=True))
+    names = (re.fullmatch(r"(\d+)\.json", f.base_name) for f in found)
+    return sorted(int(n.group(1)) for n in names if n)
+
+
+def _bucket_folders(path: str, version: int) -> dict[str, str]:
+    system, root = resolve(path)
+    with system.open_input_file(f"{root}/versions/{version}.json") as handle:
+        return json.loads(handle.read())
+
+
+def _bucket_texts(spark: SparkSession, path: str, folders: dict[str, str]) -> DataFrame:
+    schema = "clip_key string, text string"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/{f}" for f in folders.values()))
+
+
+def write_checkpoint_buckets(
+    snapshots: DataFrame, path: str, order: str, version: int | None = None, buckets: int = BUCKETS
+) -> int:
+    """As :func:`write_checkpoints`, with only the buckets written anew that have a snapshot.
+
+    Clips fall into ``buckets`` by hash. A version is a small file that names the folder of each
+    bucket: those without a snapshot keep the folder they have, so the bytes of a version follow the
+    clips it changes and not all clips. The file is written last, by the driver; readers see whole
+    versions only, and writing a version again gives the same table. ``buckets`` must stay the same.
+    """
+    spark = snapshots.sparkSession
+    versions = _bucket_versions(path)
+    if version is None:
+        version = max(versions, default=-1) + 1
+    earlier = [v for v in versions if v < version]
+    before = _bucket_folders(path, earlier[-1]) if earlier else {}
+    bucket = F.pmod(F.xxhash64("clip_key"), F.lit(buckets)).cast("int")
+    latest = latest_checkpoints(snapshots, order)
+    fresh = store(latest.select("clip_key", checkpoint_json(latest).alias("text"), bucket.alias("bucket")), "snapshots")
+    # At most as many rows as there are buckets.
+    changed = [str(r.bucket) for r in fresh.select("bucket").distinct().collect()]
+    kept = _bucket_texts(spark, path, {b: before[b] for b in changed if b in before})
+    rows = fresh.unionByName(
+        kept.join(fresh.select("clip_key"), "clip_key", "left_anti").withColumn("bucket", bucket)
+    )
+    folder = f"data/{version}-{uuid.uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    folders = {**before, **{b: f"{folder}/bucket={b}" for b in changed}}
+    system, root = resolve(path)
+    system.create_dir(f"{root}/versions", recursive=True)
+    with system.open_output_stream(f"{root}/versions/{version}.new") as out:
+        out.write(json.dumps(folders, sort_keys=True).encode())
+    system.move(f"{root}/versions/{version}.new", f"{root}/versions/{version}.json")
+    return version
+
+
+def read_checkpoint_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table of :func:`write_checkpoint_buckets`."""
+    versions = _bucket_versions(path)
+    if not versions:
+        raise FileNotFoundError(f"no finished checkpoint version below {path}")
+    return parse_checkpoints(_bucket_texts(spark, path, _bucket_folders(path, versions[-1])))
+
+
+def checkpoint_bucket_sink(path: str, order: str, keep: int = 3):
+    """For ``foreachBatch``: each micro-batch of snapshots becomes a version; the ``keep`` newest stay.
+
+    A repeated batch is always the last one, and putting it on its own outcome gives the same table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_checkpoint_buckets(batch, path, order)
+        drop_bucket_versions(path, keep)
+
+    return write
+
+
+def drop_bucket_versions(path: str, keep: int) -> None:
+    """Remove all versions but the ``keep`` newest, and the folders that none of these names."""
+    system, root = resolve(path)
+    versions = _bucket_versions(path)
+    held, old = versions[-max(keep, 1) :], versions[: -max(keep, 1)]
+    used = {f for v in held for f in _bucket_folders(path, v).values()}
+    gone = {f for v in old for f in _bucket_folders(path, v).values()} - used
+    for version in old:
+        system.delete_file(f"{root}/versions/{version}.json")
+    for folder in gone:
+        system.delete_dir(f"{root}/{folder}")
+
+
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar files with the path of the output they belong to."""
     return (

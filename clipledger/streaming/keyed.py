@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from clipledger.operators.artifacts import classify
 from clipledger.session import scratch_path
 from clipledger.sources.files import exists
 
@@ -474,3 +475,57 @@ def keyed_reorder(
         return events.select("clip_id", F.explode(F.sequence("low", "high")).alias("n"), "event")
 
     return KeyedStream(spark, plan, output)
+
+
+# --- intake -------------------------------------------------------------------------------------------
+
+
+class _Intake(StatefulProcessor):
+    """Remembers which side files a clip has and tells its sources that still need work."""
+
+    def init(self, handle) -> None:
+        self.has = handle.getValueState("has", "output boolean, sidecar boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        files = pd.concat(list(rows))
+        before = self.has.get() if self.has.exists() else (False, False)
+        output, sidecar = (bool(had or (files["kind"] == kind).any()) for had, kind in zip(before, ("output", "sidecar")))
+        if (output, sidecar) != tuple(map(bool, before)):
+            self.has.update((output, sidecar))
+        todo = files[files["kind"] == "source"]
+        if len(todo) and not (output and sidecar):
+            reason = "no sidecar" if output else "new"
+            yield pd.DataFrame({"path": todo["path"], "clip_key": key[0], "reason": reason})
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_intake(spark: SparkSession, folder: str | None = None) -> KeyedStream:
+    """New source files that still need work, each told once, from a stream of all files of an archive.
+
+    Input is ``path, kind, clip_key`` (:func:`archive_files`). Outputs and sidecars are part of the
+    stream and kept in the state of their clip, so nothing is listed again for a batch: a source that
+    comes is held against all that has come by then, files of its own batch included. The rows are those of the
+    batch operator ``pending``. Files that are deleted later are not noticed.
+    """
+    output = "path string, clip_key string, reason string"
+
+    def plan(stream: DataFrame) -> DataFrame:
+        files = stream.filter(F.col("kind").isin("source", "output", "sidecar")).select("path", "kind", "clip_key")
+        return files.groupBy("clip_key").transformWithStateInPandas(_Intake(), output, "append", "none")
+
+    return KeyedStream(spark, plan, output, folder)
+
+
+def archive_files(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """All known files below a folder as a stream of ``path, kind, clip_key``; only metadata is read."""
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True)
+    )
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    paths = reader.load(root).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"))
+    return classify(paths).filter("kind is not null")

@@ -184,3 +184,38 @@ def test_what_is_not_committed_is_not_seen(spark, tmp_path):
     (tmp_path / "out" / logparts.CURRENT).write_text(json.dumps(current))
     assert by_clip(logparts.read_log_parts(spark, place), *COLUMNS) == expected(archive)
     assert logparts.manifest(spark, place).agg(F.sum("records")).first()[0] == sum(map(len, archive.values()))
+
+
+# --- checkpoints by bucket ---------------------------------------------------------------------------------
+
+CKPT = "clip_key string, version int, toolVersion string, input string, sourceSha256 string, settingsHash string, videoFrames bigint, audioEndSample bigint, totalFrames bigint, taken int"
+
+
+def test_checkpoint_buckets(spark, tmp_path):
+    from clipledger.sources import documents as D
+
+    path = str(tmp_path / "ck")
+    row = lambda key, frames, taken: (key, 1, "2", 'q"', None, "s", frames, 0, 9, taken)
+    rows = lambda *r: spark.createDataFrame(list(r), CKPT)
+    read = lambda: sorted((r.clip_key, r.videoFrames) for r in D.read_checkpoint_buckets(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        read()
+    many = {f"clip {i}": i for i in range(300)}
+    assert D.write_checkpoint_buckets(rows(*(row(k, n, 1) for k, n in many.items()), row("clip 5", 77, 2)), path, "taken", buckets=8) == 0
+    many["clip 5"] = 77
+    assert read() == sorted(many.items())
+    size = lambda f: sum(p.stat().st_size for p in (tmp_path / "ck" / "data").glob(f"{f}-*/bucket=*/*.parquet"))
+    # One clip changes: one bucket is written.
+    assert D.write_checkpoint_buckets(rows(row("clip 9", 1000, 3)), path, "taken", buckets=8) == 1
+    many["clip 9"] = 1000
+    assert read() == sorted(many.items()) and size(1) < size(0) / 4
+    # The same version once more gives the same table, an empty batch changes nothing.
+    D.write_checkpoint_buckets(rows(row("clip 9", 1000, 3)), path, "taken", version=1, buckets=8)
+    D.checkpoint_bucket_sink(path, "taken")(rows(), 0)
+    assert read() == sorted(many.items())
+    for k in range(3):
+        D.write_checkpoint_buckets(rows(row("new", k, k)), path, "taken", buckets=8)
+    D.drop_bucket_versions(path, 2)
+    many["new"] = 2
+    assert read() == sorted(many.items())
+    assert sorted(os.listdir(tmp_path / "ck" / "versions")) == ["4.json", "5.json"]

@@ -189,3 +189,27 @@ def test_number_runs(spark):
     assert {(r.clip_id, n) for r in runs for n in range(r.low, r.high + 1)} == set(have)
     assert all(r.since == min(have[r.clip_id, n] for n in range(r.low, r.high + 1)) for r in runs)
     assert len({(r.clip_id, r.low) for r in runs}) == len(runs) and not {(r.clip_id, r.high + 1) for r in runs} & set(have)
+
+
+# --- intake -------------------------------------------------------------------------------------------
+
+
+def test_intake_tells_each_source_once(spark, tmp_path):
+    from clipledger.operators.artifacts import pending
+    from clipledger.sources import archive as A
+
+    for name in ("a.NEV", "b.nev", "b.h265.mov", "b.h265.mov.sidecar.json", "c.txt", "e.h265.mov", "e.h265.mov.sidecar.json"):
+        (tmp_path / name).write_text(name)
+    stream = K.keyed_intake(spark)
+    go = lambda: stream.start(K.archive_files(spark, str(tmp_path))).awaitTermination()
+    told = lambda: sorted((r.path.rsplit("/", 1)[1], r.reason) for r in stream.result().collect())
+    go()
+    assert told() == [("a.NEV", "new")]
+    sources = spark.createDataFrame([(str(tmp_path / n), True) for n in ("a.NEV", "b.nev")], "path string, is_regular boolean")
+    batch = pending(sources, A.scan_artifacts(spark, str(tmp_path))).collect()
+    assert [(r.path, r.clip_key, r.reason) for r in stream.result().collect()] == [tuple(r) for r in batch]
+    # The side files of e came in the first batch and are remembered; d has half of them.
+    for name in ("d.NEV", "d.h265.mov", "e.NEV", "a.h265.mov"):
+        (tmp_path / name).write_text("later")
+    go()
+    assert told() == [("a.NEV", "new"), ("d.NEV", "no sidecar")]
