@@ -16,7 +16,7 @@ from clipledger.plans.scan import (
     attach,
     chunk_of,
     idiv,
-    ordered_chunks,
+    ordered_running,
     running,
     running_count,
     running_last,
@@ -408,10 +408,9 @@ def purge_reorder(
         *columns, clock.alias("_clock"), F.when(F.col("is_video"), 0).otherwise(1).alias("_lane")
     ).withColumnRenamed("seq", "old_seq")
     order = ["_clock", "_lane", "old_seq"]
-    out = running(
-        ordered_chunks(kept, ["clip_id", *order]),
+    out = ordered_running(
+        kept,
         CLIP,
-        "order_chunk",
         order,
         {
             "seq": running_count(inclusive=False),
