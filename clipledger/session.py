@@ -61,8 +61,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/clipledger/{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, with its lineage cut."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
