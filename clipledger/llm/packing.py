@@ -180,7 +180,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return store(rows.mapInArrow(run, PIECE), "pieces")
+    return store(rows.mapInArrow(run, PIECE), "pieces", compression="zstd")
 
 
 def minimum_slack(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -270,7 +270,8 @@ def pack(
 
     before = Window.partitionBy("length").orderBy("_part")
     carried = totals.select("_part", "length", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    ranked = pieces.join(carried, ["_part", "length"]).select(
+    # A task's share of the few bases is a small table; the pieces need no sort to meet it.
+    ranked = pieces.join(carried.hint("shuffle_hash"), ["_part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids", (F.col("_base") + F.col("_rank")).alias("_at")
     )
     schema = pa.schema(
@@ -315,15 +316,24 @@ def _with_ids(batches):
     """The packed pieces with their ids in four bytes each, and the checksum of these."""
     for batch in batches:
         for rows in slices(batch, "ids"):
-            lengths = rows.column("length").to_pylist()
-            ids = [
-                np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
-                for raw, n in zip(rows.column("ids").to_pylist(), lengths, strict=True)
-            ]
+            carried = rows.column("ids")
+            places = np.frombuffer(carried.buffers()[1], np.int32)[carried.offset : carried.offset + len(carried) + 1]
+            ids = int(pa.compute.sum(rows.column("length")).as_py())
+            raw = np.frombuffer(carried.buffers()[2], np.uint8)[places[0] : places[-1]]
+            width = len(raw) // ids
+            # All ids of the slice at once; each piece is a stretch of them.
+            wide = raw.view(f"<u{width}").astype("<u4")
+            edges = ((places - places[0]) // width * 4).astype(np.int32)
+            whole = memoryview(wide).cast("B")
+            cuts = edges.tolist()
+            sums = [zlib.crc32(whole[b:e]) for b, e in zip(cuts, cuts[1:])]
+            column = pa.BinaryArray.from_buffers(
+                pa.binary(), len(carried), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(wide)]
+            )
             out = {n: rows.column(n) for n in ("doc_id", "piece", "start", "length")}
-            out["ids_crc32"] = pa.array(map(zlib.crc32, ids), pa.int64())
+            out["ids_crc32"] = pa.array(sums, pa.int64())
             out |= {n: rows.column(n) for n in ("sequence_id", "offset")}
-            yield pa.RecordBatch.from_pydict(out | {"ids": pa.array(ids, pa.binary())})
+            yield pa.RecordBatch.from_pydict(out | {"ids": column})
 
 
 def sequences(packed: DataFrame) -> DataFrame:
