@@ -84,7 +84,7 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
         "chunk-repeats",
     )
     wanted = (
-        hashed.join(twice, "h").groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_wanted"))
+        hashed.join(twice, "h").groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_wanted"))
     )
     place = F.struct("_k1", "_k2", "idx")
     bodies = _bodies(keyed, wanted)
@@ -100,12 +100,13 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     mixed = checked.filter("not _same").select("h")
     if not mixed.isEmpty():
         # Different chunks of one hash, which hardly ever happens: told apart by their bytes.
-        chosen = hashed.join(mixed, "h").groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_wanted"))
+        chosen = hashed.join(mixed, "h").groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_wanted"))
         apart = store(_bodies(keyed, chosen), "chunk-bodies")
         first = store(apart.groupBy("body").agg(F.min(place).alias("_first")), "chunk-firsts")
         others = apart.join(first, "body").filter(place > F.col("_first"))
         gone = gone.unionByName(others.select("_k1", "_k2", "idx"))
-    return gone.groupBy("_k1", "_k2").agg(F.collect_list("idx").alias("_gone"))
+    # Repeats of a row share its key: each chunk is named once, however many there are.
+    return gone.groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_gone"))
 
 
 def _bodies(keyed: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -132,12 +132,16 @@ class BKTree:
         return found
 
 
+# A shard's blocks meet in pairs: the first is a tree, the second looks into it.
+_FACING = ["mask", "part", "one", "two"]
+
+
 def _links(radius: int):
     def run(batches):
-        for group in whole_groups(batches, ["mask", "part", "tree"]):
-            keys = [group.column(k).to_numpy() for k in ("mask", "part", "tree")]
+        for group in whole_groups(batches, _FACING):
+            keys = [group.column(k).to_numpy() for k in _FACING]
             fps = group.column("fp").to_pylist()
-            nodes = group.column("node").to_pylist()
+            nodes, looks = group.column("node").to_pylist(), group.column("look").to_pylist()
             new = np.zeros(len(fps), bool)
             for key in keys:
                 new[1:] |= key[1:] != key[:-1]
@@ -163,7 +167,7 @@ def _links(radius: int):
                         tree.add(plain[i])
                         held.append(i)
                 for i in range(end - begin):
-                    for j in tree.within(plain[i], radius):
+                    for j in tree.within(plain[i], radius) if looks[begin + i] else ():
                         a, b = top(i), top(held[j])
                         if a != b:
                             root[max(a, b)] = min(a, b)
@@ -181,8 +185,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect all of ``distinct`` (fp) with ``radius`` or fewer differing bits.
 
     Fingerprints that may be linked share a shard: a choice of bit blocks and their values. A
-    shard of more than TREE fingerprints is dealt over several trees; each fingerprint is put into
-    one and looks into those with a higher number, so no task holds a whole large shard.
+    shard of more than TREE fingerprints is dealt over several blocks, each of which is a tree. Blocks
+    meet in pairs, the second looking into the tree of the first, so no group holds more than two of them.
     """
     masks = block_masks(blocks_for(distinct.count(), radius), radius)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
@@ -192,15 +196,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     sizes = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     trees = F.ceil(F.col("n") / F.lit(TREE)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    looking = F.explode(F.sequence(F.col("own"), F.col("trees") - 1))
+    other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
     rows = (
         keyed.join(sizes, ["mask", "part"])
         .withColumn("trees", trees)
         .withColumn("own", own)
-        .withColumn("tree", looking)
-        .select("mask", "part", "tree", "fp", (F.col("tree") == F.col("own")).alias("node"))
+        .withColumn("other", other)
+        .withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+        .select(*_FACING, "fp", (F.col("own") == F.col("one")).alias("node"), (F.col("own") == F.col("two")).alias("look"))
     )
-    keys = ["mask", "part", "tree"]
+    keys = _FACING
     return (
         rows.repartition(*keys)
         .sortWithinPartitions(*keys, "fp")

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import uuid
 
 import numpy as np
 
@@ -78,3 +79,73 @@ def test_tiny_weights_keep_their_ratio(spark):
     count = lambda w: sorted((r.source, r["count"]) for r in mixing.replicate(docs, w).groupBy("source").count().collect())
     assert count({"a": 1e-10, "b": 1e-10}) == count({"a": 2.0, "b": 2.0})
     assert [s for s, _ in count({"a": 1e-15, "b": 0.0})] == ["a"] and count({"a": 0.0, "b": 0.0}) == []
+
+
+def test_no_group_of_fingerprints_is_above_two_blocks(spark, monkeypatch, tmp_path):
+    """One large shard: its blocks meet in pairs, and the links connect what brute force connects."""
+    from clipledger.llm import simhash
+    from clipledger.llm.common import components
+
+    rng = random.Random(4)
+    near = [rng.getrandbits(12) for _ in range(500)]
+    values = sorted({(n << 50) | rng.getrandbits(2) for n in near})
+    monkeypatch.setattr(simhash, "TREE", 16)
+    inner, folder = simhash._links, str(tmp_path)
+
+    def sized(radius):
+        run = inner(radius)
+
+        def counted(batches):
+            held = [b for b in batches if b.num_rows]
+            for b in held:
+                groups = collections.Counter(zip(*(b.column(k).to_pylist() for k in simhash._FACING)))
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                    out.write(str(max(groups.values())))
+            yield from run(iter(held))
+
+        return counted
+
+    monkeypatch.setattr(simhash, "_links", sized)
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint")
+    found = {r.node: r.root for r in components(simhash.fingerprint_links(fps, 3), "t").collect()}
+    root = {v: v for v in values}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    groups = collections.defaultdict(set)
+    for v in values:
+        groups[top(v)].add(signed(v))
+    got = collections.defaultdict(set)
+    for v in values:
+        got[found.get(signed(v), signed(v))].add(signed(v))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    # A block has TREE members on average.
+    assert 16 < max(sizes) <= 4 * 16
+
+
+def test_thousands_of_repeated_rows_in_line_dedup(spark):
+    """Repeats of one row share its key: the time follows their number."""
+    import time
+
+    from clipledger.llm import linechunks
+
+    text = "\n".join(f"line {i} of a text that others have too" for i in range(60))
+    seconds = []
+    for n in (500, 1000, 4000):
+        rows = [(1, text, "en", "a", 1)] * n + [(2, text, "en", "a", 1)]
+        began = time.time()
+        out = linechunks.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+        seconds.append(time.time() - began)
+        assert {r.n_removed_lines == 0 for r in out if r.doc_id == 1} == {True}
+        assert all(r.n_removed_lines > 30 for r in out if r.doc_id == 2)
+    assert seconds[2] < 4 * seconds[1] + 5
