@@ -26,8 +26,11 @@ from clipledger.operators.artifacts import classify
 from clipledger.session import scratch_path
 from clipledger.sources.files import exists
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings a query is started with and keeps: state in RocksDB, of which a batch writes its changes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 # Rows that a task packs at once.
 PACK_ROWS = 1 << 16
 
@@ -45,9 +48,10 @@ class KeyedStream:
         batch.write.mode("overwrite").parquet(f"{self.folder}/output/batch={batch_id}")
 
     def start(self, stream: DataFrame, **trigger):
-        # A query keeps the provider it was started with.
-        before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        conf = self.spark.conf
+        before = {key: conf.get(key, None) for key in STATE}
+        for key, value in STATE.items():
+            conf.set(key, value)
         try:
             return (
                 self.plan(stream)
@@ -58,7 +62,8 @@ class KeyedStream:
                 .start()
             )
         finally:
-            self.spark.conf.unset(PROVIDER) if before is None else self.spark.conf.set(PROVIDER, before)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
 
     def drain(self, stream: DataFrame) -> DataFrame:
         """Process all there is, then return the whole output."""

@@ -21,8 +21,7 @@ def at(seconds):
     return START + timedelta(seconds=seconds)
 
 
-@pytest.mark.parametrize("pack_rows", [2, 1 << 16])
-def test_dedup_equals_batch(spark, pack_rows):
+def test_dedup_equals_batch(spark, pack_rows=2):
     df = int_clips(arrivals(5, clips=30), "clip_id bigint, arrival bigint, n bigint", spark)
     parts = [df.filter(f"arrival >= {a} and arrival < {b}") for a, b in ((0, 3), (3, 4), (4, 99))]
     got = feed(spark, K.keyed_dedup(spark, pack_rows=pack_rows), parts)
@@ -56,8 +55,7 @@ def test_empty_stream_and_text_ids(spark):
     assert sorted(r.n for r in got.collect()) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("pack_rows", [3, 1 << 16])
-def test_checkpoints_equal_loops(spark, pack_rows):
+def test_checkpoints_equal_loops(spark, pack_rows=3):
     archive = random_archive(71, clips=15)
     df = frame_of(spark, archive).withColumn("clip_id", F.substring("clip_id", 2, 9).cast("bigint"))
     parts = [df.filter(f"seq >= {a} and seq < {b}") for a, b in ((0, 7), (7, 8), (8, 30), (30, 999))]
