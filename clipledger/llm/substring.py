@@ -302,9 +302,12 @@ def _extend(batches):
         held = [c[first] for c in columns]
         hit = np.flatnonzero(bits)
         own = key[hit]
-        if decided.any():
-            _, sent = _binary(batch.column(3).take(pa.array(hit[decided[hit]])))
-            own[decided[hit]] = sent[: 8 * int(decided[hit].sum())].view("<i8")
+        # A decided row goes by a scattered key and carries that of its anchor.
+        sent = np.flatnonzero(decided[hit])
+        offsets, raw = _binary(batch.column(3).take(pa.array(hit[sent])))
+        whole = np.diff(offsets) == 8
+        at = offsets[:-1][whole][:, None] + np.arange(8)
+        own[sent[whole]] = raw[at].view("<i8").reshape(-1)
         columns = [doc[hit], pack[hit] >> 40 & _TAG, place[hit] << 16 | bits[hit], own]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_HIT)
 
