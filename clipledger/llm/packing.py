@@ -19,7 +19,7 @@ from clipledger.session import store
 CAPACITY = 1024
 END_ID = 2
 # Words whose ids a process keeps at hand, twice, and words encoded in one call.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 500_000
 CALL_WORDS = 1000
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary, _part int, _rank bigint"
