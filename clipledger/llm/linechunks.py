@@ -83,9 +83,7 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
         hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("h"),
         "chunk-repeats",
     )
-    wanted = (
-        hashed.join(twice, "h").groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_wanted"))
-    )
+    wanted = _named(hashed.join(twice, "h"), "_wanted")
     place = F.struct("_k1", "_k2", "idx")
     bodies = _bodies(keyed, wanted)
     # Least and greatest body of a class are equal only if all its bodies are.
@@ -100,13 +98,18 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     mixed = checked.filter("not _same").select("h")
     if not mixed.isEmpty():
         # Different chunks of one hash, which hardly ever happens: told apart by their bytes.
-        chosen = hashed.join(mixed, "h").groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_wanted"))
+        chosen = _named(hashed.join(mixed, "h"), "_wanted")
         apart = store(_bodies(keyed, chosen), "chunk-bodies")
         first = store(apart.groupBy("body").agg(F.min(place).alias("_first")), "chunk-firsts")
         others = apart.join(first, "body").filter(place > F.col("_first"))
         gone = gone.unionByName(others.select("_k1", "_k2", "idx"))
-    # Repeats of a row share its key: each chunk is named once, however many there are.
-    return gone.groupBy("_k1", "_k2").agg(F.collect_set("idx").alias("_gone"))
+    return _named(gone, "_gone")
+
+
+def _named(chunks: DataFrame, name: str) -> DataFrame:
+    """Per row key the numbers of its ``chunks``, each once: repeats of a row share its key."""
+    once = chunks.select("_k1", "_k2", "idx").distinct()
+    return once.groupBy("_k1", "_k2").agg(F.collect_list("idx").alias(name))
 
 
 def _bodies(keyed: DataFrame, wanted: DataFrame) -> DataFrame:

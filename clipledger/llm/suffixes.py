@@ -649,7 +649,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     keyed = keyed.withColumn("tag", F.hash("doc", "k2"))
     shared = shared_seeds(keyed.select("tag", "text"))
     hot = hot_seeds(shared)
-    seeds = shared.filter("tag is not null").groupBy("tag").agg(F.collect_set("seed").alias("seeds"))
+    seeds = shared.filter("tag is not null").groupBy("tag").agg(F.collect_list("seed").alias("seeds"))
     # Both joins take the same columns, so Spark deals the texts by tag once for the two of them.
     around = keyed.join(seeds, "tag").mapInArrow(_suffixes(hot), _SUFFIX_COLUMNS)
     found = (
