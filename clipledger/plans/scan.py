@@ -251,26 +251,26 @@ def ordered_running(df: DataFrame, keys: list[str], order: list[str], values: di
     for name in (*keys, *order):
         rows = rows.filter(F.col(name).isNotNull())
     ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    names = [*(f"_l_{n}" for n in values), "_part", "_row", "_head"]
+    names = [*(f"_l_{n}" for n in values), "_chunk", "_row", "_head"]
     types = {f.name: f.dataType for f in rows.schema}
     schema = StructType([*rows.schema.fields])
     for n, v in values.items():
         schema = schema.add(f"_l_{n}", types[held[n]] if v.kind == "last" else LongType())
-    schema = schema.add("_part", IntegerType()).add("_row", LongType()).add("_head", BooleanType())
+    schema = schema.add("_chunk", IntegerType()).add("_row", LongType()).add("_head", BooleanType())
     kinds = {held[n]: v.kind for n, v in values.items()}
     placed = store(ranged.mapInArrow(_inside_parts(names, keys, kinds), schema), "ordered")
 
     locals_ = F.struct(*[F.col(f"_l_{n}").alias(n) for n in values])
-    ends = placed.groupBy("_part").agg(
+    ends = placed.groupBy("_chunk").agg(
         F.min(F.struct(*keys)).alias("_low"), F.max(F.struct(*keys)).alias("_high"), F.max_by(locals_, "_row").alias("_l")
     )
-    line = Window.orderBy("_part")
-    same = Window.partitionBy("_high").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.orderBy("_chunk")
+    same = Window.partitionBy("_high").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     # One row per partition.
     upto = F.struct("_high", *[v.over(F.col(f"_l.{n}"), same).alias(n) for n, v in values.items()])
     carried = ends.withColumn("_upto", upto).withColumn("_from", F.lag("_upto").over(line))
-    carried = carried.filter("_from._high = _low").select("_part", *[F.col(f"_from.{n}").alias(f"_c_{n}") for n in values])
-    joined = placed.join(carried, "_part", "left")
+    carried = carried.filter("_from._high = _low").select("_chunk", *[F.col(f"_from.{n}").alias(f"_c_{n}") for n in values])
+    joined = placed.join(carried, "_chunk", "left")
     out = []
     for n, v in values.items():
         before = F.when(F.col("_head"), F.col(f"_c_{n}"))
