@@ -11,7 +11,7 @@ from clipledger.plans.scan import (
     attach,
     chunk_of,
     idiv,
-    ordered_running,
+    ordered_chunks,
     running,
     running_count,
     running_last,
@@ -172,7 +172,13 @@ def asof_join(
     # Splits left rows that share key and order; it has no effect on the match.
     both = both.withColumn("_n", F.coalesce(F.xxhash64("_l"), F.lit(0).cast("bigint")))
     line = ["_o", "_side", "_n"]
-    found = ordered_running(both, keys, line, {"_match": running_last("_r")}).filter("_side = 1")
+    found = running(
+        ordered_chunks(both, [*keys, *line]),
+        keys,
+        "order_chunk",
+        line,
+        {"_match": running_last("_r")},
+    ).filter("_side = 1")
     return found.select(
         *keys,
         (F.col("_o") * sign).alias(order),

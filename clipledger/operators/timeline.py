@@ -16,7 +16,7 @@ from clipledger.plans.scan import (
     attach,
     chunk_of,
     idiv,
-    ordered_running,
+    ordered_chunks,
     running,
     running_count,
     running_last,
@@ -408,9 +408,10 @@ def purge_reorder(
         *columns, clock.alias("_clock"), F.when(F.col("is_video"), 0).otherwise(1).alias("_lane")
     ).withColumnRenamed("seq", "old_seq")
     order = ["_clock", "_lane", "old_seq"]
-    out = ordered_running(
-        kept,
+    out = running(
+        ordered_chunks(kept, ["clip_id", *order]),
         CLIP,
+        "order_chunk",
         order,
         {
             "seq": running_count(inclusive=False),

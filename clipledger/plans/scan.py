@@ -16,13 +16,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from clipledger.session import store
 
@@ -188,101 +183,6 @@ def ordered_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _inside_parts(added: list[str], keys: list[str], kinds: dict[str, str]):
-    """Running values inside a range partition: rows come in order, a key may go on from part to part."""
-
-    def run(batches):
-        part, row, first, key = TaskContext.get().partitionId(), 0, True, None
-        held: dict[str, object] = {}
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            columns = [batch.column(k) for k in keys]
-            fresh = np.zeros(n, bool)
-            for c in columns:
-                fresh[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            head = tuple(c[0].as_py() for c in columns)
-            goes_on = head == key
-            first &= goes_on or key is None
-            begins = np.concatenate([[0], np.flatnonzero(fresh)])
-            segment = np.cumsum(fresh)
-            out = []
-            for name, kind in kinds.items():
-                value = batch.column(name)
-                if kind == "sum":
-                    v = pc.fill_null(value, 0).to_numpy(zero_copy_only=False)
-                    upto = np.cumsum(v)
-                    upto -= (upto - v)[begins][segment]
-                    if goes_on:
-                        upto[segment == 0] += held[name]
-                    held[name] = int(upto[-1])
-                    out.append(pa.array(upto))
-                else:
-                    at = np.where(value.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1)
-                    at = np.maximum.accumulate(at)
-                    own = at >= begins[segment]
-                    before = held[name] if goes_on else pa.nulls(1, value.type)
-                    at = np.where(own, at + 1, 0)
-                    found = pa.concat_arrays([before, value]).take(pa.array(at, mask=~own & (segment > 0)))
-                    held[name] = found.slice(n - 1)
-                    out.append(found)
-            in_first = (segment == 0) & first
-            first = bool(in_first[-1])
-            key = tuple(c[n - 1].as_py() for c in columns)
-            rows = pa.array(np.arange(row, row + n))
-            row += n
-            own = [pa.array(np.full(n, part, np.int32)), rows, pa.array(in_first)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out, *own], names=[*batch.schema.names, *added])
-
-    return run
-
-
-def ordered_running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running]) -> DataFrame:
-    """Running values along an order without a dense row number, after one shuffle of the rows.
-
-    The rows of :func:`running` over :func:`ordered_chunks`, for sums and last values. Rows are ranged by
-    (keys, order), which must be unique and not null, and their running values are taken inside the range partition
-    while it is written. Only the first key of a partition can have rows before it, so what is added
-    afterwards is one carried row per partition, of a table as long as there are partitions.
-    """
-    held = {n: f"_v_{n}" for n in values}
-    rows = df.withColumns({held[n]: v.value for n, v in values.items()})
-    for name in (*keys, *order):
-        rows = rows.filter(F.col(name).isNotNull())
-    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    names = [*(f"_l_{n}" for n in values), "_chunk", "_row", "_head"]
-    types = {f.name: f.dataType for f in rows.schema}
-    schema = StructType([*rows.schema.fields])
-    for n, v in values.items():
-        schema = schema.add(f"_l_{n}", types[held[n]] if v.kind == "last" else LongType())
-    schema = schema.add("_chunk", IntegerType()).add("_row", LongType()).add("_head", BooleanType())
-    kinds = {held[n]: v.kind for n, v in values.items()}
-    placed = store(ranged.mapInArrow(_inside_parts(names, keys, kinds), schema), "ordered")
-
-    locals_ = F.struct(*[F.col(f"_l_{n}").alias(n) for n in values])
-    ends = placed.groupBy("_chunk").agg(
-        F.min(F.struct(*keys)).alias("_low"), F.max(F.struct(*keys)).alias("_high"), F.max_by(locals_, "_row").alias("_l")
-    )
-    line = Window.orderBy("_chunk")
-    same = Window.partitionBy("_high").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
-    # One row per partition.
-    upto = F.struct("_high", *[v.over(F.col(f"_l.{n}"), same).alias(n) for n, v in values.items()])
-    carried = ends.withColumn("_upto", upto).withColumn("_from", F.lag("_upto").over(line))
-    carried = carried.filter("_from._high = _low").select("_chunk", *[F.col(f"_from.{n}").alias(f"_c_{n}") for n in values])
-    joined = placed.join(carried, "_chunk", "left")
-    out = []
-    for n, v in values.items():
-        before = F.when(F.col("_head"), F.col(f"_c_{n}"))
-        local = F.col(f"_l_{n}")
-        if v.kind == "sum":
-            value = local + F.coalesce(before, F.lit(0).cast("bigint"))
-            out.append((value if v.inclusive else value - F.coalesce(held[n], F.lit(0).cast("bigint"))).alias(n))
-        else:
-            out.append(F.coalesce(local, before).alias(n))
-    return joined.select(*df.columns, *out)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate, the one it picks join strategies by."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

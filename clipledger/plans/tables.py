@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.plans.scan import idiv, ordered_running, running_count
+from clipledger.plans.scan import idiv, ordered_chunks, running, running_count
 from clipledger.session import store
 
 FPS_NUM, FPS_DEN, SAMPLE_RATE, CHANNELS = 60000, 1001, 48000, 2
@@ -31,9 +31,10 @@ def build_samples(events: DataFrame) -> DataFrame:
         "value",
         (F.col("event_type") != "purchase").alias("is_video"),
     )
-    ranked = ordered_running(
-        packets,
+    ranked = running(
+        ordered_chunks(packets, ["clip_id", "ts", "event_id"]),
         ["clip_id"],
+        "order_chunk",
         ["ts", "event_id"],
         {
             "seq": running_count(inclusive=False),

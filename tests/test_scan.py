@@ -127,32 +127,3 @@ def test_attach_is_the_same_in_both_plans(spark):
             found.append(sorted([tuple(r) for r in out.select("clip_id", "seq", "fact").collect()], key=str))
     spark.conf.set(key, before)
     assert found[0] == found[2] and found[1] == found[3] and ("a", None, 100) in found[0]
-
-
-@pytest.mark.parametrize("parts", ["1", "7"])
-def test_ordered_running_equals_chunks(spark, parts):
-    """One shuffle gives what the two-level form gives, with keys that span partitions and keys that do not."""
-    rng = random.Random(int(parts))
-    rows, seen = [], set()
-    for _ in range(900):
-        key = (rng.choice(["a", "a", "a", "b", "c", f"k{rng.randrange(40)}", None]), rng.randrange(3), rng.randrange(500))
-        if key not in seen:
-            seen.add(key)
-            rows.append((*key, rng.choice([None, -3, 1, 2, 9]), rng.choice([None, None, "x", "y"])))
-    df = spark.createDataFrame(rows, "k string, o int, p bigint, v bigint, t string")
-    tag = F.when(F.col("t").isNotNull(), F.struct("t", "p"))
-    values = {
-        "n": S.running_count(inclusive=False), "s": S.running_sum("v"), "e": S.running_sum("v", inclusive=False), "last": S.running_last(tag),
-    }
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = S.ordered_running(df, ["k"], ["o", "p"], values)
-        want = S.running(S.ordered_chunks(df, ["k", "o", "p"]), ["k"], "order_chunk", ["o", "p"], values).drop("order_chunk")
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-        shuffles = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
-        assert "rangepartitioning" not in shuffles and got.count() == sum(r[0] is not None for r in rows)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert S.ordered_running(df.limit(0), ["k"], ["o", "p"], values).count() == 0
