@@ -14,7 +14,8 @@ from clipledger.operators.artifacts import classify
 from clipledger.operators.timeline import flag_complete
 from clipledger.plans.scan import attach, chunk_of
 from clipledger.session import reading_tasks
-from clipledger.sources.files import open_file
+from clipledger.sources.files import known, open_file
+from clipledger.sources.listing import list_visible
 
 HASH_READ = 4 << 20
 BOX_SCHEMA = (
@@ -52,14 +53,18 @@ def _file_path(column: str = "path"):
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Every known file below ``root``: ``path, clip_key, kind, length, modified``.
 
-    Only the file metadata is read; the content column is pruned away.
+    Only the file metadata is read, by the tasks that list the folders. Spark's own source lists
+    stores that Arrow does not know; its content column is pruned away.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(_file_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
-    )
+    if known(root):
+        files = list_visible(spark, root)
+    else:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .load(root)
+            .select(_file_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
+        )
     return (
         classify(files)
         .filter("kind is not null")

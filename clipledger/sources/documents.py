@@ -8,6 +8,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from clipledger.functions import rules as R
 from clipledger.operators.arrivals import tail_n
 from clipledger.operators.quality import parse_quality_log
 from clipledger.schemas import CHECKPOINT, SIDECAR
-from clipledger.session import store
-from clipledger.sources.files import resolve
+from clipledger.session import reading_tasks, store
+from clipledger.sources.files import known, open_file, resolve, settle
+from clipledger.sources.listing import list_visible
 
 # The fields a checkpoint must have.
 REQUIRED_IN_CHECKPOINT = (
@@ -31,6 +33,8 @@ REQUIRED_IN_CHECKPOINT = (
     "totalFrames",
 )
 FAILURE_TAIL = 5
+# Files a task has open before it names them.
+STAGED = 256
 # Texts of the sidecar.
 COLOR_SPACE = "RWG/Log3G10 (native, Primary_Development_Only)"
 MATRIX = "BT.2020 full range"
@@ -45,16 +49,58 @@ def _plain_path() -> Column:
     return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
+# Bytes of text that a task sends at once, and files at most.
+_SENT_BYTES, _SENT_FILES = 8 << 20, 4096
+_TEXTS = pa.schema([("path", pa.string()), ("text", pa.string())])
+
+
+def _texts_of(batches):
+    paths, texts, held = [], [], 0
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            with open_file(path) as handle:
+                # As Spark reads bytes that are no UTF-8.
+                text = handle.read().decode("utf-8", "replace")
+            paths.append(path)
+            texts.append(text)
+            held += len(text)
+            if held >= _SENT_BYTES or len(paths) >= _SENT_FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], schema=_TEXTS)
+                paths, texts, held = [], [], 0
+    if paths:
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], schema=_TEXTS)
+
+
+def read_texts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """``path, text`` of the whole files below ``path`` whose names end so.
+
+    Files are listed by tasks and dealt over tasks by their paths: millions of small ones cost neither
+    a list on the driver nor a task for every few. Spark's own source reads stores that Arrow does not know.
+    """
+    if known(path):
+        found = list_visible(spark, path, suffix).select("path")
+        return found.repartition(reading_tasks(spark), "path").mapInArrow(_texts_of, "path string, text string")
+    return (
+        spark.read.option("wholetext", True)
+        .option("pathGlobFilter", f"*{suffix}")
+        .option("recursiveFileLookup", True)
+        .text(path)
+        .select(_plain_path().alias("path"), F.col("value").alias("text"))
+    )
+
+
+def _without(suffix: str) -> Column:
+    return F.expr(f"substring(path, 1, length(path) - {len(suffix)})")
+
+
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """Checkpoint files with ``clip_key`` and ``is_valid``: every field but ``input`` is needed."""
-    rows = (
-        spark.read.schema(f"{CHECKPOINT}, _corrupt_record string")
-        .option("pathGlobFilter", "*.ckpt")
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .withColumn("clip_key", F.regexp_replace(_plain_path(), r"\.ckpt$", ""))
+    texts = read_texts(spark, path, ".ckpt")
+    lines = texts.select(
+        _without(".ckpt").alias("clip_key"), F.explode(F.split("text", r"\r\n|\r|\n")).alias("text")
     )
-    return _with_validity(rows)
+    rows = parse_checkpoints(lines.filter(r"text rlike '[^\\x00-\\x20]'"))
+    return rows.select(*[c for c in rows.columns if c not in ("clip_key", "is_valid")], "clip_key", "is_valid")
 
 
 def _with_validity(rows: DataFrame) -> DataFrame:
@@ -255,28 +301,16 @@ def drop_bucket_versions(path: str, keep: int) -> None:
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar files with the path of the output they belong to."""
-    return (
-        spark.read.schema(SIDECAR)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.sidecar.json")
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .withColumn("clip_key", F.regexp_replace(_plain_path(), r"\.sidecar\.json$", ""))
+    texts = read_texts(spark, path, ".sidecar.json").filter(r"text rlike '[^\\x00-\\x20]'")
+    parsed = texts.select(
+        F.from_json("text", SIDECAR, {"mode": "PERMISSIVE"}).alias("c"), _without(".sidecar.json").alias("clip_key")
     )
+    return parsed.select("c.*", "clip_key")
 
 
 def read_sidecar_files(spark: SparkSession, path: str) -> DataFrame:
     """Sidecars as ``path, text`` (path of the output), for checks that look at any key."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.sidecar.json")
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(
-            F.regexp_replace(_plain_path(), r"\.sidecar\.json$", "").alias("path"),
-            F.col("value").alias("text"),
-        )
-    )
+    return read_texts(spark, path, ".sidecar.json").select(_without(".sidecar.json").alias("path"), "text")
 
 
 def sidecar_struct(clips: DataFrame) -> DataFrame:
@@ -346,9 +380,14 @@ def write_sidecars(clips: DataFrame) -> None:
 
 
 def write_files(files: DataFrame) -> None:
-    """Write ``path, content`` rows as one file each, in place of what is there."""
-    files.sparkSession.dataSource.register(WholeFiles)
-    files.select("path", F.col("content").cast("binary")).write.format("wholefiles").mode(
+    """Write ``path, content`` rows as one file each, in place of what is there.
+
+    A small table comes in few partitions however many files its rows make, so rows are dealt by their paths.
+    """
+    spark = files.sparkSession
+    spark.dataSource.register(WholeFiles)
+    rows = files.select("path", F.col("content").cast("binary"))
+    rows.repartition(reading_tasks(spark), "path").write.format("wholefiles").mode(
         "append"
     ).save()
 
@@ -376,26 +415,45 @@ class WholeFilesWriter(DataSourceWriter):
     """A file is seen whole or not at all: renamed into place, or closed by an object store."""
 
     def write(self, iterator):
-        count = 0
-        for row in iterator:
-            system, path = resolve(row.path)
-            if isinstance(system, fs.LocalFileSystem):
-                self._write_local(path, row.content)
-            else:
-                with system.open_output_stream(path) as out:
-                    out.write(row.content)
-            count += 1
+        count, staged = 0, []
+        try:
+            for row in iterator:
+                system, path = resolve(row.path)
+                if isinstance(system, fs.LocalFileSystem):
+                    staged.append((self._stage(path, row.content), path))
+                    if len(staged) >= STAGED:
+                        self._publish(staged)
+                else:
+                    with system.open_output_stream(path) as out:
+                        out.write(row.content)
+                count += 1
+            self._publish(staged)
+        finally:
+            for (handle, _), _ in staged:
+                os.close(handle)
         return FilesWritten(count)
 
     @staticmethod
-    def _write_local(path: str, content: bytes) -> None:
-        staged = f"{path}.tmp-{uuid.uuid4().hex}"
-        os.makedirs(os.path.dirname(staged), exist_ok=True)
-        with open(staged, "wb") as out:
+    def _stage(path: str, content: bytes) -> tuple[int, str]:
+        name = f"{path}.tmp-{uuid.uuid4().hex}"
+        kind = os.O_CREAT | os.O_EXCL | os.O_WRONLY
+        try:
+            handle = os.open(name, kind, 0o666)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            handle = os.open(name, kind, 0o666)
+        with open(handle, "wb", closefd=False) as out:
             out.write(content)
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(staged, path)
+        return handle, name
+
+    @staticmethod
+    def _publish(staged: list[tuple[tuple[int, str], str]]) -> None:
+        """Files that are staged get their names once all of them are on disk."""
+        ready = staged[:]
+        staged.clear()
+        settle([handle for (handle, _), _ in ready])
+        for (_, name), path in ready:
+            os.replace(name, path)
 
 
 def read_quality_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 
+import pyarrow as pa
 from pyarrow import fs
 
 _WILD = re.compile(r"[*?\[]")
@@ -31,6 +33,21 @@ def _prefix(path: str, inner: str) -> str:
     return plain[: len(plain) - len(inner)] if plain.endswith(inner) else path.split("://")[0] + "://"
 
 
+def known(path: str) -> bool:
+    """Whether Arrow can read the file system of ``path``; Spark's own readers know others too."""
+    try:
+        resolve(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def listed_as(path: str) -> str:
+    """How a file or folder is named in a listing."""
+    inner = resolve(path)[1]
+    return _prefix(path, inner) + inner
+
+
 def list_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
     """``(path, length)`` of a file, of all files below a folder, or of a wildcard's matches.
 
@@ -62,3 +79,20 @@ def list_files(path: str, suffix: str = "") -> list[tuple[str, int]]:
 def open_file(path: str):
     system, inner = resolve(path)
     return system.open_input_file(inner)
+
+
+# From so many files on, one sync of the machine is cheaper than one commit of its journal per file.
+TOGETHER = 16
+
+
+def settle(handles: list[int]) -> None:
+    """Have local files on disk, and close them; an error of any is raised."""
+    try:
+        if len(handles) >= TOGETHER:
+            os.sync()
+        # After the sync these have nothing to wait for, but tell what has failed.
+        for handle in handles:
+            os.fsync(handle)
+    finally:
+        for handle in handles:
+            os.close(handle)

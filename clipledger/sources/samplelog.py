@@ -14,6 +14,7 @@ import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql.datasource import (
 )
 
 from clipledger.schemas import SAMPLES
-from clipledger.sources.files import list_files, open_file, resolve
+from clipledger.sources.files import list_files, open_file, resolve, settle
 
 # Fixed values of the format.
 MAGIC = 0x4E524153
@@ -42,7 +43,7 @@ SUFFIX = ".samples"
 
 SPLIT_RECORDS = 1 << 21
 BATCH_RECORDS = 1 << 16
-OPEN_LOGS = 64
+OPEN_LOGS = 256
 
 
 @dataclass(frozen=True)
@@ -189,6 +190,15 @@ class LogWritten(WriterCommitMessage):
 PRIME = (1 << 31) - 1
 
 
+@lru_cache(maxsize=8)
+def _powers(base: int) -> np.ndarray:
+    """The first 65,536 powers of a base, made once for all clips of a task."""
+    small = np.ones(1, np.uint64)
+    while len(small) < 1 << 16:
+        small = np.concatenate([small, small * np.uint64(pow(base, len(small), PRIME)) % np.uint64(PRIME)])
+    return small
+
+
 def _numbering(seq: np.ndarray, bases: tuple[int, ...]) -> tuple[int, ...]:
     """Count of positions, the sums of their first three powers, and sums of powers of ``bases``.
 
@@ -199,10 +209,7 @@ def _numbering(seq: np.ndarray, bases: tuple[int, ...]) -> tuple[int, ...]:
         high, at = np.unique(seq >> 16, return_inverse=True)
         step = pow(base, 1 << 16, PRIME)
         wide = np.array([pow(step, int(h), PRIME) for h in high], np.uint64)
-        small = np.ones(1, np.uint64)
-        while len(small) < 1 << 16:
-            small = np.concatenate([small, small * np.uint64(pow(base, len(small), PRIME)) % np.uint64(PRIME)])
-        powers = small[seq & 0xFFFF] * wide[at] % np.uint64(PRIME)
+        powers = _powers(base)[seq & 0xFFFF] * wide[at] % np.uint64(PRIME)
         chances.append(int(powers.sum()))
     low = int(seq.min())
     near = (seq - low).astype(object) if len(seq) > 1 << 16 or seq.max() - low > 1 << 15 else seq - low
@@ -245,23 +252,19 @@ class SampleLogWriter(DataSourceArrowWriter):
                     self._write_rows(self._handle(handles, clip), rows)
                     counts[clip] = _added(counts.get(clip), _numbering(rows["seq"].to_numpy(), self.bases))
         finally:
-            while handles:
-                self._close(handles.popitem()[1])
+            settle(list(handles.values()))
         return LogWritten(counts)
 
     def _handle(self, handles: dict[str, int], clip: str) -> int:
         if clip not in handles:
             if len(handles) >= OPEN_LOGS:
-                self._close(handles.pop(next(iter(handles))))
+                full = list(handles.values())
+                handles.clear()
+                settle(full)
             handles[clip] = os.open(self._staged(clip), os.O_CREAT | os.O_WRONLY)
             os.pwrite(handles[clip], HEADER, 0)
         return handles[clip]
 
-    @staticmethod
-    def _close(handle: int) -> None:
-        os.fsync(handle)
-        os.close(handle)
-
     @staticmethod
     def _write_rows(handle: int, rows) -> None:
         out = np.empty(len(rows), RECORD)
