@@ -288,8 +288,14 @@ PARSED = f"""parsed as (select clip_id, frame_no, part_no,
   from (select * from {duck(LINES)} union all select * from {duck(SSIM)}) q)"""
 
 
+def as_in_duck(text: str) -> str:
+    """The view for Spark with DuckDB's results: concat leaves nulls out, a cast to int rounds half to even."""
+    text = text.replace("concat(", "concat_ws('', ")
+    return text.replace("cast(l_quantity as int)", "cast(rint(l_quantity) as int)")
+
+
 def quality_log(spark, sf_dir) -> DataFrame:
-    lines = view(spark, sf_dir, LINES).union(view(spark, sf_dir, SSIM))
+    lines = view(spark, sf_dir, as_in_duck(LINES)).union(view(spark, sf_dir, as_in_duck(SSIM)))
     return Q.parse_quality_log(lines)
 
 
